@@ -25,7 +25,7 @@ def double_array(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     size = 1 << 12
     base, check, value = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
     check[0] = 0
-    work, lowest = [(0, 0, len(order), 0)], 1
+    work, lowest, top = [(0, 0, len(order), 0)], 1, 1
     while work:
         state, lo, hi, depth = work.pop()
         children: list[tuple[int, int, int]] = []
@@ -40,19 +40,22 @@ def double_array(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         if not children:
             continue
         offsets = np.array([c for c, _, _ in children]) + 1
-        while lowest < size and check[lowest] >= 0:
+        # a lone child takes the lowest free cell; several look near the end, where most are free
+        while check[lowest] >= 0:
             lowest += 1
-        at = max(0, lowest - int(offsets[0]))
-        while True:
-            if at + 258 >= size:
-                base, check, value = (np.concatenate([x, np.full(size, fill, np.int32)]) for x, fill in ((base, 0), (check, -1), (value, -1)))
-                size *= 2
-            if (check[at + offsets] < 0).all():
-                break
-            at += 1
+        at = lowest - int(offsets[0]) if len(offsets) == 1 else max(0, top - 1024)
+        if len(offsets) > 1 or at < 0:
+            at = max(at, 0)
+            starts = np.arange(at, top + 1)
+            fits = (check[starts[:, None] + offsets] < 0).all(axis=1)
+            at = int(starts[fits.argmax()])
         base[state] = at
         check[at + offsets] = state
         work += [(at + c + 1, first, last, depth + 1) for c, first, last in children]
+        top = max(top, at + int(offsets[-1]) + 1)
+        if top + 600 > size:
+            base, check, value = (np.concatenate([x, np.full(size, fill, np.int32)]) for x, fill in ((base, 0), (check, -1), (value, -1)))
+            size *= 2
     room = np.full(258, -1, np.int32)
     return np.concatenate([base, np.zeros(258, np.int32)]), np.concatenate([check, room]), np.concatenate([value, room])
 
@@ -212,7 +215,8 @@ class Vocabulary:
         return b"".join(map(self.out.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
-_OPEN: dict[str, tuple[Vocabulary, dict[str, bytes]]] = {}
+#: By model: units that a worker has met.
+_KNOWN: dict[str, dict[str, bytes]] = {}
 
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,13 +224,12 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
     Spaces become marks and one is put in front of a text; all other characters stay as they are, so decode() gives the text
     back exactly; a literal mark is written as bytes. Null and empty texts have no ids; ids of rows are carried, null or
-    repeated; an empty table gives no rows. A worker reads the model once and remembers a bounded number of words.
+    repeated; an empty table gives no rows. The trie is built once and sent out; its size is the vocabulary's. A worker remembers a bounded number of words.
     """
+    sent = docs.sparkSession.sparkContext.broadcast(Vocabulary(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        if model not in _OPEN:
-            _OPEN[model] = (Vocabulary(model), {})
-        vocabulary, known = _OPEN[model]
+        vocabulary, known = sent.value, _KNOWN.setdefault(model, {})
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
@@ -242,11 +245,10 @@ def decode(rows: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "
     """rows with one more column, text: what encode() was given. Null ids give a null text."""
     names = rows.columns
     at = names.index(ids_col)
+    sent = rows.sparkSession.sparkContext.broadcast(Vocabulary(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        if model not in _OPEN:
-            _OPEN[model] = (Vocabulary(model), {})
-        vocabulary = _OPEN[model][0]
+        vocabulary = sent.value
         for batch in batches:
             column = batch.column(at)
             yield {n: batch.column(i) for i, n in enumerate(names)} | {"text": [vocabulary.decode(x.values.to_pylist()) if x.is_valid else None for x in column]}
@@ -257,11 +259,10 @@ def decode(rows: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "
 def check(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """encode() with n_tokens, and whether decode() gives the text back (exact; null texts count as empty)."""
     texts = only(docs, id_col, text_col)
+    sent = docs.sparkSession.sparkContext.broadcast(Vocabulary(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        if model not in _OPEN:
-            _OPEN[model] = (Vocabulary(model), {})
-        vocabulary, known = _OPEN[model]
+        vocabulary, known = sent.value, _KNOWN.setdefault(model, {})
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
