@@ -1,14 +1,15 @@
-"""Registered queries and their SQL."""
+"""All registered queries of the library and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import analytics, search  # noqa: F401  they register their queries
+from .base import QUERIES, SQL as ORACLE_SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["lemma_and"](spark, sf_dir)
+
+
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
