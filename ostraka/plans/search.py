@@ -89,11 +89,11 @@ _C = _T + ", W AS (SELECT source, lang, T.doc_id AS line_index, T.line_index AS
 _SUM = "SELECT source, lang, count(*) AS match_count FROM M GROUP BY source, lang"
 
 
-@query(f"""WITH {_C}, K AS (SELECT source, lang FROM W WHERE token IN ('ende', 'und') GROUP BY source, lang HAVING count(DISTINCT token) = 2),
-     M AS (SELECT DISTINCT source, lang, line_index, variant_index FROM W JOIN K USING (source, lang) WHERE token IN ('ende', 'und')) {_SUM}""")
+@query(f"""WITH {_C}, K AS (SELECT source, lang FROM W WHERE token IN ('der', 'und') GROUP BY source, lang HAVING count(DISTINCT token) = 2),
+     M AS (SELECT DISTINCT source, lang, line_index, variant_index FROM W JOIN K USING (source, lang) WHERE token IN ('der', 'und')) {_SUM}""")
 def corpus_lemma_and(spark, sf_dir):
     keys = ["source", "lang"]
-    return matchers.corpus_result(matchers.corpus_lemma(_chapters(spark, sf_dir), ["ende", "und"], "and", keys), keys)
+    return matchers.corpus_result(matchers.corpus_lemma(_chapters(spark, sf_dir), ["der", "und"], "and", keys), keys)
 
 
 @query(f"WITH {_C}, M AS (SELECT DISTINCT source, lang, line_index, variant_index FROM W WHERE token IN ('la', 'der')) {_SUM}")
