@@ -6,7 +6,7 @@ import re
 import unicodedata
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -62,41 +62,57 @@ def words_of(path: str) -> Words:
 # The plan, made from the counts of lengths alone: at most `capacity` numbers, however many documents there are
 
 
+def richest(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The most that items of these sizes and prices can be worth in a bin, and how many of each: an unbounded knapsack, a size at a time."""
+    worth, chosen = np.zeros(capacity + 1), []
+    for size, price in zip(sizes.tolist(), prices.tolist(), strict=True):
+        best, times = worth.copy(), np.zeros(capacity + 1, np.int16)
+        for m in range(1, capacity // size + 1) if price > 0 else ():
+            with_m = worth[: capacity + 1 - m * size] + m * price
+            up = with_m > best[m * size :] + 1e-12
+            best[m * size :][up], times[m * size :][up] = with_m[up], m
+        worth = best
+        chosen.append(times)
+    column, room = np.zeros(len(sizes)), capacity
+    for k in range(len(sizes) - 1, -1, -1):
+        column[k] = chosen[k][room]
+        room -= int(column[k]) * int(sizes[k])
+    return float(worth[capacity]), column
+
+
 def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 400) -> list[tuple[np.ndarray, float]]:
     """(how many of each size in a bin, bins) of the linear relaxation, by column generation: a knapsack prices new configurations."""
     k = len(sizes)
     basis = np.diag((capacity // sizes).astype(float))
     for _ in range(rounds):
         amounts, prices = np.linalg.solve(basis, demand), np.linalg.solve(basis.T, np.ones(k))
-        worth, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-        for w in range(int(sizes.min()), capacity + 1):
-            fits = np.flatnonzero(sizes <= w)
-            gains = worth[w - sizes[fits]] + prices[fits]
-            best = int(gains.argmax())
-            worth[w], choice[w] = (gains[best], fits[best]) if gains[best] > worth[w - 1] else (worth[w - 1], -1)
-        if worth[capacity] <= 1 + 1e-7:
+        worth, column = richest(sizes, prices, capacity)
+        if worth <= 1 + 1e-7:
             break
-        column, w = np.zeros(k), capacity
-        while w > 0:
-            if choice[w] < 0:
-                w -= 1
-            else:
-                column[choice[w]] += 1
-                w -= sizes[choice[w]]
         way = np.linalg.solve(basis, column)
         steps = np.where(way > 1e-9, amounts / np.where(way > 1e-9, way, 1), np.inf)
         basis[:, int(steps.argmin())] = column
     return [(basis[:, i].astype(int), amounts[i]) for i in range(k) if amounts[i] > 1e-9]
 
 
-def plan(counts: np.ndarray, capacity: int, groups: int = 24, small: int | None = None) -> list[tuple[tuple[int, ...], int]]:
+def plan(counts: np.ndarray, capacity: int, groups: int = 24, smalls: Sequence[int] = (16, 8, 5, 4, 3, 2)) -> list[tuple[tuple[int, ...], int]]:
     """(lengths in a bin, how many such bins) for counts[length] documents of each length.
 
-    Lengths over `small` (a sixteenth of the capacity) are rounded up within groups of equal cardinality; few-size
-    configurations are optimised for the rounded lengths and used whole bins at a time; actual lengths, longest first, take the
-    places of their group. What is left over and the small lengths are then put, longest first, where they fit best.
+    What counts as small is the capacity over one of `smalls`; the scheme is run with each and the plan of fewest bins stands, since
+    rounding up pays only as far as small documents fill what it leaves.
+    """
+    if not counts[:capacity].any():
+        return grouped(counts, capacity, groups, 0)
+    return min((grouped(counts, capacity, groups, capacity // s) for s in smalls), key=lambda bins: sum(n for _, n in bins))
+
+
+def grouped(counts: np.ndarray, capacity: int, groups: int, small: int) -> list[tuple[tuple[int, ...], int]]:
+    """The linear grouping scheme.
+
+    Lengths over `small` are rounded up within groups of equal cardinality; few-size configurations are optimised for the
+    rounded lengths and used whole bins at a time; actual lengths, longest first, take the places of their group. What is left
+    over and the small lengths are then put, longest first, where they fit best.
     """
-    small = capacity // 16 if small is None else small
     left = counts.astype(np.int64).copy()
     bins: list[tuple[tuple[int, ...], int]] = [((capacity,), int(left[capacity]))] if left[capacity] else []
     left[capacity] = 0
