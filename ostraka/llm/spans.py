@@ -37,7 +37,7 @@ def runs(parts: list[str], min_words: int) -> Iterator[tuple[int, int, bytes]]:
         held -= len(words[i])
 
 
-def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 30) -> DataFrame:
+def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 12) -> DataFrame:
     """docs with the text left over, and two more columns: n_sentences, n_removed.
 
     A span is the fewest consecutive sentences from some sentence on that hold `min_words` words (white space counts as one

@@ -235,7 +235,7 @@ def test_sentence_spans_brute(spark, rows):
         parts = spans.sentences(t)
         assert "".join(parts) == t
         for a in range(len(parts)):
-            n = next((b for b in range(a + 1, len(parts) + 1) if sum(len(p.split()) for p in parts[a:b]) >= 30), None)
+            n = next((b for b in range(a + 1, len(parts) + 1) if sum(len(p.split()) for p in parts[a:b]) >= 12), None)
             if n and parts[a].split():
                 key = "\n".join(" ".join(p.split()) for p in parts[a:n])
                 if key in seen:
