@@ -65,12 +65,15 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     spans = in_arrow(texts, cut, f"h1 long, h2 long, doc_id {kind}, text_hash int, at int, n int")
     place = F.struct("doc_id", "text_hash", "at")
-    first = spans.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min(place).alias("first")).where("times >= 2").select("h1", "h2", "first")
-    later = spans.join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
+    # first the hashes alone: only spans of which half the hash occurs twice are looked at again; what is joined grows with the input, so neither side is sent to all
+    again = spans.groupBy("h1").agg(F.count("*").alias("times")).where("times >= 2").select("h1").hint("merge")
+    alike = spans.join(again, "h1")
+    first = alike.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min(place).alias("first")).where("times >= 2").select("h1", "h2", "first").hint("merge")
+    later = alike.join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
     removed = materialize(later.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("at", "n")).alias("runs")))
     release(spark)
     names = docs.columns
-    removed = removed.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("runs").alias("__runs"))
+    removed = removed.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("runs").alias("__runs")).hint("merge")
     joined = docs.join(removed, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.hash(f"`{text_col}`") == F.col("__hash")), "left").drop("__id", "__hash")
     text_at = names.index(text_col)
 
