@@ -6,27 +6,31 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ostraka.llm import packing, quality, simhash, spans
-from ostraka.llm.common import materialize, table
+from ostraka.llm.common import materialize, small_batches, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier keeps."""
+    small_batches(spark)
     return quality.classify(docs, table(spark, sf_dir, "labels")).where("keep").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group of near copies, by five-word shingles."""
+    small_batches(spark)
     return simhash.keep_one(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the sentences of passages that an earlier one, or an earlier place, has; n_chars follows the text."""
+    small_batches(spark)
     left = spans.remove_repeated_spans(docs)
     return left.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, each with its sequence and place there."""
+    small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

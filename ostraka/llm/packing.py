@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import in_arrow, materialize, only
 
 #: Words whose ids a worker remembers.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 17
 
 _LETTERS = "a-zA-ZªµºÀ-ÖØ-öø-ſ"
 #: Texts of only these characters are cut into words here; any others go to the tokenizer whole.

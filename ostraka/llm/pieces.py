@@ -14,7 +14,7 @@ from .common import in_arrow, only
 
 SPACE = "▁"
 #: Units a worker remembers; longest unit, in bytes, that is encoded along with others; its length beyond which a unit is not remembered.
-REMEMBERED, TOGETHER = 1 << 19, 48
+REMEMBERED, TOGETHER = 1 << 17, 48
 #: Log score of a character without a piece, below the least score; it is then written as byte pieces.
 PENALTY = 10.0
 

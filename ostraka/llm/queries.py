@@ -8,17 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import ann, html, packing, pieces, quality, simhash, spans, suffix, topk, urls
-from .common import table
+from .common import small_batches, table
 
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     found = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "p_text", "p_meta", "score", "keep")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     found = suffix.remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -29,30 +31,37 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark, 8192)
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark, 8192)
     return topk.inner_product_topk(table(spark, sf_dir, "embeddings"))
 
 
 def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spans.remove_repeated_spans(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_sentences", "n_removed")
 
 
 def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return html.main_text(table(spark, sf_dir, "pages"))
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     model = public_tokenizers.path("piece_bpe_32k.model")
     return pieces.check(table(spark, sf_dir, "documents"), model)
 
