@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +64,30 @@ def in_arrow(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(run, schema)
 
 
+class Memory:
+    """Answers for words met so far, in two generations of at most about `most` each: words that come again stay, the many that come once go."""
+
+    def __init__(self, most: int = 1 << 17):
+        self.most = most
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def of(self, words: Iterable[str], answer: Callable[[list[str]], Iterable[bytes]]) -> dict[str, bytes]:
+        """A dict that holds the answers for all of words; answer is asked for those that are not remembered."""
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        fresh = []
+        for word in words:
+            if word not in self.young:
+                if (known := self.old.get(word)) is None:
+                    fresh.append(word)
+                else:
+                    self.young[word] = known
+        if fresh:
+            self.young.update(zip(fresh, answer(fresh), strict=True))
+        return self.young
+
+
 # Vectors
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 import zlib
@@ -12,10 +13,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import in_arrow, materialize, only
+from .common import Memory, in_arrow, materialize, only
 
-#: Words whose ids a worker remembers.
-REMEMBERED = 1 << 17
+#: Texts whose new words are encoded together.
+TOGETHER = 32
 
 _LETTERS = "a-zA-ZªµºÀ-ÖØ-öø-ſ"
 #: Texts of only these characters are cut into words here; any others go to the tokenizer whole.
@@ -23,30 +24,28 @@ _PLAIN = re.compile(f"[\\t\\n\\r -~{_LETTERS}¡-©«-±´¶-¸»¿×÷]*")
 _WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\\s{_LETTERS}0-9]+")
 
 
-class Words(dict):
-    """Word -> its ids as little-endian 32-bit bytes; byte-pair merges never cross words, so a text's ids are those of its words."""
+class Words:
+    """A tokenizer that remembers words' ids (little-endian 32-bit bytes); byte-pair merges never cross words, so a text's ids are those of its words."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.memory = Memory()
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        ids = self[word] = self.whole(word)
-        return ids
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def ids(self, text: str) -> bytes:
-        """The ids of a text, as the tokenizer gives them for the whole text."""
-        if not _PLAIN.fullmatch(text) or "İ" in text or any(s in text for s in self.special) or not unicodedata.is_normalized("NFC", text):
-            return self.whole(text)
-        return b"".join(map(self.__getitem__, _WORD.findall(text.lower())))
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as the tokenizer gives them for the whole text."""
+        parted: list[list[str] | None] = []
+        for text in texts:
+            odd = not _PLAIN.fullmatch(text) or "İ" in text or any(s in text for s in self.special) or not unicodedata.is_normalized("NFC", text)
+            parted.append(None if odd else _WORD.findall(text.lower()))
+        known = self.memory.of({w for words in parted if words is not None for w in words}, self.whole).__getitem__
+        return [self.whole([text])[0] if words is None else b"".join(map(known, words)) for text, words in zip(texts, parted, strict=True)]
 
 
 _OPEN: dict[str, Words] = {}
@@ -226,8 +225,7 @@ def tokenise(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col
         words, end = words_of(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                ids = words.ids(text or "") + end
+            for i, ids in enumerate(ids + end for lo in range(0, batch.num_rows, TOGETHER) for ids in words.ids([t or "" for t in batch.column(1).slice(lo, TOGETHER).to_pylist()])):
                 for p, lo in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[lo : lo + 4 * capacity]
                     row.append(i)

@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import math
 import re
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import in_arrow, only
+from .common import Memory, in_arrow, only
 
 SPACE = "▁"
-#: Units a worker remembers; longest unit, in bytes, that is encoded along with others; its length beyond which a unit is not remembered.
-REMEMBERED, TOGETHER = 1 << 17, 48
+#: Longest unit, in bytes, that is encoded along with others.
+TOGETHER = 48
 #: Log score of a character without a piece, below the least score; it is then written as byte pieces.
 PENALTY = 10.0
 
@@ -87,6 +88,7 @@ class Vocabulary:
         self.base, self.check, self.value = double_array(self.keys)
         self.scores, self.ids = np.array(scores), np.array(ids, np.int32)
         self.bytes = np.array(byte_ids, np.int32)
+        self.id_of, self.byte_of = list(ids), list(byte_ids)
         self.unknown = min(scores) - PENALTY
         self.longest = max(map(len, self.keys))
         self.out = [b""] * n
@@ -178,8 +180,7 @@ class Vocabulary:
 
     def written(self, path: list[int]) -> bytes:
         """Ids of a path as little-endian 32-bit bytes."""
-        path_array = np.array(path, np.int64)
-        return np.where(path_array >= 0, self.ids[np.maximum(path_array, 0)], self.bytes[np.where(path_array < 0, -1 - path_array, 0)]).astype("<i4").tobytes()
+        return struct.pack(f"<{len(path)}i", *[self.id_of[p] if p >= 0 else self.byte_of[-1 - p] for p in path])
 
     def units(self, text: str) -> list[str]:
         """The text in parts that are encoded alone: marked by a space in front; a literal space mark stands alone, as 2 marks never do elsewhere."""
@@ -190,25 +191,28 @@ class Vocabulary:
             out += self.unit.findall(part.replace(" ", SPACE))
         return out
 
-    def encode(self, texts: list[str], known: dict[str, bytes]) -> list[bytes]:
-        """Ids of each text as bytes. known: units met so far."""
-        if not known:
-            known[""] = self.bytes[list(SPACE.encode())].astype("<i4").tobytes()
+    def answers(self, units: list[str]) -> list[bytes]:
+        """Ids of each unit; short ones are worked on together, in order of length. An empty unit is a literal space mark, as bytes."""
+        coded = [u.encode() for u in units]
+        out = [b""] * len(units)
+        order = sorted(range(len(units)), key=lambda i: len(coded[i]))
+        short = [i for i in order if 0 < len(coded[i]) <= TOGETHER]
+        for lo in range(0, len(short), 8192):
+            group = short[lo : lo + 8192]
+            for i, path in zip(group, self.best_many([coded[i] for i in group]), strict=True):
+                out[i] = self.written(path)
+        for i in order:
+            if not coded[i]:
+                out[i] = self.written([-1 - b for b in SPACE.encode()])
+            elif len(coded[i]) > TOGETHER:
+                out[i] = self.written(self.best_one(coded[i]))
+        return out
+
+    def encode(self, texts: list[str], memory: Memory) -> list[bytes]:
+        """Ids of each text as bytes. memory: units met so far."""
         cut = [self.units(t) if t else [] for t in texts]
-        fresh = sorted({u for units in cut for u in units if u not in known}, key=len)
-        for lo in range(0, len(fresh), 4096):
-            group = fresh[lo : lo + 4096]
-            short = [(u, b) for u in group if len(b := u.encode()) <= TOGETHER]
-            if short:
-                for (u, _), path in zip(short, self.best_many([b for _, b in short]), strict=True):
-                    known[u] = self.written(path)
-            for u in group:
-                if u not in known:
-                    known[u] = self.written(self.best_one(u.encode()))
-        ids = [b"".join(map(known.__getitem__, units)) for units in cut]
-        if len(known) > REMEMBERED:
-            known.clear()
-        return ids
+        known = memory.of({u for units in cut for u in units}, self.answers).__getitem__
+        return [b"".join(map(known, units)) for units in cut]
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids: byte pieces are bytes, the mark is a space, and the space put in front goes."""
@@ -216,7 +220,7 @@ class Vocabulary:
 
 
 #: By model: units that a worker has met.
-_KNOWN: dict[str, dict[str, bytes]] = {}
+_KNOWN: dict[str, Memory] = {}
 
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -229,7 +233,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     sent = docs.sparkSession.sparkContext.broadcast(Vocabulary(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        vocabulary, known = sent.value, _KNOWN.setdefault(model, {})
+        vocabulary, known = sent.value, _KNOWN.setdefault(model, Memory())
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
@@ -262,7 +266,7 @@ def check(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "
     sent = docs.sparkSession.sparkContext.broadcast(Vocabulary(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        vocabulary, known = sent.value, _KNOWN.setdefault(model, {})
+        vocabulary, known = sent.value, _KNOWN.setdefault(model, Memory())
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
