@@ -257,7 +257,7 @@ def test_html(spark):
     bare = [f"<div><p>{menu}</p></div><p>Only on page {i} stands this {i} text.</p><p>{menu}</p>" for i in range(3)]
     pages = [(1, "http://h.com/1", PAGE, "c"), (2, "http://h.com/2", None, "c"), (3, None, "", "c"), (None, "http://h.com/4", "<p>unclosed", "c"), (5, "http://h.com/1", PAGE, "c"), *[(10 + i, f"http://bare.org/{i}", b, "c") for i, b in enumerate(bare)], (20, "http://other.net/", bare[0], "c"), (21, "http://h.com/9", "<script>x", "c"), (22, "http://h.com/8", "<article>cut off <b", "c")]
     found = {r.page_id: r for r in html.main_text(spark.createDataFrame(pages, "page_id long, url string, html string, text string")).collect()}
-    assert found[1].text == "A & B\nOne twothree. four\nFive six" == found[5].text and found[1].n_chars == 32
+    assert found[1].text == "A & B\nOne twothree. four\nFive six" == found[5].text and found[1].n_chars == 33 == len(found[1].text)
     assert found[2].text == "" and found[3].text == "" and found[None].text == "unclosed" and found[21].text == "" and found[22].text == "cut off"
     assert found[11].text == "Only on page 1 stands this 1 text."
     assert found[20].text.count("menu0") == 2
