@@ -203,46 +203,137 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(by_class, F.col("fp") == F.col("class_fp")).select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, reach: int = 7, tables: int = 4) -> DataFrame:
-    """(doc_id, component_id) of every row: near_duplicates() over several independent fingerprints, linked if any of them is within `reach` bits.
-
-    A document is a node by its fingerprints together. For each table the nodes of one value are tied to the least of them, and values by
-    vantage-point trees, so links grow with the nodes. With 4 tables of 64 bits within 7, about two thirds of the pairs whose five-word
-    shingles have a Jaccard similarity of 0.8 are linked, and nearly all from 0.9 up; of unrelated texts one pair in 7e9.
+# Near copies at a stated Jaccard similarity
+
+
+def signature(text: bytes, words: int, tables: int, bands: int, rows: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Of a text's set of shingles: its hash; a fingerprint for each table; and for each band the hash of the least values under `rows` mixings."""
+    found = shingle_set(text, words)
+    mixers = np.random.default_rng(11).integers(1, 1 << 63, (2, bands * rows), dtype=np.uint64)
+    least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+    with np.errstate(over="ignore"):
+        for lo in range(0, len(found), 4096):
+            mixed = (found[lo : lo + 4096, None] ^ mixers[0]) * (mixers[1] | np.uint64(1))
+            mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x9FB21C651E98DF25)
+            least = np.minimum(least, mixed.min(axis=0))
+    keys = [xxhash.xxh3_64_intdigest(least[b * rows : (b + 1) * rows].tobytes(), b) for b in range(bands)]
+    return xxhash.xxh3_64_intdigest(found.tobytes()), fingerprint(text, words, tables).view(np.int64), np.array(keys, np.uint64).view(np.int64)
+
+
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """The distinct hashes of the text's shingles, sorted."""
+    parts = list(shingle_hashes(text, words))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, "<u8")
+
+
+def confirmed(sets: list[np.ndarray], labels: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Pairs of a spanning forest of the graph of all pairs of sets whose Jaccard similarity is at least `least`; sets of one label count as tied already."""
+    sizes, labels, out = np.array([len(x) for x in sets]), labels.copy(), []
+    words, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    for i in range(len(sets) - 1):
+        other = labels[i + 1 :] != labels[i]
+        if not other.any():
+            continue
+        marked = np.zeros(len(words), bool)
+        marked[flat[ends[i] - sizes[i] : ends[i]]] = True
+        sums = np.concatenate([[0], np.cumsum(marked[flat[ends[i] :]])])
+        both = np.diff(sums[np.concatenate([[0], ends[i + 1 :] - ends[i]])])
+        hits = i + 1 + np.flatnonzero(other & (both >= least * (sizes[i] + sizes[i + 1 :] - both) - 1e-9))
+        for j in hits.tolist():
+            if labels[j] != labels[i]:
+                labels[labels == labels[j]] = labels[i]
+                out.append((i, j))
+    return out
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, reach: int = 7, tables: int = 4, least: float = 0.8, bands: int = 20, rows: int = 5, block: int = 512) -> DataFrame:
+    """(doc_id, text_hash, component) of every row: components of the links between texts whose shingle sets have a Jaccard similarity of `least` or more.
+
+    Texts of equal shingle sets are one node. Candidates are nodes that share a bucket: values of one of `tables` independent
+    fingerprints that vantage-point trees link within `reach` bits (see links), or the same `rows` least mixed shingle hashes in one of
+    `bands` bands. At a similarity of 0.8 a pair meets in a band with probability 1 - (1 - 0.8**5)**20 = 0.9996. Within a
+    bucket each pair that is not tied yet is compared by its whole shingle sets, and only pairs that pass are links; buckets of the same nodes are looked at once.
+    Buckets of more than `block` nodes are dealt out in blocks; of those still in several components after that, each pair of blocks is compared, too.
     """
     spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            values = [fingerprint(t or b"", words, tables).view(np.int64) for t in pc.cast(batch.column(1), pa.binary()).to_pylist()]
-            yield {"doc_id": batch.column(0), "fps": values}
-
-    fps = in_arrow(only(docs, id_col, text_col), run, f"doc_id {dict(docs.dtypes)[id_col]}, fps array<long>")
-    fps = materialize(fps.select("doc_id", "fps", F.xxhash64("fps").alias("node")))
-    nodes = materialize(fps.groupBy("node").agg(F.first("fps").alias("fps"), F.min("doc_id").alias("least")))
-    edges = None
+            found = [signature(t or b"", words, tables, bands, rows) for t in pc.cast(batch.column(2), pa.binary()).to_pylist()]
+            node = np.array([f[0] for f in found], np.uint64).view(np.int64)
+            yield {"doc_id": batch.column(0), "text_hash": batch.column(1), "node": node, "fps": [f[1] for f in found], "bands": [f[2] for f in found]}
+
+    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(f"`{text_col}`").alias("text_hash"), F.col(f"`{text_col}`").alias("text"))
+    found = materialize(in_arrow(texts, run, f"doc_id {dict(docs.dtypes)[id_col]}, text_hash long, node long, fps array<long>, bands array<long>"))
+    nodes = materialize(found.groupBy("node").agg(F.first("fps").alias("fps"), F.first("bands").alias("bands"), F.min("text_hash").alias("text_hash")))
+    buckets = nodes.select(F.explode("bands").alias("bucket"), "node")
     for t in range(tables):
         values = nodes.select("node", F.col("fps")[t].alias("fp"))
-        ties = links(values, reach)
-        first = values.groupBy("fp").agg(F.min("node").alias("first"))
-        same = values.join(first, "fp").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
-        near = ties.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
-        more = materialize(same.unionAll(near.select(F.col("x").alias("a"), F.col("y").alias("b"))))
-        edges = more if edges is None else edges.unionAll(more)
+        ties = materialize(links(values, reach))
+        # values tied to one label in a shard share its bucket, the label itself and equal values too
+        named = ties.select(F.col("a").alias("fp"), F.col("b").alias("label")).unionAll(values.select("fp", F.col("fp").alias("label"))).distinct()
+        buckets = buckets.unionAll(values.join(named, "fp").select(F.xxhash64(F.lit(t), "label").alias("bucket"), "node"))
         release(spark)
-    joined = components(edges).withColumnsRenamed({"component": "root"})
-    member = nodes.join(joined, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    smallest = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(member.join(smallest, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    buckets = materialize(buckets)
+    # of buckets that hold the same nodes, one
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("mark")).where("n >= 2")
+    chosen = sizes.groupBy("n", "low", "high", "mark").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / block).alias("blocks"))
+    members = buckets.join(chosen, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    members = materialize(members.join(nodes.select("node", "text_hash"), "node"))
+    release(spark)
+    wanted = texts.join(members.select("text_hash").distinct(), "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
+    wanted = materialize(wanted)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        held: list[tuple[int, int, bytes]] = []
+        last = None
 
+        def settle() -> Iterator[dict]:
+            if len(held) > 1:
+                pairs = confirmed([shingle_set(t, words) for _, _, t in held], np.array([r for _, r, _ in held]), least)
+                if pairs:
+                    yield {"a": [held[i][0] for i, _ in pairs], "b": [held[j][0] for _, j in pairs]}
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, reach: int = 7, tables: int = 4) -> DataFrame:
+        for batch in batches:
+            # rows of a group follow one another; only one group is held
+            columns = [batch.column(i).to_pylist() for i in range(5)]
+            for bucket, part, node, root, text in zip(*columns[:4], pc.cast(batch.column(4), pa.binary()).to_pylist(), strict=True):
+                if last != (bucket, part):
+                    yield from settle()
+                    held.clear()
+                    last = bucket, part
+                held.append((node, root, text or b""))
+        yield from settle()
+
+    def compared(groups: DataFrame) -> DataFrame:
+        """Links (a, b) between the nodes of each (bucket, part)."""
+        whole = groups.join(wanted, "text_hash").select("bucket", "part", "node", "root", "text")
+        return materialize(in_arrow(whole.repartition("bucket", "part").sortWithinPartitions("bucket", "part"), compare, "a long, b long"))
+
+    edges = compared(members.select("bucket", F.col("block").cast("string").alias("part"), "node", F.col("node").alias("root"), "text_hash"))
+    release(spark)
+    joined = materialize(components(edges).withColumnsRenamed({"component": "root"}))
+    crowded = members.where("blocks > 1").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ones = crowded.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("bucket")
+    across = materialize(crowded.join(open_ones, "bucket", "left_semi"))
+    if across.head(1):
+        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+        tiles = across.select("*", other.alias("other")).where("other <> block")
+        tiles = tiles.select("bucket", F.concat_ws("-", F.least("block", "other"), F.greatest("block", "other")).alias("part"), "node", "root", "text_hash")
+        joined = components(edges.unionAll(compared(tiles))).withColumnsRenamed({"component": "root"})
+    return found.join(joined, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("component"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, reach: int = 7, tables: int = 4, least: float = 0.8) -> DataFrame:
     """docs with one row of each component of similar(): that of its smallest id (of rows that repeat that id, one). All columns stay.
 
-    Rows of null ids can't be named in a component's stead and stay.
+    Rows of different components stay even if they share an id. Rows of null ids can't be named in a component's stead and stay.
     """
-    found = similar(docs, id_col, text_col, words, reach, tables)
-    chosen = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
+    found = similar(docs, id_col, text_col, words, reach, tables, least)
+    first = found.where("doc_id is not null").groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("kept"))
+    chosen = first.select(F.col("kept.doc_id").alias("__kept"), F.col("kept.text_hash").alias("__hash")).distinct()
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    named = docs.join(chosen, F.col(f"`{id_col}`") == F.col("__kept"), "left_semi").dropDuplicates([id_col]).select(*columns)
+    hashed = docs.withColumn("__text", F.xxhash64(f"`{text_col}`"))
+    named = hashed.join(chosen, (F.col(f"`{id_col}`") == F.col("__kept")) & (F.col("__text") == F.col("__hash")), "left_semi").dropDuplicates([id_col, "__text"]).select(*columns)
     return named.unionAll(docs.where(F.col(f"`{id_col}`").isNull()))

@@ -156,6 +156,62 @@ def test_plan_is_whole_and_near_the_bound():
     assert total <= 1.01 * -(-(np.arange(4097) * counts).sum() // 4096)
 
 
+def planted_pairs(per_level=60):
+    """Pairs of texts with some words replaced one by one, and the exact Jaccard similarity of each pair's five-word shingles."""
+    rng, out = random.Random(8), []
+    shingles = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    for changes in (2, 3, 4, 5, 6, 7, 8, 9):
+        for _ in range(per_level):
+            a = [f"w{rng.randrange(5000)}" for _ in range(240)]
+            b = list(a)
+            for at in rng.sample(range(0, 240, 8), changes):
+                b[at] = f"x{rng.randrange(10**9)}"
+            x, y = shingles(a), shingles(b)
+            out.append((" ".join(a), " ".join(b), len(x & y) / len(x | y)))
+    return out
+
+
+def test_near_copies_at_the_stated_similarity(spark):
+    pairs = planted_pairs()
+    df = spark.createDataFrame([(2 * i + k, p[k]) for i, p in enumerate(pairs) for k in (0, 1)], "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.keep_one(df).collect()}
+    gone = [2 * i + 1 not in kept for i in range(len(pairs))]
+    near, far = ([g for g, p in zip(gone, pairs, strict=True) if (p[2] >= 0.8) == want] for want in (True, False))
+    print(f"recall {np.mean(near):.4f} of {len(near)}, wrong {np.mean(far):.4f} of {len(far)}, precision {sum(near) / max(1, sum(gone)):.4f}")
+    assert np.mean(near) >= 0.99 and not any(far) and all(2 * i in kept for i in range(len(pairs)))
+
+
+def test_near_copies_brute(spark):
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(60):
+        t = list(base)
+        for at in rng.sample(range(120), i % 5):
+            t[at] = f"x{rng.randrange(10**9)}"
+        texts.append(" ".join(t))
+    sets = [set(simhash.shingle_set(t.encode(), 5).tolist()) for t in texts]
+    labels = np.arange(60)
+    for i in range(60):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                labels[labels == labels[i]] = labels[j]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block in (8, 512):
+        found = simhash.similar(df, block=block).collect()
+        groups = collections.defaultdict(set)
+        for r in found:
+            groups[r.component].add(r.doc_id)
+        assert sorted(map(sorted, groups.values())) == sorted(np.flatnonzero(labels == x).tolist() for x in set(labels.tolist()))
+
+
+def test_keep_one_tells_texts_of_one_id_apart(spark):
+    rng = random.Random(10)
+    a, b = words(rng, 80), words(rng, 80)
+    kept = simhash.keep_one(spark.createDataFrame([(1, a), (1, b), (1, a), (2, b)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(1, a), (1, b)])
+
+
 @pytest.mark.parametrize("module", [topk, ann])
 def test_vector_search(spark, module):
     rng = np.random.default_rng(4)
