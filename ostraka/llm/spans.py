@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,33 +16,67 @@ from .common import in_arrow, materialize, release
 _END = re.compile(r"[.!?]+[\"'”»)\]]*\s+|\n\s*")
 
 
+#: Words of a sentence above which it is cut, and the fewest words of such a piece; the fewest words of a sentence that is a span by itself.
+LONG, PIECE, ALONE = 128, 64, 50
+
+_WORD = re.compile(r"\S+")
+
+
 def sentences(text: str) -> list[str]:
-    """The text in pieces that end after a sentence's end or a line's, white space after it included; joined they are the text."""
-    cuts = [m.end() for m in _END.finditer(text)]
-    return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True) if b > a]
+    """The text in pieces that end after a sentence's end or a line's, white space after it included; joined they are the text.
+
+    A sentence of more than LONG words is cut, into pieces of at least PIECE words, where the hash of two words says so, so that a passage is cut alike wherever it stands.
+    """
+    cuts = [0, *(m.end() for m in _END.finditer(text)), len(text)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if b - a > 2 * LONG:
+            at = [m.span() for m in _WORD.finditer(text, a, b)]
+            if len(at) > LONG:
+                last = 0
+                for k in range(PIECE, len(at) - PIECE + 1):
+                    if k - last >= PIECE and zlib.crc32(" ".join(text[x:y] for x, y in at[k - 1 : k + 1]).encode("utf-8", "surrogatepass")) % 16 == 0:
+                        cuts.append(at[k][0])
+                        last = k
+    cuts = sorted(cuts)
+    return [text[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
 
 
 def runs(parts: list[str], min_words: int) -> Iterator[tuple[int, int, bytes]]:
-    """(first, count, digest): from each sentence on, the fewest consecutive sentences that hold `min_words` words."""
+    """(first, count, digest): from each sentence on, and up to each, the fewest consecutive sentences that hold `min_words` words.
+
+    That are two at least, or one of ALONE words. So each sentence of a repeated passage of two sentences and `min_words` words
+    lies in a run within the passage: the one from its first sentence, the one up to its last, or one of its own.
+    """
     words = [p.split() for p in parts]
-    plain = [" ".join(w) for w in words]
+    own = [i for i, w in enumerate(words) if w]
+    plain = [" ".join(words[i]) for i in own]
+    counts = [len(words[i]) for i in own]
+    enough = lambda n, held, one: n > 1 and held >= min_words or n == 1 and one >= max(ALONE, min_words)
+    found: dict[tuple[int, int], None] = {}
     end = held = 0
-    for i in range(len(parts)):
-        while end < len(parts) and held < min_words:
-            held += len(words[end])
+    for i in range(len(own)):
+        while end < len(own) and not enough(end - i, held, counts[i]):
+            held += counts[end]
             end += 1
-        if held < min_words:
-            return
-        if words[i]:
-            yield i, end - i, xxhash.xxh3_128_digest("\n".join(plain[i:end]))
-        held -= len(words[i])
+        if enough(end - i, held, counts[i]):
+            found[i, end] = None
+        held -= counts[i]
+    for k in range(len(own)):
+        first, held = k, counts[k]
+        while first and not enough(k + 1 - first, held, counts[k]):
+            first -= 1
+            held += counts[first]
+        if enough(k + 1 - first, held, counts[k]):
+            found[first, k + 1] = None
+    for i, end in found:
+        yield own[i], own[end - 1] + 1 - own[i], xxhash.xxh3_128_digest("\n".join(plain[i:end]))
 
 
 def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 12) -> DataFrame:
     """docs with the text left over, and two more columns: n_sentences, n_removed.
 
-    A span is the fewest consecutive sentences from some sentence on that hold `min_words` words (white space counts as one
-    space). Spans are hashed to 128 bits and joined globally; the first of equal ones, in order of id and place, stays, and each
+    A span is the fewest consecutive sentences, two at least, from some sentence on or up to some sentence that hold `min_words` words
+    (white space counts as one space), or a sentence of ALONE words (see runs). Spans are hashed to 128 bits and joined globally; the first of equal ones, in order of id and place, stays, and each
     sentence that any other one covers is removed, in the same document too. The rest stays as it is; a text without removed
     sentences is unchanged. Null texts stay null, empty ones and those of fewer words have no span; null ids come first; rows
     that repeat both id and text are one document and keep or lose the same sentences. An empty table gives no rows.

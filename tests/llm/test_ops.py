@@ -304,6 +304,27 @@ def test_sentence_spans_brute(spark, rows):
         assert (found[i].text or "") == "".join(p for k, p in enumerate(parts) if k not in cover[i])
 
 
+def test_sentence_spans_take_whole_passages(spark):
+    rng = random.Random(12)
+    plain = lambda n: words(rng, n, 10**6)
+    long, short, lone, tail = (plain(n) + ". " for n in (20, 10, 20, 3))
+    run_on = plain(300)
+    texts = [
+        long + short + plain(30) + ".",
+        plain(25) + ". " + long + short + plain(31) + ". ",
+        plain(22) + ". " + long + short.strip(),
+        plain(26) + ". " + lone + plain(27) + ".",
+        plain(28) + ". " + lone + plain(29) + ".",
+        long + short + tail,
+        plain(90) + " " + run_on + " " + plain(90),
+        plain(80) + " " + run_on + " " + plain(100),
+    ]
+    out = {r.doc_id: r.text for r in spans.remove_repeated_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert out[0] == texts[0] and out[3] == texts[3] and out[4] == texts[4] and out[6] == texts[6]
+    assert out[1] == texts[1].replace(long + short, "") and out[2] == texts[2].replace(long + short.strip(), "") and out[5] == tail
+    assert len(out[7].split()) < 480 - 100
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script></head><body><nav><ul><li><a>Home</a></li></ul></nav><div class="ad">Buy now</div>
 <article><h1>A &amp; B</h1><p><b>One <i>two</i>three.<br>four<p>Five&nbsp;six<aside>no</aside><div class="comments"><p>reader</p></div></article><footer>&copy; x</footer></body></html>"""
 
