@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +38,13 @@ def shingle_hashes(text: bytes, words: int = 4, seed: int = 42) -> Iterator[np.n
 
 def fingerprint(text: bytes, words: int = 4, tables: int = 1) -> np.ndarray:
     """64 bits for each table: each is 1 if set in over half the hashes of the shingles; 0 without words. Further tables mix the hashes anew."""
+    return majority(shingle_hashes(text, words), tables)
+
+
+def majority(parts: Iterable[np.ndarray], tables: int) -> np.ndarray:
+    """The fingerprints of hashes that come in parts."""
     ones, n = np.zeros((tables, 64), np.int64), 0
-    for hashes in shingle_hashes(text, words):
+    for hashes in parts:
         n += len(hashes)
         for t in range(tables):
             if t:
@@ -206,18 +211,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 # Near copies at a stated Jaccard similarity
 
 
-def signature(text: bytes, words: int, tables: int, bands: int, rows: int) -> tuple[int, np.ndarray, np.ndarray]:
+def signature(text: bytes, words: int, tables: int, bands: int, rows: int, mixers: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
     """Of a text's set of shingles: its hash; a fingerprint for each table; and for each band the hash of the least values under `rows` mixings."""
-    found = shingle_set(text, words)
-    mixers = np.random.default_rng(11).integers(1, 1 << 63, (2, bands * rows), dtype=np.uint64)
+    parts = list(shingle_hashes(text, words))
+    found = np.unique(np.concatenate(parts)) if parts else np.zeros(0, "<u8")
     least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
     with np.errstate(over="ignore"):
         for lo in range(0, len(found), 4096):
-            mixed = (found[lo : lo + 4096, None] ^ mixers[0]) * (mixers[1] | np.uint64(1))
-            mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x9FB21C651E98DF25)
-            least = np.minimum(least, mixed.min(axis=0))
+            least = np.minimum(least, ((found[lo : lo + 4096] ^ mixers[0][:, None]) * mixers[1][:, None]).min(axis=1))
     keys = [xxhash.xxh3_64_intdigest(least[b * rows : (b + 1) * rows].tobytes(), b) for b in range(bands)]
-    return xxhash.xxh3_64_intdigest(found.tobytes()), fingerprint(text, words, tables).view(np.int64), np.array(keys, np.uint64).view(np.int64)
+    return xxhash.xxh3_64_intdigest(found.tobytes()), majority(parts, tables).view(np.int64), np.array(keys, np.uint64).view(np.int64)
 
 
 def shingle_set(text: bytes, words: int) -> np.ndarray:
@@ -257,10 +260,11 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     Buckets of more than `block` nodes are dealt out in blocks; of those still in several components after that, each pair of blocks is compared, too.
     """
     spark = docs.sparkSession
+    mixers = np.random.default_rng(11).integers(1, 1 << 63, (2, bands * rows), dtype=np.uint64) | np.array([[0], [1]], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            found = [signature(t or b"", words, tables, bands, rows) for t in pc.cast(batch.column(2), pa.binary()).to_pylist()]
+            found = [signature(t or b"", words, tables, bands, rows, mixers) for t in pc.cast(batch.column(2), pa.binary()).to_pylist()]
             node = np.array([f[0] for f in found], np.uint64).view(np.int64)
             yield {"doc_id": batch.column(0), "text_hash": batch.column(1), "node": node, "fps": [f[1] for f in found], "bands": [f[2] for f in found]}
 
