@@ -126,8 +126,12 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k
                         rough = norms[part][None, :] - 2 * dots
                         rough[ids[q, None] == own[part][None, :]] = np.inf
                         take = np.argpartition(rough, shortlist - 1, axis=1)[:, :shortlist] if n > shortlist else np.broadcast_to(np.arange(n), rough.shape)
+                        if n > shortlist:
+                            edge = np.take_along_axis(rough, take, 1).max(axis=1)
+                            for row in np.flatnonzero((rough <= edge[:, None]).sum(axis=1) > shortlist):
+                                take[row] = np.lexsort((own[part], rough[row]))[:shortlist]  # of those alike at the edge, the smaller ids
                         exact = np.stack([np.sqrt(((vectors[part][t] - v) ** 2).sum(axis=1)) for t, v in zip(take, values[q], strict=True)])
-                        keep = np.argsort(exact, axis=1, kind="stable")[:, : 4 * k]
+                        keep = np.lexsort((own[part][take], exact), axis=1)[:, : 4 * k]
                         keys.append(np.take_along_axis(exact, keep, 1))
                         got.append(own[part][np.take_along_axis(take, keep, 1)])
                     keys, got = np.concatenate(keys), np.concatenate(got)
