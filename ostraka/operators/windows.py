@@ -39,3 +39,16 @@ def numbered(df: DataFrame, partition: Sequence[str], order: Sequence[str], take
     most = F.coalesce(F.max(taken).over(w), F.lit(0))
     at = F.sum(F.when(taken.isNull(), 1).otherwise(0)).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return df.withColumn(name, F.concat(F.lit(prefix), F.coalesce(taken, most + at).cast("string")))
+
+
+def placed(df: DataFrame, key: Column, name: str) -> DataFrame:
+    """The position of each row in the order of key, from 1: the place within its range of keys, after all rows of the ranges before.
+
+    Ranges are checkpointed in spark.checkpoint.dir; only their counts reach the driver.
+    """
+    ranges = df.repartitionByRange(key).withColumn("__range", F.spark_partition_id()).checkpoint()
+    counts = sorted((r["__range"], r["count"]) for r in ranges.groupBy("__range").count().collect())
+    before = [(k, sum(n for _, n in counts[:i])) for i, (k, _) in enumerate(counts)]
+    starts = F.broadcast(df.sparkSession.createDataFrame(before, "__range int, __before long"))
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(key)) + F.col("__before")
+    return ranges.join(starts, "__range").withColumn(name, place).drop("__range", "__before")

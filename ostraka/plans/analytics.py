@@ -93,18 +93,15 @@ def autofill(spark, sf_dir):
 
 @query("SELECT user_id, max(ts) FILTER (event_type = 'purchase') AS latest FROM events GROUP BY user_id HAVING count(*) FILTER (event_type = 'purchase') > 0 ORDER BY latest DESC, user_id LIMIT 50")
 def latest_records(spark, sf_dir):
-    records = read(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list(F.struct("event_type", "ts")).alias("record"))
-    latest = F.array_max(F.transform(F.filter("record", lambda r: r["event_type"] == "purchase"), lambda r: r["ts"]))
-    return records.select("user_id", latest.alias("latest")).where("latest is not null").orderBy(F.desc("latest"), "user_id").limit(50)
+    latest = F.max(F.when(F.col("event_type") == "purchase", F.col("ts")))
+    return read(spark, sf_dir, "events").groupBy("user_id").agg(latest.alias("latest")).where("latest is not null").orderBy(F.desc("latest"), "user_id").limit(50)
 
 
 @query("""SELECT user_id, min(ts) FILTER (event_type = 'purchase') AS first_purchase FROM events GROUP BY user_id
     HAVING count(*) FILTER (event_type = 'purchase') > 0 AND coalesce(min(ts) FILTER (event_type = 'view'), TIMESTAMP '2999-01-01') > min(ts) FILTER (event_type = 'purchase')""")
 def needs_revision(spark, sf_dir):
-    record = F.array_sort(F.collect_list(F.struct("ts", "event_type")))
-    users = read(spark, sf_dir, "events").groupBy("user_id").agg(record.alias("record"))
-    first = lambda kind: F.get(F.filter("record", lambda r: r["event_type"] == kind), F.lit(0))["ts"]
-    found = users.select("user_id", first("purchase").alias("first_purchase"), first("view").alias("first_view"))
+    first = lambda kind: F.min(F.when(F.col("event_type") == kind, F.col("ts")))
+    found = read(spark, sf_dir, "events").groupBy("user_id").agg(first("purchase").alias("first_purchase"), first("view").alias("first_view"))
     return found.where("first_purchase is not null and (first_view is null or first_view > first_purchase)").select("user_id", "first_purchase")
 
 
@@ -199,8 +196,7 @@ def museum_sort(spark, sf_dir):
     prefix = F.when(F.col("doc_id") % 4 == 0, "K").when(F.col("doc_id") % 4 == 1, "BM").when(F.col("doc_id") % 4 == 2, "N").otherwise("Q")
     rows = read(spark, sf_dir, "documents").select(prefix.alias("prefix"), F.col("doc_id").alias("number")).distinct()
     key = sortkeys.museum_key(F.col("prefix"), F.col("number").cast("string"), F.lit(""))
-    # a global position is asked for: one sorted pass over the keys alone
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(key)))
+    return windows.placed(rows, key, "place")
 
 
 @query("SELECT doc_id, CASE WHEN lower(source) = 'src1' THEN 0 WHEN starts_with(lower(source), 'src1') THEN 1 WHEN contains(lower(source), '1') THEN 2 ELSE 6 END AS rank FROM documents")
