@@ -65,26 +65,29 @@ def in_arrow(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[
 
 
 class Memory:
-    """Answers for words met so far, in two generations of at most about `most` each: words that come again stay, the many that come once go."""
+    """Answers for words met so far, in two generations of at most about `most` words and `room` bytes each: words that come again stay, the many that come once go."""
 
-    def __init__(self, most: int = 1 << 17):
-        self.most = most
+    def __init__(self, answer: Callable[[list[str]], Iterable[bytes]], most: int = 1 << 18, room: int = 1 << 25):
+        self.answer, self.most, self.room = answer, most, room
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.held = 0
 
-    def of(self, words: Iterable[str], answer: Callable[[list[str]], Iterable[bytes]]) -> dict[str, bytes]:
-        """A dict that holds the answers for all of words; answer is asked for those that are not remembered."""
-        if len(self.young) > self.most:
-            self.old, self.young = self.young, {}
+    def of(self, words: set[str]) -> dict[str, bytes]:
+        """A dict that holds the answers for all of words; those not remembered are asked for together."""
+        if len(self.young) > self.most or self.held > self.room:
+            self.old, self.young, self.held = self.young, {}, 0
         fresh = []
-        for word in words:
-            if word not in self.young:
-                if (known := self.old.get(word)) is None:
-                    fresh.append(word)
-                else:
-                    self.young[word] = known
+        for word in words.difference(self.young):
+            if (known := self.old.get(word)) is None:
+                fresh.append(word)
+            else:
+                self.young[word] = known
+                self.held += len(word) + len(known)
         if fresh:
-            self.young.update(zip(fresh, answer(fresh), strict=True))
+            found = list(self.answer(fresh))
+            self.young.update(zip(fresh, found, strict=True))
+            self.held += sum(map(len, fresh)) + sum(map(len, found))
         return self.young
 
 

@@ -15,17 +15,19 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import Memory, in_arrow, materialize, only
 
-#: Texts whose new words are encoded together.
-TOGETHER = 32
+#: Texts whose new words are encoded together, and words in one string.
+TOGETHER, STRUNG = 32, 16
 
 _LETTERS = "a-zA-ZªµºÀ-ÖØ-öø-ſ"
 #: Texts of only these characters are cut into words here; any others go to the tokenizer whole.
 _PLAIN = re.compile(f"[\\t\\n\\r -~{_LETTERS}¡-©«-±´¶-¸»¿×÷]*")
 _WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\\s{_LETTERS}0-9]+")
+#: A number sign, and so a word by itself, that no plain text has.
+_BETWEEN = "²"
 
 
 class Words:
-    """A tokenizer that remembers words' ids (little-endian 32-bit bytes); byte-pair merges never cross words, so a text's ids are those of its words."""
+    """A tokenizer that remembers the ids (little-endian 32-bit bytes) of words and of what stands between white space; byte-pair merges never cross words, so a text's ids are those of its words."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
@@ -33,19 +35,38 @@ class Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memory = Memory()
+        (self.between,) = self.tokenizer.encode(_BETWEEN, add_special_tokens=False).ids
+        self.words, self.chunks = Memory(self.strung), Memory(self.parted)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def strung(self, words: list[str]) -> list[bytes]:
+        """The ids of plain words, many of which are strung together for one call."""
+        out = []
+        strings = [f" {_BETWEEN} ".join([*words[lo : lo + STRUNG], ""]) for lo in range(0, len(words), STRUNG)]
+        for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False):
+            ids, at = np.array(e.ids, "<u4"), 0
+            raw = ids.tobytes()
+            for end in (4 * np.flatnonzero(ids == self.between)).tolist():
+                out.append(raw[at:end])
+                at = end + 4
+        return out
+
+    def parted(self, chunks: list[str]) -> list[bytes]:
+        """The ids of chunks without white space: those of their words."""
+        cut = list(map(_WORD.findall, chunks))
+        known = self.words.of(set().union(*cut)).__getitem__
+        return [b"".join(map(known, words)) for words in cut]
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as the tokenizer gives them for the whole text."""
-        parted: list[list[str] | None] = []
+        cut: list[list[str] | None] = []
         for text in texts:
             odd = not _PLAIN.fullmatch(text) or "İ" in text or any(s in text for s in self.special) or not unicodedata.is_normalized("NFC", text)
-            parted.append(None if odd else _WORD.findall(text.lower()))
-        known = self.memory.of({w for words in parted if words is not None for w in words}, self.whole).__getitem__
-        return [self.whole([text])[0] if words is None else b"".join(map(known, words)) for text, words in zip(texts, parted, strict=True)]
+            cut.append(None if odd else text.lower().split())
+        known = self.chunks.of(set().union(*(c for c in cut if c is not None))).__getitem__
+        return [self.whole([text])[0] if c is None else b"".join(map(known, c)) for text, c in zip(texts, cut, strict=True)]
 
 
 _OPEN: dict[str, Words] = {}

@@ -62,7 +62,11 @@ def double_array(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 class Vocabulary:
-    """Pieces with log scores, byte pieces and the trie. From a file of merges (pieces ranked, not scored) a piece of rank r scores -log(r + 1)."""
+    """Pieces with log scores, byte pieces and the trie.
+
+    The public file at hand is one of merges: its pieces are ranked, not scored. For such a file a piece of rank r is given the score
+    -log(r + 1), which is no trained unigram score.
+    """
 
     def __init__(self, path: str):
         import sentencepiece
@@ -211,7 +215,7 @@ class Vocabulary:
     def encode(self, texts: list[str], memory: Memory) -> list[bytes]:
         """Ids of each text as bytes. memory: units met so far."""
         cut = [self.units(t) if t else [] for t in texts]
-        known = memory.of({u for units in cut for u in units}, self.answers).__getitem__
+        known = memory.of(set().union(*cut)).__getitem__
         return [b"".join(map(known, units)) for units in cut]
 
     def decode(self, ids: Iterable[int]) -> str:
@@ -233,7 +237,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     sent = docs.sparkSession.sparkContext.broadcast(Vocabulary(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        vocabulary, known = sent.value, _KNOWN.setdefault(model, Memory())
+        vocabulary, known = sent.value, _KNOWN.setdefault(model, Memory(sent.value.answers))
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
@@ -266,7 +270,7 @@ def check(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "
     sent = docs.sparkSession.sparkContext.broadcast(Vocabulary(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        vocabulary, known = sent.value, _KNOWN.setdefault(model, Memory())
+        vocabulary, known = sent.value, _KNOWN.setdefault(model, Memory(sent.value.answers))
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
