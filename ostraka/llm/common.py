@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -24,9 +25,11 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where that is unset only a local master may go on, with a temporary one: executors elsewhere would not see it."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="ostraka-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -37,13 +40,18 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.table_path = path
+    return written
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of finished steps whose DataFrames are gone; without a JVM collection it does so only now and then."""
+def release(spark: SparkSession, *done: DataFrame) -> None:
+    """Delete the tables of materialize() that nothing reads any more, and let Spark delete the shuffle files of finished steps; without a JVM collection it does so only now and then."""
     import gc
 
+    for df in done:
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.table_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
@@ -183,8 +191,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not last[0]:
             break
-        now = materialize(star(star(now, True), False))
-        release(spark)
+        before, now = now, materialize(star(star(now, True), False))
+        release(spark, before)
         mine = mark(now)
         if mine == last:
             break

@@ -16,8 +16,8 @@ from .common import in_arrow, materialize, release
 _END = re.compile(r"[.!?]+[\"'”»)\]]*\s+|\n\s*")
 
 
-#: Words of a sentence above which it is cut, and the fewest words of such a piece; the fewest words of a sentence that is a span by itself.
-LONG, PIECE, ALONE = 128, 64, 50
+#: Words of a sentence above which it is cut; the fewest words of such a piece; one in so many places, by the hash of the two words before it, is fit for a cut.
+LONG, PIECE, ONE_IN = 40, 8, 8
 
 _WORD = re.compile(r"\S+")
 
@@ -25,7 +25,8 @@ _WORD = re.compile(r"\S+")
 def sentences(text: str) -> list[str]:
     """The text in pieces that end after a sentence's end or a line's, white space after it included; joined they are the text.
 
-    A sentence of more than LONG words is cut, into pieces of at least PIECE words, where the hash of two words says so, so that a passage is cut alike wherever it stands.
+    A sentence of more than LONG words is cut like by commas, into pieces of at least PIECE words, where the hash of two words
+    says so; so a passage is cut alike wherever it stands.
     """
     cuts = [0, *(m.end() for m in _END.finditer(text)), len(text)]
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -34,7 +35,7 @@ def sentences(text: str) -> list[str]:
             if len(at) > LONG:
                 last = 0
                 for k in range(PIECE, len(at) - PIECE + 1):
-                    if k - last >= PIECE and zlib.crc32(" ".join(text[x:y] for x, y in at[k - 1 : k + 1]).encode("utf-8", "surrogatepass")) % 16 == 0:
+                    if k - last >= PIECE and zlib.crc32(" ".join(text[x:y] for x, y in at[k - 2 : k]).encode("utf-8", "surrogatepass")) % ONE_IN == 0:
                         cuts.append(at[k][0])
                         last = k
     cuts = sorted(cuts)
@@ -42,31 +43,30 @@ def sentences(text: str) -> list[str]:
 
 
 def runs(parts: list[str], min_words: int) -> Iterator[tuple[int, int, bytes]]:
-    """(first, count, digest): from each sentence on, and up to each, the fewest consecutive sentences that hold `min_words` words.
+    """(first, count, digest): from each sentence on, and up to each, the fewest consecutive sentences, two at least, that hold `min_words` words.
 
-    That are two at least, or one of ALONE words. So each sentence of a repeated passage of two sentences and `min_words` words
-    lies in a run within the passage: the one from its first sentence, the one up to its last, or one of its own.
+    They stand for every run of two sentences and `min_words` words or more: if such a run is repeated, so are those of its
+    fewest runs that lie within it, and each of its sentences lies in one of them (the one from its first sentence on, or the one up to that sentence).
     """
     words = [p.split() for p in parts]
     own = [i for i, w in enumerate(words) if w]
     plain = [" ".join(words[i]) for i in own]
     counts = [len(words[i]) for i in own]
-    enough = lambda n, held, one: n > 1 and held >= min_words or n == 1 and one >= max(ALONE, min_words)
     found: dict[tuple[int, int], None] = {}
     end = held = 0
     for i in range(len(own)):
-        while end < len(own) and not enough(end - i, held, counts[i]):
+        while end < len(own) and (end - i < 2 or held < min_words):
             held += counts[end]
             end += 1
-        if enough(end - i, held, counts[i]):
+        if end - i >= 2 and held >= min_words:
             found[i, end] = None
         held -= counts[i]
-    for k in range(len(own)):
+    for k in range(1, len(own)):
         first, held = k, counts[k]
-        while first and not enough(k + 1 - first, held, counts[k]):
+        while first and (first == k or held < min_words):
             first -= 1
             held += counts[first]
-        if enough(k + 1 - first, held, counts[k]):
+        if held >= min_words:
             found[first, k + 1] = None
     for i, end in found:
         yield own[i], own[end - 1] + 1 - own[i], xxhash.xxh3_128_digest("\n".join(plain[i:end]))
@@ -75,15 +75,20 @@ def runs(parts: list[str], min_words: int) -> Iterator[tuple[int, int, bytes]]:
 def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 12) -> DataFrame:
     """docs with the text left over, and two more columns: n_sentences, n_removed.
 
-    A span is the fewest consecutive sentences, two at least, from some sentence on or up to some sentence that hold `min_words` words
-    (white space counts as one space), or a sentence of ALONE words (see runs). Spans are hashed to 128 bits and joined globally; the first of equal ones, in order of id and place, stays, and each
-    sentence that any other one covers is removed, in the same document too. The rest stays as it is; a text without removed
-    sentences is unchanged. Null texts stay null, empty ones and those of fewer words have no span; null ids come first; rows
-    that repeat both id and text are one document and keep or lose the same sentences. An empty table gives no rows.
+    A span is a run of two or more consecutive sentences that hold `min_words` words (white space counts as one space); runs()
+    gives the spans that stand for all. They are hashed to 128 bits and joined globally; the first of equal ones, in order of id
+    and place, stays, and each sentence that any other one covers is removed, in the same document too. The rest stays as it is;
+    a text without removed sentences is unchanged. Null texts stay null, empty ones and those of one sentence or fewer words have no
+    span; null ids come first; rows that repeat both id and text are one document and keep or lose the same sentences. An empty
+    table gives no rows.
+
+    Texts are cut once, and the spans written. Hashes are counted before rows are joined, and what a join looks up is written
+    first, so that a very common span is split over many tasks by Spark's handling of skewed joins.
     """
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[id_col]
-    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.hash(f"`{text_col}`").alias("text_hash"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    hashed = F.xxhash64(F.col(f"`{text_col}`"))
+    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), hashed.alias("text_hash"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
@@ -98,18 +103,18 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 rows, halves = pa.array(row), np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
                 yield {"h1": halves[:, 0], "h2": halves[:, 1], "doc_id": batch.column(0).take(rows), "text_hash": batch.column(1).take(rows), "at": at, "n": n}
 
-    spans = in_arrow(texts, cut, f"h1 long, h2 long, doc_id {kind}, text_hash int, at int, n int")
+    spans = materialize(in_arrow(texts, cut, f"h1 long, h2 long, doc_id {kind}, text_hash long, at int, n int"))
+    # half the hash says which spans can occur twice; only those are looked at again
+    again = materialize(spans.groupBy("h1").agg(F.count("*").alias("times")).where("times >= 2").select("h1"))
+    alike = materialize(spans.join(again.hint("merge"), "h1", "left_semi"))
     place = F.struct("doc_id", "text_hash", "at")
-    # first the hashes alone: only spans of which half the hash occurs twice are looked at again; what is joined grows with the input, so neither side is sent to all
-    again = spans.groupBy("h1").agg(F.count("*").alias("times")).where("times >= 2").select("h1").hint("merge")
-    alike = spans.join(again, "h1")
-    first = alike.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min(place).alias("first")).where("times >= 2").select("h1", "h2", "first").hint("merge")
-    later = alike.join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
+    first = materialize(alike.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min(place).alias("first")).where("times >= 2").select("h1", "h2", "first"))
+    later = alike.join(first.hint("merge"), ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
     removed = materialize(later.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("at", "n")).alias("runs")))
-    release(spark)
+    release(spark, spans, again, alike, first)
     names = docs.columns
     removed = removed.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("runs").alias("__runs")).hint("merge")
-    joined = docs.join(removed, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.hash(f"`{text_col}`") == F.col("__hash")), "left").drop("__id", "__hash")
+    joined = docs.join(removed, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (hashed == F.col("__hash")), "left").drop("__id", "__hash")
     text_at = names.index(text_col)
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:

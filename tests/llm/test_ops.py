@@ -290,13 +290,16 @@ def test_sentence_spans_brute(spark, rows):
     for i, t in sorted(set((i, t or "") for i, t in given)):
         parts = spans.sentences(t)
         assert "".join(parts) == t
-        for a in range(len(parts)):
-            n = next((b for b in range(a + 1, len(parts) + 1) if sum(len(p.split()) for p in parts[a:b]) >= 12), None)
-            if n and parts[a].split():
-                key = "\n".join(" ".join(p.split()) for p in parts[a:n])
-                if key in seen:
-                    cover[i] |= set(range(a, n))
-                seen.setdefault(key, (i, a))
+        full = [k for k, p in enumerate(parts) if p.split()][:400]
+        for x in range(len(full)):
+            for y in range(x + 1, len(full)):
+                key = "\n".join(" ".join(parts[k].split()) for k in full[x : y + 1])
+                if len(key.split()) >= 12:
+                    if key in seen:
+                        cover[i] |= set(range(full[x], full[y] + 1))
+                    seen.setdefault(key, (i, x))
+                    if len(key.split()) > 150:
+                        break
     found = {r.doc_id: r for r in spans.remove_repeated_spans(spark.createDataFrame(given, "doc_id long, text string")).collect()}
     for i, t in given:
         parts = spans.sentences(t or "")
