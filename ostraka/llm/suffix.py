@@ -183,16 +183,18 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield {"anchor": np.concatenate(keys), "ctx": np.array(ctx, np.uint64).view(np.int64), "doc_id": batch.column(0).take(rows), "text_hash": batch.column(1).take(rows), "start": np.concatenate(at), "n": np.concatenate(counts)}
 
     runs = in_arrow(texts, cut, f"anchor long, ctx long, doc_id {kind}, text_hash long, start int, n int")
-    often = runs.groupBy("anchor").count().where("count >= 2").select("anchor")
-    kept = materialize(runs.join(often, "anchor"))
-    release(spark)
+    runs = materialize(runs)
+    # what a join looks up is written first: a very common anchor is then split over many tasks by Spark's handling of skewed joins
+    often = materialize(runs.groupBy("anchor").count().where("count >= 2").select("anchor"))
+    kept = materialize(runs.join(often.hint("merge"), "anchor", "left_semi"))
+    release(spark, runs, often)
     owner = F.xxhash64("doc_id", "text_hash")
     twice_over = "low <> high" if apart else "times >= 2"
     contexts = materialize(kept.groupBy("anchor", "ctx").agg(F.count("*").alias("times"), F.min(owner).alias("low"), F.max(owner).alias("high"), F.min(F.struct("doc_id", "text_hash", "start", "n")).alias("rep")))
-    crowds = contexts.groupBy("anchor").agg(F.count("*").alias("crowd")).where("crowd >= 2")
-    mixed = contexts.join(crowds, "anchor").select("anchor", "ctx", "times", "low", "high", "crowd", "rep.*")
+    crowds = materialize(contexts.groupBy("anchor").agg(F.count("*").alias("crowd")).where("crowd >= 2"))
+    mixed = contexts.join(crowds.hint("merge"), "anchor").select("anchor", "ctx", "times", "low", "high", "crowd", "rep.*")
     wanted = mixed.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("anchor", "ctx", "times", "low", "high", "crowd", "start", "n")).alias("items"))
-    wanted = wanted.select(F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash"), "items")
+    wanted = materialize(wanted.select(F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash"), "items"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
@@ -202,9 +204,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 pieces = [text[s : s + k + length - 1] for s, k in zip(start.tolist(), n.tolist(), strict=True)]
                 yield {name: items.field(name) for name in ("anchor", "ctx", "times", "low", "high", "crowd")} | {"piece": pieces}
 
-    pieces = in_arrow(texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_hash") == F.col("w_hash"))).select("text", "items"), fetch, "anchor long, ctx long, times long, low long, high long, crowd long, piece binary")
+    pieces = in_arrow(texts.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_hash") == F.col("w_hash"))).select("text", "items"), fetch, "anchor long, ctx long, times long, low long, high long, crowd long, piece binary")
     pieces = materialize(pieces)
-    release(spark)
+    release(spark, wanted, crowds)
 
     def marked(rows: list[tuple]) -> dict:
         out: dict = {"anchor": [], "ctx": [], "lo": [], "hi": []}
@@ -239,12 +241,15 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     many = in_arrow(pieces.where(F.col("crowd") > crowd).drop("crowd"), hashes, "anchor long, ctx long, times long, low long, high long, at int, h1 long, h2 long")
     twice = many.groupBy("h1", "h2").agg(F.sum("times").alias("times"), F.min("low").alias("low"), F.max("high").alias("high")).where(twice_over).select("h1", "h2")
-    by_hash = many.join(twice, ["h1", "h2"]).select("anchor", "ctx", F.col("at").alias("lo"), (F.col("at") + 1).alias("hi"))
+    by_hash = many.join(materialize(twice).hint("merge"), ["h1", "h2"]).select("anchor", "ctx", F.col("at").alias("lo"), (F.col("at") + 1).alias("hi"))
     whole = contexts.where(twice_over).select("anchor", "ctx", F.lit(0).alias("lo"), F.col("rep.n").alias("hi"))
-    parts = whole.unionAll(by_sort).unionAll(by_hash).groupBy("anchor", "ctx").agg(F.collect_set(F.struct("lo", "hi")).alias("parts"))
-    spans = kept.join(parts, ["anchor", "ctx"]).select("doc_id", "text_hash", "start", F.explode("parts").alias("p"))
+    parts = materialize(whole.unionAll(by_sort).unionAll(by_hash).groupBy("anchor", "ctx").agg(F.collect_set(F.struct("lo", "hi")).alias("parts")))
+    release(spark, pieces, contexts)
+    spans = kept.join(parts.hint("merge"), ["anchor", "ctx"]).select("doc_id", "text_hash", "start", F.explode("parts").alias("p"))
     spans = spans.select("doc_id", "text_hash", F.struct((F.col("start") + F.col("p.lo")).alias("start"), (F.col("start") + F.col("p.hi") + (length - 1)).alias("end")).alias("span"))
-    return materialize(spans.groupBy("doc_id", "text_hash").agg(F.collect_set("span").alias("spans")))
+    found = materialize(spans.groupBy("doc_id", "text_hash").agg(F.collect_set("span").alias("spans")))
+    release(spark, kept, parts)
+    return found
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, crowd: int = CROWD) -> DataFrame:
