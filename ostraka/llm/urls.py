@@ -9,19 +9,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import in_arrow, only
+from . import url_labels
+from .common import in_arrow
 
 BUCKETS, SIZES = 1 << 15, (2, 3, 4, 5)
 
-#: Words of a small labelled URL table, made by labelled_urls().
-UNWANTED = ("cheap-pills", "casino", "free-money", "spam-farm", "xxx-cams", "win-prize", "hot-singles", "payday-loans", "replica-watches", "viagra-store", "torrent-crack", "bet-bonus", "adult-x", "free-bets")
-WANTED = ("library", "university", "news", "museum", "gardening", "weather", "recipes", "history", "science", "blog", "docs", "school", "garden-club", "open-maps")
-
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """(url, 1 for unwanted): each word as a host of several forms."""
-    forms = ("http://{}.example.com/en/{}", "https://www.{}.example.org/{}.html", "http://blog.{}.example.net/fr/{}/", "https://m.{}.example.com/es/{}?page=2")
-    return [(form.format(word, 37 * i + 11 * j), label) for label, words in ((1, UNWANTED), (0, WANTED)) for i, word in enumerate(words) for j, form in enumerate(forms)]
+    """(url, 1 for unwanted) of the small labelled table, in the order of its hosts."""
+    lines = [(line.split(), label) for label, text in ((1, url_labels.UNWANTED), (0, url_labels.WANTED)) for line in text.split("\n") if line]
+    return [(f"https://{host}{path}", label) for (host, *paths), label in lines for path in ("", *paths)]
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -43,7 +40,7 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Co
 
 
 def grams(host: str, path: str) -> np.ndarray:
-    """Buckets of the distinct character n-grams of host and path, each marked by its part; slots of digits count alike."""
+    """Buckets of the distinct character n-grams of host and path, each marked by its part; digits count alike."""
     found = set()
     for mark, text in (("h", f"^{host}$"), ("p", f"^{path}$")):
         text = "".join("0" if c.isdigit() else c for c in text)
@@ -83,8 +80,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], labelled: Ite
 
     rules: (verdict, "host/path") pairs, a short list; the longest that fits decides, else the regression: block from
     `threshold` up. The model is fitted here from a small labelled table and its 32,768 weights go to the tasks. A null url or
-    one without `://` has empty host and path and is judged by the regression like any other; ids, null or repeated, are carried
-    as they are; an empty table gives no rows.
+    one without `://` has empty host and path and is judged by the regression like any other, that is by its bias and the n-grams of an
+    empty name; ids, null or repeated, are carried as they are; a url may be of any length; an empty table gives no rows.
     """
     weights, bias = fit(labelled_urls() if labelled is None else labelled)
     rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"))

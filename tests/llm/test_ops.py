@@ -266,11 +266,26 @@ def test_urls(spark):
         assert (r.host, r.path, r.rule) == (host, path, rule)
         assert r.verdict == (verdict or ("block" if r.score >= 0.5 else "allow"))
         assert urls.split_url(url) == (host, path)
+    empty = urls.judge_urls(df.limit(0), rules)
+    assert empty.count() == 0 and empty.columns == ["page_id", "host", "path", "rule", "verdict", "score"]
+    odd = spark.createDataFrame([(None, "http://b.org/", "z"), (1, "http://b.org/", "z"), (1, "http://b.org/", "z"), (2, "http://" + "long" * 50000 + ".org/" + "x" * 200000, "z")], "page_id long, url string, host string")
+    assert sorted((str(r.page_id), r.rule, r.verdict) for r in urls.judge_urls(odd, rules).collect()) == [("1", "org/", "allow"), ("1", "org/", "allow"), ("2", "org/", "allow"), ("None", "org/", "allow")]
+
+
+def test_urls_held_out_by_host():
     labelled = urls.labelled_urls()
-    weights, bias = urls.fit([x for i, x in enumerate(labelled) if i % 4])
-    judge = lambda u: weights[(g := urls.grams(*urls.split_url(u)))].sum() / np.sqrt(len(g)) + bias > 0
-    held = [x for i, x in enumerate(labelled) if i % 4 == 0]
-    assert np.mean([judge(u) == bool(y) for u, y in held]) >= 0.9
+    hosts = sorted({urls.split_url(u)[0] for u, _ in labelled})
+    right, of = {0: 0, 1: 0}, {0: 0, 1: 0}
+    for fold in range(4):
+        out = {h for h in hosts if zlib.crc32(h.encode()) % 4 == fold}
+        weights, bias = urls.fit([x for x in labelled if urls.split_url(x[0])[0] not in out])
+        for u, y in labelled:
+            if urls.split_url(u)[0] in out:
+                g = urls.grams(*urls.split_url(u))
+                of[y] += 1
+                right[y] += (weights[g].sum() / np.sqrt(len(g)) + bias > 0) == bool(y)
+    print({y: (right[y], of[y]) for y in of})
+    assert right[0] >= 0.75 * of[0] and right[1] >= 0.75 * of[1] and len(hosts) > 100
 
 
 def test_sentence_spans(spark, rows):
