@@ -358,6 +358,53 @@ def test_html(spark):
     assert found[20].text.count("menu0") == 2
 
 
+def test_html_names_and_broken_markup():
+    text = lambda page: html.blocks(page)[0]
+    assert text('<article class="post comments-open"><p>Kept.</p></article>') == ["Kept."]
+    assert text('<article><h2 id="search-engines">Search</h2><p class="share-price">12</p><div class="notice-of-meeting">At ten.</div></article>') == ["Search", "12", "At ten."]
+    assert text('<article><p>A</p><div class="site-notice">x</div><ul id="related_posts-2"><li>x</ul><div role="navigation">x</div><div class="big ad-slot">x</div><p>B</p></article><article class="comment-body">x</article>') == ["A", "B"]
+    assert text('<article><p title="a>Hello</p><p>There</p></article>') == ["Hello", "There"]
+    assert text("<article><p data-x=it's>Two</p><p title='a > b' x=\"<i>\">Three</p></article>") == ["Two", "Three"]
+    assert text("<article>" + "<div><b>" * 50000 + "deep" + "</i></b></div>" * 50000 + "<p>end</article>") == ["deep", "end"]
+    long = " ".join(f"w{i}" for i in range(400000))
+    assert text(f"<main><p>{long}</p></main>") == [long]
+    assert text("<article><p" + ' x="1"' * 100000 + ">a" + "<" * 100000) == ["a" + "<" * 100000]
+
+
+def test_html_repeats_brute(spark):
+    """On pages without an article, the words kept are those that no run repeated on another page of the host covers."""
+    rng = random.Random(21)
+    shared = [words(rng, n, 10**6) for n in (9, 20, 8, 7)]
+    pages = []
+    for i in range(40):
+        parts = [words(rng, rng.randrange(1, 14), 10**6) if rng.random() < 0.5 else rng.choice(shared) for _ in range(6)]
+        pages.append((i, f"http://h{i % 3}.net/{i}", "".join(f"<p>{p}</p>" for p in parts), parts))
+    found = {r.page_id: r.text for r in html.main_text(spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string")).collect()}
+    streams = {i: [w for p in parts for w in p.split()] for i, _, _, parts in pages}
+    for i, _, _, parts in pages:
+        own, gone = streams[i], set()
+        others = {tuple(s[k : k + 8]) for j, s in streams.items() if j != i and j % 3 == i % 3 and s != own for k in range(len(s) - 7)}
+        for k in range(len(own) - 7):
+            if tuple(own[k : k + 8]) in others:
+                gone |= set(range(k, k + 8))
+        at, kept = 0, []
+        for p in parts:
+            n = len(p.split())
+            cover = [k in gone for k in range(at, at + n)]
+            runs, k = [], 0
+            while k < n:
+                e = k
+                while e < n and cover[e] == cover[k]:
+                    e += 1
+                if not cover[k] or e - k < min(8, n):
+                    runs += p.split()[k:e]
+                k = e
+            if runs:
+                kept.append(" ".join(runs))
+            at += n
+        assert found[i] == "\n".join(kept)
+
+
 def test_pieces(spark, rows):
     model = public_tokenizers.path("piece_bpe_32k.model")
     df = spark.createDataFrame([*rows, (300, "▁literal ▁ mark\x00 ſ 𝄞  two", None, None, None, None, None)], DOCS)
