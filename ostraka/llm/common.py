@@ -176,13 +176,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     def star(pairs: DataFrame, both: bool) -> DataFrame:
         near = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))) if both else pairs
-        least = near.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a"), F.least("a", "m").alias("m"))
-        tied = near.join(least, "a")
+        # written before it is joined, so that Spark can split the edges of a hub over many tasks
+        least = materialize(near.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a"), F.least("a", "m").alias("m")))
+        tied = near.join(least.hint("merge"), "a")
         if both:
             out = tied.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
             out = tied.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b")))
-        return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        out = materialize(out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        release(spark, least)
+        return out
 
     def mark(pairs: DataFrame) -> tuple:
         return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
@@ -191,8 +194,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not last[0]:
             break
-        before, now = now, materialize(star(star(now, True), False))
-        release(spark, before)
+        large = star(now, True)
+        before, now = now, star(large, False)
+        release(spark, before, large)
         mine = mark(now)
         if mine == last:
             break

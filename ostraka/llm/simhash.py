@@ -202,10 +202,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     joined = components(links(fps, reach)).withColumnsRenamed({"node": "fp", "component": "root"})
     release(spark)
-    member = classes.join(joined, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_class = materialize(member.join(smallest, "root").select(F.col("fp").alias("class_fp"), "component_id"))
-    return fps.join(by_class, F.col("fp") == F.col("class_fp")).select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    member = materialize(classes.join(joined, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    # written before they are joined: a component or a class of a third of all rows is then split over many tasks
+    smallest = materialize(member.groupBy("root").agg(F.min("least").alias("component_id")))
+    by_class = materialize(member.join(smallest.hint("merge"), "root").select(F.col("fp").alias("class_fp"), "component_id"))
+    release(spark, member, smallest)
+    return fps.join(by_class.hint("merge"), F.col("fp") == F.col("class_fp")).select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 # Near copies at a stated Jaccard similarity
@@ -280,14 +282,16 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
         buckets = buckets.unionAll(values.join(named, "fp").select(F.xxhash64(F.lit(t), "label").alias("bucket"), "node"))
         release(spark)
     buckets = materialize(buckets)
+    release(spark)
     # of buckets that hold the same nodes, one
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("mark")).where("n >= 2")
-    chosen = sizes.groupBy("n", "low", "high", "mark").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / block).alias("blocks"))
-    members = buckets.join(chosen, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    members = materialize(members.join(nodes.select("node", "text_hash"), "node"))
-    release(spark)
-    wanted = texts.join(members.select("text_hash").distinct(), "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
-    wanted = materialize(wanted)
+    chosen = materialize(sizes.groupBy("n", "low", "high", "mark").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / block).alias("blocks")))
+    members = materialize(buckets.join(chosen.hint("merge"), "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))))
+    release(spark, buckets, chosen)
+    # one text of each node, taken before anything is shuffled by node
+    asked = materialize(members.select("node").distinct().join(nodes.select("node", "text_hash"), "node"))
+    wanted = materialize(texts.join(asked.hint("merge"), "text_hash").groupBy("node").agg(F.first("text").alias("text")))
+    release(spark, nodes, asked)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         held: list[tuple[int, int, bytes]] = []
@@ -312,21 +316,22 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
 
     def compared(groups: DataFrame) -> DataFrame:
         """Links (a, b) between the nodes of each (bucket, part)."""
-        whole = groups.join(wanted, "text_hash").select("bucket", "part", "node", "root", "text")
+        whole = groups.join(wanted.hint("merge"), "node").select("bucket", "part", "node", "root", "text")
         return materialize(in_arrow(whole.repartition("bucket", "part").sortWithinPartitions("bucket", "part"), compare, "a long, b long"))
 
-    edges = compared(members.select("bucket", F.col("block").cast("string").alias("part"), "node", F.col("node").alias("root"), "text_hash"))
+    edges = compared(members.select("bucket", F.col("block").cast("string").alias("part"), "node", F.col("node").alias("root")))
     release(spark)
     joined = materialize(components(edges).withColumnsRenamed({"component": "root"}))
-    crowded = members.where("blocks > 1").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ones = crowded.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("bucket")
-    across = materialize(crowded.join(open_ones, "bucket", "left_semi"))
+    crowded = materialize(members.where("blocks > 1").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    open_ones = materialize(crowded.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("bucket"))
+    across = materialize(crowded.join(open_ones.hint("merge"), "bucket", "left_semi"))
     if across.head(1):
         other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
         tiles = across.select("*", other.alias("other")).where("other <> block")
-        tiles = tiles.select("bucket", F.concat_ws("-", F.least("block", "other"), F.greatest("block", "other")).alias("part"), "node", "root", "text_hash")
-        joined = components(edges.unionAll(compared(tiles))).withColumnsRenamed({"component": "root"})
-    return found.join(joined, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("component"))
+        tiles = tiles.select("bucket", F.concat_ws("-", F.least("block", "other"), F.greatest("block", "other")).alias("part"), "node", "root")
+        joined = materialize(components(edges.unionAll(compared(tiles))).withColumnsRenamed({"component": "root"}))
+    release(spark, members, wanted, crowded, open_ones, across)
+    return found.join(joined.hint("merge"), "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("component"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, reach: int = 7, tables: int = 4, least: float = 0.8) -> DataFrame:
