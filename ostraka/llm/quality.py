@@ -96,7 +96,12 @@ def chance(margin: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
 
 
-def one_hot(meta: list[list[int]]) -> np.ndarray:
+def flat(column: pa.Array) -> np.ndarray:
+    """A column of arrays of one size as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def one_hot(meta: list[list[int]] | np.ndarray) -> np.ndarray:
     out = np.zeros((len(meta), META_FEATURES))
     out[np.arange(len(meta))[:, None], np.array(meta, np.int64).reshape(len(meta), 3)] = 1
     return out
@@ -119,7 +124,7 @@ def pseudo_sums(features: DataFrame, models: list[Logistic], teachers: list[Logi
             free = np.array([i not in own for i in batch.column(0).to_pylist()], bool)
             if not free.any():
                 continue
-            views = [np.array(batch.column(1).to_pylist(), float)[free], one_hot(batch.column(2).to_pylist())[free]]
+            views = [flat(batch.column(1)).astype(float)[free], one_hot(flat(batch.column(2)))[free]]
             at = 0
             for k, model in enumerate(models):
                 belief = chance(teachers[1 - k].margin(views[1 - k]))

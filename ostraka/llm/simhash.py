@@ -252,7 +252,7 @@ def confirmed(sets: list[np.ndarray], labels: np.ndarray, least: float) -> list[
     return out
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, reach: int = 7, tables: int = 4, least: float = 0.8, bands: int = 20, rows: int = 5, block: int = 512) -> DataFrame:
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, reach: int = 7, tables: int = 1, least: float = 0.8, bands: int = 20, rows: int = 5, block: int = 512) -> DataFrame:
     """(doc_id, text_hash, component) of every row: components of the links between texts whose shingle sets have a Jaccard similarity of `least` or more.
 
     Texts of equal shingle sets are one node. Candidates are nodes that share a bucket: values of one of `tables` independent
@@ -334,7 +334,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     return found.join(joined.hint("merge"), "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("component"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, reach: int = 7, tables: int = 4, least: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, reach: int = 7, tables: int = 1, least: float = 0.8) -> DataFrame:
     """docs with one row of each component of similar(): that of its smallest id (of rows that repeat that id, one). All columns stay.
 
     Rows of different components stay even if they share an id. Rows of null ids can't be named in a component's stead and stay.
