@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import Best, in_arrow, materialize, matrix, modal_size, only, query_blocks
+from .common import Best, in_arrow, materialize, matrix, modal_size, on_grid, only, query_rows
 
 #: Candidates scored against a group of queries at once.
 CHUNK, GROUP = 4096, 32
@@ -86,63 +85,60 @@ def _useful(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return at[some], values[some]
 
 
-def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, every: int = 100, shortlist: int = 256, block: int = 2048, books: int = 16, words: int = 256, beam: int = 4, sample: int = 16384) -> DataFrame:
+def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, every: int = 100, shortlist: int = 256, block: int = 4096, part: int = 1 << 16, books: int = 16, words: int = 256, beam: int = 4, sample: int = 16384) -> DataFrame:
     """Each query's k nearest found by Euclidean distance: query_id, rank (from 1), vec_id, score (the exact distance).
 
-    Additive quantisation: rows are encoded by beam search over full-dimensional residual codebooks; a task scores its rows
-    from lookup tables of query times codeword and the stored norms, takes the `shortlist` best for each query in each chunk
-    of 4096 rows, and reranks those exactly on the original vectors; the k best of all tasks are merged. The shortlist grows with the rows,
-    so recall does not fall as tables grow. Queries are rows whose id is divisible by `every`, sent in blocks of about `block`;
-    candidates are all rows but the query's own id. Ties go to the smaller id; fewer candidates than k: all of them. Null ids
-    and vectors, zero vectors, those with null or non-finite components and those not of the commonest length take no part. A
-    repeated id counts once. An empty table gives no rows.
+    Additive quantisation: rows are encoded by beam search over full-dimensional residual codebooks. Blocks of about `block` queries
+    meet parts of about `part` rows, each cell once (see on_grid): rows are scored from lookup tables of query times codeword and
+    the stored norms, the `shortlist` best for each query in each chunk of 4096 rows are reranked exactly on the original vectors,
+    and the k best of all cells are merged. What is reranked holds the `shortlist` best of all rows, however they are dealt, and
+    grows with the rows, so recall does not fall as tables grow.
+
+    Queries are rows whose id is divisible by `every`; candidates are all rows but the query's own id. Ties go to the smaller id;
+    fewer candidates than k: all of them. Null ids and vectors, zero vectors, those with null or non-finite components and those
+    not of the commonest length take no part. A repeated id counts once. An empty table gives no rows.
     """
     index, codebooks, size = build_index(df, id_col, vec_col, books, words, beam, sample)
-    found = []
-    queries = query_blocks(only(df, id_col, vec_col).where(F.col(id_col).isNotNull()), id_col, vec_col, size, every, block) if codebooks is not None else ()
-    for ids, values in queries:
-        some = (values != 0).any(axis=1)
-        ids, values = ids[some], values[some]
-        if not len(ids):
-            continue
-
-        def search(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, values: np.ndarray = values) -> Iterator[dict]:
-            tables = np.einsum("qd,bwd->qbw", values.astype(np.float32), codebooks)
-            best = Best(len(ids), k, np.float64, np.inf)
-            for batch in batches:
-                own = batch.column(0).to_numpy()
-                vectors = batch.column(1).flatten().to_numpy().reshape(len(own), size)
-                codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(own), -1).astype(np.int64)
-                norms = batch.column(3).to_numpy()
-                for lo in range(0, len(own), CHUNK):
-                    part = slice(lo, lo + CHUNK)
-                    n = len(own[part])
-                    keys, got = [], []
-                    for first in range(0, len(ids), GROUP):
-                        q = slice(first, first + GROUP)
-                        dots = np.zeros((len(ids[q]), n), np.float32)
-                        for b in range(codes.shape[1]):
-                            dots += tables[q, b][:, codes[part, b]]
-                        rough = norms[part][None, :] - 2 * dots
-                        rough[ids[q, None] == own[part][None, :]] = np.inf
-                        take = np.argpartition(rough, shortlist - 1, axis=1)[:, :shortlist] if n > shortlist else np.broadcast_to(np.arange(n), rough.shape)
-                        if n > shortlist:
-                            edge = np.take_along_axis(rough, take, 1).max(axis=1)
-                            for row in np.flatnonzero((rough <= edge[:, None]).sum(axis=1) > shortlist):
-                                take[row] = np.lexsort((own[part], rough[row]))[:shortlist]  # of those alike at the edge, the smaller ids
-                        exact = np.stack([np.sqrt(((vectors[part][t] - v) ** 2).sum(axis=1)) for t, v in zip(take, values[q], strict=True)])
-                        keep = np.lexsort((own[part][take], exact), axis=1)[:, : 4 * k]
-                        keys.append(np.take_along_axis(exact, keep, 1))
-                        got.append(own[part][np.take_along_axis(take, keep, 1)])
-                    keys, got = np.concatenate(keys), np.concatenate(got)
-                    best.add(keys, got, got == ids[:, None])
-            yield best.rows(ids)
-
-        found.append(in_arrow(index, search, "query_id long, vec_id long, key double"))
-    if not found:
+    if codebooks is None:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if len(found) > 1:
-        found = [materialize(x) for x in found]
+
+    def search(asked: pa.Table, given: pa.Table) -> dict | None:
+        at, values = _useful(asked.column("vector").combine_chunks(), size)
+        ids = asked.column("id").to_numpy()[at]
+        if not len(ids):
+            return None
+        own = given.column("id").to_numpy()
+        vectors = given.column("vector").combine_chunks().flatten().to_numpy().reshape(len(own), size)
+        codes = np.frombuffer(b"".join(given.column("codes").to_pylist()), np.uint8).reshape(len(own), -1).astype(np.int64)
+        norms = given.column("norm").to_numpy()
+        best = Best(len(ids), k, np.float64, np.inf)
+        for lo in range(0, len(own), CHUNK):
+            piece = slice(lo, lo + CHUNK)
+            n = len(own[piece])
+            keys, got = [], []
+            for first in range(0, len(ids), GROUP):
+                q = slice(first, first + GROUP)
+                tables = np.einsum("qd,bwd->qbw", values[q].astype(np.float32), codebooks)
+                dots = np.zeros((len(ids[q]), n), np.float32)
+                for b in range(codes.shape[1]):
+                    dots += tables[:, b][:, codes[piece, b]]
+                rough = norms[piece][None, :] - 2 * dots
+                rough[ids[q, None] == own[piece][None, :]] = np.inf
+                take = np.argpartition(rough, shortlist - 1, axis=1)[:, :shortlist] if n > shortlist else np.broadcast_to(np.arange(n), rough.shape)
+                if n > shortlist:
+                    edge = np.take_along_axis(rough, take, 1).max(axis=1)
+                    for row in np.flatnonzero((rough <= edge[:, None]).sum(axis=1) > shortlist):
+                        take[row] = np.lexsort((own[piece], rough[row]))[:shortlist]  # of those alike at the edge, the smaller ids
+                exact = np.stack([np.sqrt(((vectors[piece][t] - v) ** 2).sum(axis=1)) for t, v in zip(take, values[q], strict=True)])
+                keep = np.lexsort((own[piece][take], exact), axis=1)[:, : 4 * k]
+                keys.append(np.take_along_axis(exact, keep, 1))
+                got.append(own[piece][np.take_along_axis(take, keep, 1)])
+            keys, got = np.concatenate(keys), np.concatenate(got)
+            best.add(keys, got, got == ids[:, None])
+        return best.rows(ids)
+
+    queries = query_rows(only(df, id_col, vec_col).where(F.col(id_col).isNotNull()), id_col, vec_col, size, every)
+    found = on_grid(queries, index, search, "query_id long, vec_id long, key double", block, part)
     window = Window.partitionBy("query_id").orderBy("key", "vec_id")
-    merged = reduce(DataFrame.unionAll, found).groupBy("query_id", "vec_id").agg(F.min("key").alias("key"))
+    merged = found.groupBy("query_id", "vec_id").agg(F.min("key").alias("key"))
     return merged.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", F.col("key").alias("score"))

@@ -118,21 +118,34 @@ def matrix(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return at[good], values[good]
 
 
-def query_blocks(df: DataFrame, id_col: str, vec_col: str, size: int, every: int, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The query rows (id divisible by every) in blocks of about `block`, so that what is sent to the tasks is bounded.
+def query_rows(df: DataFrame, id_col: str, vec_col: str, size: int, every: int) -> DataFrame:
+    """(id, vector) of the rows whose id is divisible by `every`, written to the shared folder. Rows that repeat an id count once, with the smallest vector."""
+    rows = df.where((F.col(id_col) % every == 0) & (F.size(vec_col) == size))
+    return materialize(rows.groupBy(F.col(id_col).alias("id")).agg(F.min(vec_col).alias("vector")))
 
-    Rows that repeat an id count once, with the smallest vector.
+
+def on_grid(queries: DataFrame, candidates: DataFrame, search: Callable[[pa.Table, pa.Table], dict | None], schema: str, block: int, part: int) -> DataFrame:
+    """search(queries, candidates) in each cell of a grid of query blocks (about `block` rows) and candidate parts (about `part` rows), all in one job.
+
+    Rows are dealt by their place in the scan, so repeated ids and vectors spread out; a cell's two tables are what a task holds.
+    Each query goes to all parts and each candidate to all blocks: that is the stated query set against all rows.
     """
-    queries = df.where((F.col(id_col) % every == 0) & (F.size(vec_col) == size))
-    n = queries.count()
-    parts = -(-n // block)
-    for part in range(parts):
-        own = queries.where(F.pmod(F.xxhash64(id_col), F.lit(parts)) == part)
-        got = own.groupBy(id_col).agg(F.min(vec_col).alias(vec_col)).toArrow().combine_chunks().to_batches()
-        for batch in got:
-            at, values = matrix(batch.column(1), size)
-            if len(at):
-                yield batch.column(0).to_numpy()[at], values
+    spark = queries.sparkSession
+    blocks = max(1, -(-queries.count() // block))
+    n = candidates.count()
+    parts = max(1, -(-n // part), min(spark.sparkContext.defaultParallelism, n // 2048))
+    dealt = lambda n: F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.withColumn("__block", dealt(blocks)).withColumn("__part", every(parts))
+    right = candidates.withColumn("__part", dealt(parts)).withColumn("__block", every(blocks))
+    keys, target = ["__block", "__part"], to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        found = search(a, b) if a.num_rows and b.num_rows else None
+        return target.empty_table() if found is None else pa.table([pa.array(found[f.name], f.type) for f in target], schema=target)
+
+    left, right = (x.repartition(blocks * parts, *keys).groupBy(*keys) for x in (left, right))
+    return left.cogroup(right).applyInArrow(run, schema)
 
 
 class Best:

@@ -241,6 +241,26 @@ def test_vector_search(spark, module):
     assert (module.inner_product_topk(few) if module is topk else module.nearest(few)).count() == 1
 
 
+@pytest.mark.parametrize("module", [topk, ann])
+def test_vector_search_on_a_grid(spark, module):
+    """More than one block of queries and part of candidates; many ties; zero vectors; repeated ids; the whole agrees with brute force."""
+    rng = np.random.default_rng(14)
+    x = rng.integers(-3, 4, size=(3000, 6)).astype(float)
+    x[::7] = x[0] = [1, 2, 3, 1, 2, 3]
+    x[50], x[200] = 0, 0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(8, x[8].tolist())] * 40, "vec_id long, embedding array<double>")
+    run = (lambda d: topk.inner_product_topk(d, block=7, part=500)) if module is topk else (lambda d: ann.nearest(d, block=7, part=500, books=6, words=32, shortlist=1500))
+    got = collections.defaultdict(list)
+    for r in sorted(run(df).collect(), key=lambda r: (r.query_id, r.rank)):
+        got[r.query_id].append((r.vec_id, r.score))
+    zero = [50, 200] if module is ann else []
+    assert set(got) == set(range(0, 3000, 100)) - set(zero)
+    for q, own in got.items():
+        score = -(x * 1024) @ (x[q] * 1024) if module is topk else np.sqrt(((x - x[q]) ** 2).sum(1))
+        order = [int(i) for i in np.lexsort((np.arange(3000), score)) if i != q and i not in zero][:10]
+        assert own == [(i, (-score if module is topk else score)[i]) for i in order]
+
+
 def test_ann_recall(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(6000, 32)).astype(np.float32)
