@@ -5,7 +5,11 @@ from __future__ import annotations
 import re
 
 #: Letters that a query may spell in several ways.
-LETTER_CLASSES = ("hḫḥ", "sšṣś", "tṭ", "gĝǧ", "aāâ", "eēê", "iīî", "uūû", "oōô")
+LETTER_CLASSES = (
+    "sšṣśσSŠṢŚΣ", "sßS", "tṭτTṬΤ", "dᵈD", "hḫḥHḪḤʕʾʿ", "cčçćCČÇĆ", "gĝğGĜĞ", "kκKΚ", "lłLŁ", "nńňνNŃŇΝ", "rřρRŘΡ", "yýÿYÝŸ", "xₓX",
+    "aāâáàäαAĀÂÁÀÄΑ", "eēêéèEĒÊÉÈ", "iīîíìïıιIĪÎÍÌÏΙ", "uūûúùüůUŪÛÚÙÜŮ", "oòóôöøōőοOÒÓÔÖØŌŐΟ",
+    "0₀⁰øØ", "1₁¹", "2₂²", "3₃³", "4₄⁴", "5₅⁵", "6₆⁶", "7₇⁷", "8₈⁸", "9₉⁹", "+₊",
+)
 
 
 def _sign(name: str, java: bool) -> str:
@@ -34,13 +38,13 @@ def sign_query(query: str) -> list[str]:
 
 
 def collated(query: str) -> str:
-    """A case-blind pattern for text: `?` one character, `*` a run without spaces, letters of a class for one another; a quoted query is exact."""
+    """A case-blind pattern for text: `?` one character, `*` a run without spaces, letters of a class for one another (of two classes the first); a quoted query is exact."""
     if len(query) > 1 and query[0] == query[-1] == '"':
         return "^" + re.escape(query[1:-1]) + "$"
     out = ""
     for c in query:
-        group = next((g for g in LETTER_CLASSES if c.lower() in g), "")
-        out += r"\S" if c == "?" else r"\S*" if c == "*" else f"[{group}{group.upper()}]" if group else re.escape(c)
+        group = next((g for g in LETTER_CLASSES if c in g), "")
+        out += r"\S" if c == "?" else r"\S*" if c == "*" else f"[{group}]" if group else re.escape(c)
     return "(?i)" + out
 
 

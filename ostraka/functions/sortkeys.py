@@ -8,7 +8,7 @@ import unicodedata
 from pyspark.sql import Column, functions as F
 
 #: Order of museum prefixes, the class of digits and that of all others.
-PREFIX_ORDER = {"k": 1, "sm": 2, "dt": 3, "rm": 4, "rm-ii": 5, "bm": 7, "cbs": 8, "um": 9, "n": 10, "ni": 11, "hs": 8}
+PREFIX_ORDER = {"K": 1, "Sm": 2, "DT": 3, "Rm": 4, "Rm-II": 5, "BM": 7, "IM": 8, "ISACM-A": 9, "HS": 10, "CBS": 11, "UM": 12, "N": 13, "NBC": 14, "YBC": 15}
 NUMERIC_CLASS, OTHER_CLASS = 6, 16
 #: The alphabet in its order.
 AKKADIAN = "-'abdeghḫiklmnpqrsṣštṭuwyz"
@@ -17,11 +17,10 @@ _ROMAN = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}
 
 def museum_key(prefix: Column, number: Column, suffix: Column) -> Column:
     """Struct of seven parts that sorts as museum numbers do: class of the prefix, then each part as a number, or behind all numbers as text."""
-    low = F.lower(prefix)
     rank = F.when(prefix.rlike(r"^\d+$"), NUMERIC_CLASS)
     for name, place in PREFIX_ORDER.items():
-        rank = rank.when(low == name, place)
-    whole = lambda c: F.coalesce(c.try_cast("int"), F.lit(2**31 - 1))
+        rank = rank.when(prefix == name, place)
+    whole = lambda c: F.coalesce(c.try_cast("bigint"), F.lit(2**63 - 1))
     return F.struct(rank.otherwise(OTHER_CLASS).alias("c"), whole(prefix).alias("p"), prefix.alias("ps"), whole(number).alias("n"), number.alias("ns"), whole(suffix).alias("s"), suffix.alias("ss"))
 
 

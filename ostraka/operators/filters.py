@@ -12,10 +12,6 @@ from ..functions.sortkeys import plain
 from ..functions.text import strings
 
 
-def has_lines(lines: Column) -> Column:
-    return F.coalesce(F.size(lines) > 0, F.lit(False))
-
-
 def visible(scopes: Column, allowed: Sequence[str] = (), only_missing: bool = False) -> Column:
     """Row-level security: no scopes, none in the list, or one that is allowed. only_missing: the stricter notion of public."""
     if only_missing:
@@ -84,8 +80,23 @@ def starts_with(parts: Column, query: str) -> Column:
     return plain(F.concat(F.array_join(parts, " "), F.lit(" "))).startswith(plain(F.lit(query)))
 
 
-def live(deprecated: Column) -> Column:
-    return ~F.coalesce(deprecated, F.lit(False))
+def equal(df: DataFrame, field: str, value: str) -> Column:
+    """The field is the value or, where it is an array, holds it."""
+    return F.array_contains(field, value) if dict(df.dtypes)[field].startswith("array") else F.col(field) == value
+
+
+def reaches(items: Column, n: int) -> Column:
+    """There is an item at place n (from 0); false for null."""
+    return F.coalesce(F.size(items) > n, F.lit(False))
+
+
+def blank(text: Column) -> Column:
+    return F.coalesce(text, F.lit("")) == ""
+
+
+def exactly(arrays: Column, values: Sequence[str]) -> Column:
+    """One of the arrays is just these values, in this order."""
+    return F.coalesce(F.exists(arrays, lambda x: x == strings(values)), F.lit(False))
 
 
 def covers(have: Column, need: Column) -> Column:

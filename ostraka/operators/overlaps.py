@@ -14,12 +14,11 @@ def scores(docs: DataFrame, id_col: str, vectors: str, candidate: int | str) ->
     an array of literals' size and sent along; the scores then return by an equi-join and a maximum.
     """
     long = docs.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(vectors)).alias("vector"))
-    own = docs.where(F.col(id_col) == candidate).select(F.explode(F.array_distinct(vectors)).alias("own"))
-    mine = own.agg(F.collect_set("own").alias("mine"))
+    # the vectors of one document, by their distinct values, as literals
+    mine = [r["own"] for r in docs.where(F.col(id_col) == candidate).select(F.explode(F.array_distinct(vectors)).alias("own")).distinct().collect()]
     others = long.where(F.col("id") != candidate)
-    # one row, the candidate's: its size is that of one document
-    each = others.select("vector").distinct().join(F.broadcast(mine), F.size("mine") > 0)
-    pairs = each.select("vector", F.explode(F.transform("mine", lambda m: linevec.overlap(m, F.col("vector")))).alias("o"))
+    own = F.array(*map(F.lit, mine)).cast("array<string>")
+    pairs = others.select("vector").distinct().select("vector", F.explode(F.transform(own, lambda m: linevec.overlap(m, F.col("vector")))).alias("o"))
     scored = pairs.groupBy("vector").agg(F.max("o.score").alias("score"), F.max("o.weighted").alias("weighted"))
     return others.join(scored, "vector").groupBy("id").agg(F.max("score").alias("score"), F.max("weighted").alias("weighted"))
 

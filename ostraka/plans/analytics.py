@@ -20,18 +20,18 @@ def lookup_nested(spark, sf_dir):
 
 
 @query("""SELECT l_orderkey, string_agg(l_linenumber || ':' || p_brand, ',' ORDER BY l_linenumber, l_partkey) AS refs
-    FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey % 7 = 0 GROUP BY l_orderkey""")
+    FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey""")
 def regroup_refs(spark, sf_dir):
-    items = read(spark, sf_dir, "lineitem").where("l_orderkey % 7 = 0")
+    items = read(spark, sf_dir, "lineitem")
     orders = items.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("refs"))
     found = lookups.regroup(orders, ["l_orderkey"], "refs", read(spark, sf_dir, "part").select("p_partkey", "p_brand"), "l_partkey", "p_partkey", "part")
     return found.select("l_orderkey", F.array_join(F.transform("refs", lambda r: F.concat_ws(":", r["item"]["l_linenumber"].cast("string"), r["part"]["p_brand"])), ",").alias("refs"))
 
 
-@query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, EXISTS (SELECT 1 FROM lineitem b WHERE b.l_partkey = a.l_partkey AND b.l_suppkey = a.l_suppkey AND b.l_returnflag = 'R') AS returned FROM lineitem a WHERE l_orderkey % 11 = 0")
+@query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, EXISTS (SELECT 1 FROM lineitem b WHERE b.l_partkey = a.l_partkey AND b.l_suppkey = a.l_suppkey AND b.l_returnflag = 'R') AS returned FROM lineitem a")
 def lookup_composite(spark, sf_dir):
     items = read(spark, sf_dir, "lineitem")
-    found = lookups.exists_flag(items.where("l_orderkey % 11 = 0"), items.where("l_returnflag = 'R'"), ["l_partkey", "l_suppkey"], "returned")
+    found = lookups.exists_flag(items, items.where("l_returnflag = 'R'"), ["l_partkey", "l_suppkey"], "returned")
     return found.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "returned")
 
 
@@ -190,10 +190,13 @@ def natural_sort(spark, sf_dir):
     return rows.withColumn("padded", F.substring(sortkeys.natural_key(F.col("source")), 4, 12)).orderBy(sortkeys.natural_key(F.col("source")))
 
 
-@query("""SELECT prefix, number, row_number() OVER (ORDER BY CASE prefix WHEN 'K' THEN 1 WHEN 'BM' THEN 7 WHEN 'N' THEN 10 ELSE 16 END, prefix, number) AS place
-    FROM (SELECT DISTINCT CASE doc_id % 4 WHEN 0 THEN 'K' WHEN 1 THEN 'BM' WHEN 2 THEN 'N' ELSE 'Q' END AS prefix, doc_id AS number FROM documents)""")
+_PREFIXES = (*sortkeys.PREFIX_ORDER, "k", "Q", "1903")
+
+
+@query(f"""SELECT prefix, number, row_number() OVER (ORDER BY coalesce(list_position({list(sortkeys.PREFIX_ORDER)[:5]}, prefix), list_position({list(sortkeys.PREFIX_ORDER)[5:]}, prefix) + 6, CASE prefix WHEN '1903' THEN 6 ELSE 16 END), prefix, number) AS place
+    FROM (SELECT DISTINCT {list(_PREFIXES)}[doc_id % {len(_PREFIXES)} + 1] AS prefix, doc_id AS number FROM documents)""")
 def museum_sort(spark, sf_dir):
-    prefix = F.when(F.col("doc_id") % 4 == 0, "K").when(F.col("doc_id") % 4 == 1, "BM").when(F.col("doc_id") % 4 == 2, "N").otherwise("Q")
+    prefix = F.get(F.array(*map(F.lit, _PREFIXES)), (F.col("doc_id") % len(_PREFIXES)).cast("int"))
     rows = read(spark, sf_dir, "documents").select(prefix.alias("prefix"), F.col("doc_id").alias("number")).distinct()
     key = sortkeys.museum_key(F.col("prefix"), F.col("number").cast("string"), F.lit(""))
     return windows.placed(rows, key, "place")
@@ -226,9 +229,9 @@ def priority_union(spark, sf_dir):
     return found[0].unionAll(found[1]).unionAll(found[2]).groupBy("id").agg(F.min("kind").alias("kind"))
 
 
-@query("SELECT a.p_partkey AS a, b.p_partkey AS b, CAST(a.p_size AS INTEGER) AS a_value, CAST(b.p_size AS INTEGER) AS b_value FROM part a JOIN part b ON a.p_partkey <> b.p_partkey AND abs(a.p_size - b.p_size) <= 2 WHERE a.p_brand = b.p_brand AND a.p_brand = 'Brand#13'")
+@query("SELECT a.p_partkey AS a, b.p_partkey AS b, CAST(a.p_size AS INTEGER) AS a_value, CAST(b.p_size AS INTEGER) AS b_value FROM part a JOIN part b ON a.p_partkey <> b.p_partkey AND abs(a.p_size - b.p_size) <= 2 WHERE a.p_brand = b.p_brand")
 def range_neighbours(spark, sf_dir):
-    return lookups.near_values(read(spark, sf_dir, "part").where("p_brand = 'Brand#13'"), "p_partkey", "p_size", 2)
+    return lookups.near_values(read(spark, sf_dir, "part"), "p_partkey", "p_size", 2, "p_brand")
 
 
 @query("""WITH RECURSIVE R AS (SELECT p_partkey AS id, p_partkey AS target, 0 AS hops FROM part UNION ALL
@@ -259,10 +262,10 @@ def dq_orphans(spark, sf_dir):
     return read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left_anti").select("doc_id").distinct()
 
 
-@query("""WITH E AS (SELECT user_id, event_id, CAST(floor(value) AS BIGINT) AS s, CAST(floor(value) AS BIGINT) + 1 AS e FROM events WHERE event_type = 'purchase')
+@query("""WITH E AS (SELECT user_id, event_id, CAST(floor(value) AS BIGINT) AS s, CAST(floor(value) AS BIGINT) + 1 AS e FROM events)
     SELECT a.user_id, a.event_id AS a, b.event_id AS b FROM E a JOIN E b ON a.user_id = b.user_id AND a.event_id < b.event_id AND a.s <= b.e AND b.s <= a.e""")
 def dq_interval_overlap(spark, sf_dir):
-    rows = read(spark, sf_dir, "events").where("event_type = 'purchase'").select("user_id", "event_id", F.floor("value").alias("s"), (F.floor("value") + 1).alias("e"))
+    rows = read(spark, sf_dir, "events").select("user_id", "event_id", F.floor("value").alias("s"), (F.floor("value") + 1).alias("e"))
     places = rows.select("user_id", "event_id", F.explode(F.sequence("s", "e")).alias("at"))
     left, right = places.withColumnRenamed("event_id", "a"), places.withColumnRenamed("event_id", "b")
     return left.join(right, ["user_id", "at"]).where("a < b").select("user_id", "a", "b").distinct()

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from ..functions import linevec
-from ..operators import changes, overlaps
+from ..functions import linevec, sortkeys
+from ..operators import changes, overlaps, windows
 from .base import query, read
 
 # Line vectors: a user's events in order stand for lines
@@ -131,11 +131,8 @@ _TENS, _ONES = ("", "x", "xx", "xxx", "xl", "l"), ("", "i", "ii", "iii", "iv", "
 @query(f"SELECT p_partkey, {list(_TENS)}[p_size // 10 + 1] || {list(_ONES)}[p_size % 10 + 1] AS numeral, CAST(p_size AS INTEGER) AS number FROM part")
 def roman_numbers(spark, sf_dir):
     numeral = F.concat(F.get(F.array(*map(F.lit, _TENS)), F.floor(F.col("p_size") / 10).cast("int")), F.get(F.array(*map(F.lit, _ONES)), F.col("p_size") % 10))
-    worth = F.create_map(*[F.lit(x) for pair in (("i", 1), ("v", 5), ("x", 10), ("l", 50), ("c", 100), ("d", 500), ("m", 1000)) for x in pair])
-    values = F.transform(F.filter(F.split("numeral", ""), lambda c: c != ""), lambda c: worth[c])
-    signed = F.transform("values", lambda v, i: F.when(v < F.coalesce(F.get("values", i + 1), F.lit(0)), -v).otherwise(v))
-    rows = read(spark, sf_dir, "part").select("p_partkey", numeral.alias("numeral")).withColumn("values", values)
-    return rows.select("p_partkey", "numeral", F.aggregate(signed, F.lit(0), lambda n, v: n + v).alias("number"))
+    rows = read(spark, sf_dir, "part").select("p_partkey", numeral.alias("numeral"))
+    return rows.select("p_partkey", "numeral", F.when(F.col("numeral") == "", 0).otherwise(sortkeys.roman(F.col("numeral"))).alias("number"))
 
 
 @query("""WITH K AS (SELECT p_partkey, replace(lower(p_brand), '#', '') || p_size || coalesce(list_filter(string_split(p_name, ' '), lambda w: w NOT IN ('the', 'a', 'of'))[1], '') AS stem FROM part)
@@ -206,15 +203,13 @@ def tag_split(spark, sf_dir):
 @query("SELECT o_custkey, min(o_orderkey) AS lowest FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey")
 def lowest_join(spark, sf_dir):
     """The first number of each group that is in the collection."""
-    groups = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(F.struct("o_orderkey", "o_orderstatus")).alias("members"))
-    lowest = F.array_min(F.filter("members", lambda m: m["o_orderstatus"] == "F"))["o_orderkey"]
-    return groups.select("o_custkey", lowest.alias("lowest")).where("lowest is not null")
+    finished = F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey"))
+    return read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min(finished).alias("lowest")).where("lowest is not null")
 
 
 @query("""WITH P AS (SELECT p_brand || p_size AS grp, max(p_retailprice) AS best, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1)
     SELECT 'BDG-' || printf('%04d', row_number() OVER (ORDER BY best DESC, grp)) AS group_id, grp, n FROM P""")
 def group_ids(spark, sf_dir):
     groups = read(spark, sf_dir, "part").groupBy(F.concat("p_brand", F.col("p_size").cast("string")).alias("grp")).agg(F.max("p_retailprice").alias("best"), F.count("*").alias("n")).where("n > 1")
-    # a global number is asked for: one sorted pass over the groups alone
-    place = F.row_number().over(Window.orderBy(F.desc("best"), "grp"))
-    return groups.select(F.concat(F.lit("BDG-"), F.lpad(place.cast("string"), 4, "0")).alias("group_id"), "grp", "n")
+    placed = windows.placed(groups, F.struct((-F.col("best")).alias("b"), "grp"), "place")
+    return placed.select(F.concat(F.lit("BDG-"), F.lpad(F.col("place").cast("string"), 4, "0")).alias("group_id"), "grp", "n")

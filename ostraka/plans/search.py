@@ -63,9 +63,9 @@ def lemma_and_sign(spark, sf_dir):
     return lines_text(matchers.both(matchers.lemma_and(docs, ["is"]), matchers.signs(docs, "in ? of")))
 
 
-@query("SELECT doc_id, 0 AS match_count, '' AS matching_lines FROM documents WHERE lang = 'de'")
+@query("SELECT doc_id, 0 AS match_count, '' AS matching_lines FROM documents")
 def no_matcher(spark, sf_dir):
-    return lines_text(matchers.everything(_docs(spark, sf_dir).where("lang = 'de'")))
+    return lines_text(matchers.everything(_docs(spark, sf_dir)))
 
 
 @query(f"WITH {_T}, M AS (SELECT DISTINCT doc_id, line_index FROM T WHERE token = 'the') SELECT * FROM ({_OUT}) ORDER BY match_count DESC, doc_id LIMIT 30 OFFSET 30")
@@ -135,7 +135,7 @@ def corpus_both(spark, sf_dir):
     return matchers.corpus_result(union.join(lemma.select(*keys).distinct(), keys, "left_semi").join(sign.select(*keys).distinct(), keys, "left_semi"), keys)
 
 
-@query(f"WITH {_L} SELECT doc_id, line_index FROM L WHERE regexp_matches(line, '(?i)[sšṣśSŠṢŚ][hḫḥHḪḤ][aāâAĀÂ][tṭTṬ]\\S*r[eēêEĒÊ]')")
+@query(f"WITH {_L} SELECT doc_id, line_index FROM L WHERE regexp_matches(line, '(?i)[sšṣśσSŠṢŚΣ][hḫḥHḪḤʕʾʿ][aāâáàäαAĀÂÁÀÄΑ][tṭτTṬΤ]\\S*[rřρRŘΡ][eēêéèEĒÊÉÈ]')")
 def collated_lines(spark, sf_dir):
     return text.lines(read(spark, sf_dir, "documents")).where(F.col("line").rlike(patterns.collated("shat*re"))).select("doc_id", "line_index")
 

@@ -33,23 +33,36 @@ def check_import(rows: DataFrame, stored: DataFrame, id_col: str = "_id", needed
 
 
 def glossary_entries(text: Column) -> Column:
-    """array of (lemma, guideword, pos, forms, senses) of a glossary file's text; blocks without a proper head are left out."""
-    blocks = F.regexp_extract_all(text, F.lit(r"(?s)@entry\s.*?@end entry"), 0)
-    head = r"@entry\s+(\S+)\s+\[([^\]]+)\]\s+(\w+)"
-    form, sense = r"@form\s+(.+?)\s+\$(\S+)", r"@sense\s+(\w+)\s+(.+)"
-
-    def listed(block: Column, pattern: str, first: str, second: str) -> Column:
-        found = F.regexp_extract_all(block, F.lit(pattern), 0)
-        return F.transform(found, lambda x: F.struct(F.trim(F.regexp_extract(x, pattern, 1)).alias(first), F.trim(F.regexp_extract(x, pattern, 2)).alias(second)))
-
-    return F.transform(
-        F.filter(blocks, lambda b: b.rlike(head)),
-        lambda b: F.struct(
-            *[F.regexp_extract(b, head, i + 1).alias(name) for i, name in enumerate(("lemma", "guideword", "pos"))],
-            listed(b, form, "transliteration", "transcription").alias("forms"),
-            listed(b, sense, "pos", "guideword").alias("senses"),
-        ),
-    )
+    """array of (lemma, guideword, pos, forms, senses) of a glossary file's text.
+
+    The file is read by its lines: a line `@entry` opens an entry, `@end entry` closes it, and between them each line starts with its
+    tag. An entry that is never closed, or whose first line is not `@entry word [meaning] class`, is left out; so are lines between entries.
+    """
+    def word(line: Column, place: int) -> Column:
+        return F.coalesce(F.get(F.split(F.trim(line), r"\s+"), F.lit(place)), F.lit(""))
+
+    def rest(line: Column, skip: int) -> Column:
+        return F.array_join(F.slice(F.split(F.trim(line), r"\s+"), skip + 1, 10_000), " ")
+
+    def tagged(lines: Column, tag: str) -> Column:
+        return F.filter(lines, lambda x: word(x, 0) == tag)
+
+    def read(lines: Column) -> Column:
+        opening = F.get(lines, F.lit(0))
+        before, behind = F.substring_index(opening, "[", 1), F.substring_index(opening, "]", -1)
+        inner = F.substring_index(F.substring_index(opening, "[", -1), "]", 1)
+        form = lambda x: F.struct(F.trim(F.substring_index(rest(x, 1), "$", 1)).alias("transliteration"), word(F.substring_index(x, "$", -1), 0).alias("transcription"))
+        sense = lambda x: F.struct(word(x, 1).alias("pos"), rest(x, 2).alias("guideword"))
+        return F.struct(
+            word(before, 1).alias("lemma"), F.trim(inner).alias("guideword"), word(behind, 0).alias("pos"),
+            F.transform(F.filter(tagged(lines, "@form"), lambda x: F.contains(x, F.lit("$"))), form).alias("forms"),
+            F.transform(F.filter(tagged(lines, "@sense"), lambda x: word(x, 2) != ""), sense).alias("senses"),
+        )
+
+    parts = F.slice(F.split(text, r"(?m)^@entry(?=\s)"), 2, 1_000_000_000)
+    closed = F.filter(parts, lambda p: p.rlike(r"(?m)^@end entry"))
+    lines = F.transform(F.filter(closed, lambda p: F.get(F.split(p, "\n"), F.lit(0)).rlike(r"\[.*\]")), lambda p: F.split(F.concat(F.lit("@entry"), F.get(F.split(p, r"(?m)^@end entry"), F.lit(0))), "\n"))
+    return F.filter(F.transform(lines, read), lambda e: (e["lemma"] != "") & (e["guideword"] != "") & (e["pos"] != ""))
 
 
 def read_glossaries(spark: SparkSession, folder: str) -> DataFrame:

@@ -22,7 +22,7 @@ def test_import_is_checked(spark, tmp_path):
 
 
 def test_glossary(spark, tmp_path):
-    (tmp_path / "a.glo").write_text("@entry abu [father] N\n@form a-bu $abu\n@form a-bi $abi\n@sense N father, head\n@end entry\n@entry broken\n@end entry\n")
+    (tmp_path / "a.glo").write_text("@entry abu [father] N\n@form a-bu $abu\n@form a-bi $abi\n@sense N father, head\n@end entry\n@entry broken\n@end entry\nstray line\n@entry ahu [] N\n@end entry\n@entry lost [never closed] N\n@form x $x\n")
     (tmp_path / "b.txt").write_text("@entry no [no] N\n@end entry")
     rows = stores.read_glossaries(spark, str(tmp_path)).collect()
     assert len(rows) == 1
