@@ -36,7 +36,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 STAGES = [("quality_classifier", quality_classifier), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("best_fit_packing", best_fit_packing)]
 
-#: A trained classifier and a tokenizer are beyond SQL; the tests hold the pipeline against a brute-force version.
+#: A trained classifier and a tokenizer are beyond SQL; tests/llm/test_pipeline.py holds the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
