@@ -16,9 +16,33 @@ def sign_lines(text: Column) -> Column:
     return F.split(F.lower(text), "\n")
 
 
-def token_lines(text: Column) -> Column:
-    """array<array<string>>: the runs of letters of each line, lower-cased."""
-    return F.transform(F.split(text, "\n"), lambda line: F.filter(F.split(F.lower(line), r"[^\p{L}]+"), lambda t: t != ""))
+def holds(text: Column, words: Sequence[str]) -> Column:
+    """Whether any of the words stands anywhere in the text, be it within another word: a cheap test before the text is cut."""
+    low, test = F.lower(text), F.lit(False)
+    for word in words:
+        test = test | F.contains(low, F.lit(word))
+    return test
+
+
+def line_tokens(line: Column) -> Column:
+    """array<string>: the runs of letters of a line, lower-cased."""
+    return F.filter(F.split(F.lower(line), r"[^\p{L}]+"), lambda t: t != "")
+
+
+def token_lines(text: Column, words: Sequence[str] = ()) -> Column:
+    """array<array<string>>: the tokens of each line; with words, lines that none of them stands in are left empty."""
+    cut = (lambda line: F.when(holds(line, words), line_tokens(line)).otherwise(strings([]))) if words else line_tokens
+    return F.transform(F.split(text, "\n"), cut)
+
+
+def once(value: Column) -> Column:
+    """The value, in a form that a later filter on it doesn't compute a second time: the filter stays above the generator."""
+    return F.explode(F.array(value))
+
+
+def in_a_row(items: Column, words: Sequence[str]) -> Column:
+    """Whether the words stand in a row among the items; neither have line breaks in them."""
+    return F.contains(F.concat(F.lit("\n"), F.array_join(items, "\n"), F.lit("\n")), F.lit("\n" + "\n".join(words) + "\n"))
 
 
 def positions(items: Column, wanted: Callable[[Column], Column]) -> Column:

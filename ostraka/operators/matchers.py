@@ -7,19 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.patterns import sign_query
-from ..functions.text import ngrams, positions, strings
+from ..functions.text import in_a_row, once, positions, strings
 
 
 def _result(docs: DataFrame, id_col: str, matching: Column) -> DataFrame:
-    found = docs.select(F.col(id_col), matching.alias("matching_lines"))
+    found = docs.select(F.col(id_col), once(matching).alias("matching_lines"))
     return found.where(F.size("matching_lines") > 0).withColumn("match_count", F.size("matching_lines"))
 
 
+def and_lines(lines: Column, words: Sequence[str]) -> Column:
+    """array<int>: the lines that hold any of the words, if the document holds all; else null."""
+    wanted = strings(words)
+    return F.when(F.size(F.array_except(wanted, F.flatten(lines))) == 0, positions(lines, lambda line: F.arrays_overlap(line, wanted)))
+
+
 def lemma_and(docs: DataFrame, words: Sequence[str], lines: str = "lines", id_col: str = "doc_id") -> DataFrame:
     """Documents that hold all words anywhere, with the lines that hold any."""
-    wanted = strings(words)
-    full = docs.where(F.size(F.array_except(wanted, F.flatten(lines))) == 0)
-    return _result(full, id_col, positions(F.col(lines), lambda line: F.arrays_overlap(line, wanted)))
+    return _result(docs, id_col, and_lines(F.col(lines), words))
 
 
 def lemma_or(docs: DataFrame, words: Sequence[str], lines: str = "lines", id_col: str = "doc_id") -> DataFrame:
@@ -33,15 +37,10 @@ def lemma_line(docs: DataFrame, words: Sequence[str], lines: str = "lines", id_c
 
 
 def lemma_phrase(docs: DataFrame, words: Sequence[str], lines: str = "lines", id_col: str = "doc_id") -> DataFrame:
-    """Lines that hold the words in a row; a line is named once for each of its distinct runs. One word alone is lemma_and."""
+    """Lines that hold the words in a row, each named once. One word alone is lemma_and. Words have no line breaks in them."""
     if len(words) < 2:
         return lemma_and(docs, words, lines, id_col)
-
-    def hits(line: Column) -> Column:
-        return F.filter(F.array_distinct(ngrams(line, len(words))), lambda g: F.lit(True) if not words else _all([F.get(g, F.lit(i)) == w for i, w in enumerate(words)]))
-
-    found = F.flatten(F.transform(F.col(lines), lambda line, i: F.transform(hits(line), lambda _: i)))
-    return _result(docs, id_col, found)
+    return _result(docs, id_col, positions(F.col(lines), lambda line: in_a_row(line, words)))
 
 
 def _all(conditions: Sequence[Column]) -> Column:
@@ -51,26 +50,30 @@ def _all(conditions: Sequence[Column]) -> Column:
     return out
 
 
-def signs(docs: DataFrame, query: str, lines: str = "sign_lines", id_col: str = "doc_id") -> DataFrame:
-    """Sign search: windows of as many consecutive lines as the query has, each matching its pattern.
-
-    For one line, the matching lines; for more, the lines of every window in turn, repeats kept, and match_count counts windows.
-    """
+def sign_lines(lines: Column, query: str) -> tuple[Column, int]:
+    """array<int>: where windows of as many consecutive lines as the query has begin, each line matching its pattern; and how many lines."""
     patterns = sign_query(query)
-    first = positions(F.col(lines), lambda line: line.rlike(patterns[0]))
-    if len(patterns) == 1:
-        return _result(docs, id_col, first)
-    starts = F.filter(first, lambda i: _all([F.coalesce(F.get(F.col(lines), i + k).rlike(p), F.lit(False)) for k, p in enumerate(patterns)]))
-    found = docs.select(id_col, starts.alias("starts")).where(F.size("starts") > 0)
-    windows = F.flatten(F.transform("starts", lambda i: F.sequence(i, i + len(patterns) - 1)))
-    return found.select(id_col, windows.alias("matching_lines"), F.size("starts").alias("match_count"))
+    first = positions(lines, lambda line: line.rlike(patterns[0]))
+    if len(patterns) > 1:
+        first = F.filter(first, lambda i: _all([F.coalesce(F.get(lines, i + k).rlike(p), F.lit(False)) for k, p in enumerate(patterns) if k]))
+    return first, len(patterns)
+
+
+def signs(docs: DataFrame, query: str, lines: str = "sign_lines", id_col: str = "doc_id") -> DataFrame:
+    """Sign search. For a query of one line, the matching lines; for more, the lines of every window in turn, repeats kept, and match_count counts windows."""
+    starts, n = sign_lines(F.col(lines), query)
+    found = _result(docs, id_col, starts)
+    windows = F.flatten(F.transform("matching_lines", lambda i: F.sequence(i, i + n - 1)))
+    return found if n == 1 else found.withColumn("matching_lines", windows)
 
 
-def both(lemmas: DataFrame, sign_hits: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Documents that both searches find, with the union of their lines (not necessarily a common one)."""
-    right = sign_hits.select(id_col, F.col("matching_lines").alias("more"))
-    lines = F.array_sort(F.array_union("matching_lines", "more"))
-    return lemmas.join(right, id_col).select(id_col, lines.alias("matching_lines"), F.size(lines).alias("match_count"))
+def both(docs: DataFrame, words: Sequence[str], query: str, lines: str = "lines", signs: str = "sign_lines", id_col: str = "doc_id") -> DataFrame:
+    """Documents that hold all words and match the sign query, with the union of their lines (not necessarily a common one), in one pass."""
+    starts, n = sign_lines(F.col(signs), query)
+    hits = F.struct(and_lines(F.col(lines), words).alias("words"), F.flatten(F.transform(starts, lambda i: F.sequence(i, i + n - 1))).alias("signs"))
+    found = docs.select(id_col, once(hits).alias("hits")).where((F.size("hits.words") > 0) & (F.size("hits.signs") > 0))
+    union = F.array_sort(F.array_union("hits.words", "hits.signs"))
+    return found.select(id_col, union.alias("matching_lines"), F.size(union).alias("match_count"))
 
 
 def everything(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -99,12 +102,13 @@ def corpus_lemma(rows: DataFrame, words: Sequence[str], mode: str, keys: Sequenc
     """
     wanted = strings(words)
     if mode == "and":
+        rows = rows.where(F.arrays_overlap("words", wanted))  # only what holds a word is counted
         vocabulary = rows.select(*keys, F.explode("words").alias("w")).where(F.col("w").isin(list(words))).groupBy(*keys).agg(F.count_distinct("w").alias("n"))
         rows = rows.join(vocabulary.where(F.col("n") == len(set(words))).drop("n"), list(keys), "left_semi")
     if mode in ("and", "or"):
         test = F.arrays_overlap("words", wanted)
     elif strict and mode == "phrase":
-        test = F.exists(ngrams(F.col("words"), len(words)), lambda g: g == wanted)
+        test = in_a_row(F.col("words"), words)
     else:
         test = F.size(F.array_except(wanted, F.col("words"))) == 0
     return rows.where(test).select(*keys, "line_index", "variant_index").distinct()

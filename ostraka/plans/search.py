@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import patterns, text
@@ -16,35 +18,41 @@ _T = _L + r""",
 _OUT = "SELECT doc_id, CAST(count(*) AS INTEGER) AS match_count, string_agg(CAST(line_index AS VARCHAR), ',' ORDER BY line_index) AS matching_lines FROM M GROUP BY doc_id"
 
 
-def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", "lang", "source", text.token_lines(F.col("text")).alias("lines"), text.sign_lines(F.col("text")).alias("sign_lines"))
+def _docs(spark: SparkSession, sf_dir: str, words: Sequence[str] = (), signs: bool = False) -> DataFrame:
+    """Documents as token lines, if they hold one of the words at all, or as sign lines, or as both; each is computed once."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    if words:
+        docs = docs.where(text.holds(F.col("text"), words)).select("*", text.once(text.token_lines(F.col("text"), words)).alias("lines"))
+    if signs:
+        docs = docs.select("*", text.once(text.sign_lines(F.col("text"))).alias("sign_lines"))
+    return docs.drop("text")
 
 
 @query(f"""WITH {_T}, D AS (SELECT doc_id FROM T WHERE token IN ('the', 'and') GROUP BY doc_id HAVING count(DISTINCT token) = 2),
      M AS (SELECT DISTINCT doc_id, line_index FROM T JOIN D USING (doc_id) WHERE token IN ('the', 'and')) {_OUT}""")
 def lemma_and(spark, sf_dir):
-    return lines_text(matchers.lemma_and(_docs(spark, sf_dir), ["the", "and"]))
+    return lines_text(matchers.lemma_and(_docs(spark, sf_dir, ["the", "and"]), ["the", "and"]))
 
 
 @query(f"WITH {_T}, M AS (SELECT DISTINCT doc_id, line_index FROM T WHERE token IN ('tion', 'und', 'que')) {_OUT}")
 def lemma_or(spark, sf_dir):
-    return lines_text(matchers.lemma_or(_docs(spark, sf_dir), ["tion", "und", "que"]))
+    return lines_text(matchers.lemma_or(_docs(spark, sf_dir, ["tion", "und", "que"]), ["tion", "und", "que"]))
 
 
 @query(f"WITH {_T}, M AS (SELECT doc_id, line_index FROM T WHERE token IN ('the', 'of') GROUP BY doc_id, line_index HAVING count(DISTINCT token) = 2) {_OUT}")
 def lemma_line(spark, sf_dir):
-    return lines_text(matchers.lemma_line(_docs(spark, sf_dir), ["the", "of"]))
+    return lines_text(matchers.lemma_line(_docs(spark, sf_dir, ["the", "of"]), ["the", "of"]))
 
 
 @query(f"""WITH {_T}, M AS (SELECT DISTINCT a.doc_id, a.line_index FROM T a JOIN T b ON b.doc_id = a.doc_id AND b.line_index = a.line_index AND b.pos = a.pos + 1
      WHERE a.token = 'of' AND b.token = 'the') {_OUT}""")
 def lemma_phrase(spark, sf_dir):
-    return lines_text(matchers.lemma_phrase(_docs(spark, sf_dir), ["of", "the"]))
+    return lines_text(matchers.lemma_phrase(_docs(spark, sf_dir, ["of", "the"]), ["of", "the"]))
 
 
 @query(rf"WITH {_L}, M AS (SELECT doc_id, line_index FROM L WHERE regexp_matches(lower(line), '(^|[|\s])(\S+/)*of the($|[\s/])')) {_OUT}")
 def sign_single(spark, sf_dir):
-    return lines_text(matchers.signs(_docs(spark, sf_dir), "of the"))
+    return lines_text(matchers.signs(_docs(spark, sf_dir, signs=True), "of the"))
 
 
 @query(rf"""WITH {_L}, P AS (SELECT doc_id, line_index, regexp_matches(lower(line), '(^|[|\s])(\S+/)*the($|[\s/])') AS a,
@@ -52,15 +60,14 @@ def sign_single(spark, sf_dir):
      S AS (SELECT x.doc_id, x.line_index AS i FROM P x JOIN P y ON y.doc_id = x.doc_id AND y.line_index = x.line_index + 1 WHERE x.a AND y.b)
      SELECT doc_id, CAST(count(*) AS INTEGER) AS match_count, string_agg(i || ',' || (i + 1), ',' ORDER BY i) AS matching_lines FROM S GROUP BY doc_id""")
 def sign_multi(spark, sf_dir):
-    return lines_text(matchers.signs(_docs(spark, sf_dir), "the\nof"))
+    return lines_text(matchers.signs(_docs(spark, sf_dir, signs=True), "the\nof"))
 
 
 @query(rf"""WITH {_T}, A AS (SELECT DISTINCT doc_id, line_index FROM T WHERE token = 'is'),
      B AS (SELECT doc_id, line_index FROM L WHERE regexp_matches(lower(line), '(^|[|\s])(\S+/)*in \S+ of($|[\s/])')),
      M AS (SELECT * FROM (SELECT * FROM A UNION SELECT * FROM B) WHERE doc_id IN (SELECT doc_id FROM A) AND doc_id IN (SELECT doc_id FROM B)) {_OUT}""")
 def lemma_and_sign(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    return lines_text(matchers.both(matchers.lemma_and(docs, ["is"]), matchers.signs(docs, "in ? of")))
+    return lines_text(matchers.both(_docs(spark, sf_dir, ["is"], signs=True), ["is"], "in ? of"))
 
 
 @query("SELECT doc_id, 0 AS match_count, '' AS matching_lines FROM documents")
@@ -70,19 +77,20 @@ def no_matcher(spark, sf_dir):
 
 @query(f"WITH {_T}, M AS (SELECT DISTINCT doc_id, line_index FROM T WHERE token = 'the') SELECT * FROM ({_OUT}) ORDER BY match_count DESC, doc_id LIMIT 30 OFFSET 30")
 def search_page(spark, sf_dir):
-    first, _ = matchers.page(matchers.lemma_or(_docs(spark, sf_dir), ["the"]), [F.desc("match_count"), F.col("doc_id")], 30, 30)
+    first, _ = matchers.page(matchers.lemma_or(_docs(spark, sf_dir, ["the"]), ["the"]), [F.desc("match_count"), F.col("doc_id")], 30, 30)
     return lines_text(first)
 
 
 @query(f"WITH {_T}, M AS (SELECT DISTINCT doc_id, line_index FROM T WHERE token = 'the') SELECT count(DISTINCT doc_id) AS item_count, count(*) AS match_count_total FROM M")
 def search_totals(spark, sf_dir):
-    return matchers.page(matchers.lemma_or(_docs(spark, sf_dir), ["the"]), [F.col("doc_id")], 30)[1]
+    return matchers.page(matchers.lemma_or(_docs(spark, sf_dir, ["the"]), ["the"]), [F.col("doc_id")], 30)[1]
 
 
-def _chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of documents as chapters (one for each source and language): line index is the document, variant the line."""
-    nested = read(spark, sf_dir, "documents").select("source", "lang", F.col("doc_id").alias("line_index"), F.posexplode(text.token_lines(F.col("text"))).alias("variant_index", "words"))
-    return nested
+def _chapters(spark: SparkSession, sf_dir: str, words: Sequence[str]) -> DataFrame:
+    """Lines of documents as chapters (one for each source and language), if they hold one of the words: line index is the document, variant the line."""
+    docs = read(spark, sf_dir, "documents").where(text.holds(F.col("text"), words))
+    lines = docs.select("source", "lang", F.col("doc_id").alias("line_index"), F.posexplode(F.split("text", "\n")).alias("variant_index", "line")).where(text.holds(F.col("line"), words))
+    return lines.select("source", "lang", "line_index", "variant_index", text.once(text.line_tokens(F.col("line"))).alias("words"))
 
 
 _C = _T + ", W AS (SELECT source, lang, T.doc_id AS line_index, T.line_index AS variant_index, token, pos FROM T JOIN documents USING (doc_id))"
@@ -93,26 +101,26 @@ _SUM = "SELECT source, lang, count(*) AS match_count FROM M GROUP BY source, lan
      M AS (SELECT DISTINCT source, lang, line_index, variant_index FROM W JOIN K USING (source, lang) WHERE token IN ('der', 'und')) {_SUM}""")
 def corpus_lemma_and(spark, sf_dir):
     keys = ["source", "lang"]
-    return matchers.corpus_result(matchers.corpus_lemma(_chapters(spark, sf_dir), ["der", "und"], "and", keys), keys)
+    return matchers.corpus_result(matchers.corpus_lemma(_chapters(spark, sf_dir, ["der", "und"]), ["der", "und"], "and", keys), keys)
 
 
 @query(f"WITH {_C}, M AS (SELECT DISTINCT source, lang, line_index, variant_index FROM W WHERE token IN ('la', 'der')) {_SUM}")
 def corpus_lemma_or(spark, sf_dir):
     keys = ["source", "lang"]
-    return matchers.corpus_result(matchers.corpus_lemma(_chapters(spark, sf_dir), ["la", "der"], "or", keys), keys)
+    return matchers.corpus_result(matchers.corpus_lemma(_chapters(spark, sf_dir, ["la", "der"]), ["la", "der"], "or", keys), keys)
 
 
 @query(f"""WITH {_C}, M AS (SELECT source, lang, line_index, variant_index FROM W WHERE token IN ('la', 'de') GROUP BY ALL HAVING count(DISTINCT token) = 2) {_SUM}""")
 def corpus_lemma_phrase(spark, sf_dir):
     keys = ["source", "lang"]
-    return matchers.corpus_result(matchers.corpus_lemma(_chapters(spark, sf_dir), ["la", "de"], "phrase", keys), keys)
+    return matchers.corpus_result(matchers.corpus_lemma(_chapters(spark, sf_dir, ["la", "de"]), ["la", "de"], "phrase", keys), keys)
 
 
 @query(f"""WITH {_C}, M AS (SELECT DISTINCT a.source, a.lang, a.line_index, a.variant_index FROM W a JOIN W b
      ON b.line_index = a.line_index AND b.variant_index = a.variant_index AND b.pos = a.pos + 1 WHERE a.token = 'de' AND b.token = 'la') {_SUM}""")
 def corpus_lemma_phrase_strict(spark, sf_dir):
     keys = ["source", "lang"]
-    return matchers.corpus_result(matchers.corpus_lemma(_chapters(spark, sf_dir), ["de", "la"], "phrase", keys, strict=True), keys)
+    return matchers.corpus_result(matchers.corpus_lemma(_chapters(spark, sf_dir, ["de", "la"]), ["de", "la"], "phrase", keys, strict=True), keys)
 
 
 @query(rf"""WITH {_L}, M AS (SELECT source, lang, doc_id AS line_index, line_index AS variant_index FROM L JOIN documents USING (doc_id)
@@ -128,7 +136,7 @@ def corpus_sign_single(spark, sf_dir):
      M AS (SELECT * FROM (SELECT * FROM A UNION SELECT * FROM B) x WHERE (source, lang) IN (SELECT (source, lang) FROM A) AND (source, lang) IN (SELECT (source, lang) FROM B)) {_SUM}""")
 def corpus_both(spark, sf_dir):
     keys = ["source", "lang"]
-    lemma = matchers.corpus_lemma(_chapters(spark, sf_dir), ["das"], "and", keys)
+    lemma = matchers.corpus_lemma(_chapters(spark, sf_dir, ["das"]), ["das"], "and", keys)
     rows = read(spark, sf_dir, "documents").select(*keys, F.col("doc_id").alias("line_index"), F.posexplode(text.sign_lines(F.col("text"))).alias("variant_index", "line"))
     sign = rows.where(F.col("line").rlike(patterns.sign_line("von"))).drop("line")
     union = lemma.unionByName(sign).distinct()
