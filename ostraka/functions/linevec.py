@@ -11,6 +11,14 @@ START, TEXT, SINGLE, DOUBLE, TRIPLE, END = "012345"
 WEIGHTS = {START: 3, TEXT: 1, SINGLE: 3, DOUBLE: 6, TRIPLE: 10, END: 3}
 
 
+def code(kind: Column, number: Column, last: Column, marked: Column, fresh: Column) -> Column:
+    """A line's codes: a text line's range, after the start code if it opens a run unmarked; a ruling's; the end's; else none."""
+    begun = F.when(fresh & ~marked, START).otherwise("")
+    ruling = F.when(number == 1, SINGLE).when(number == 2, DOUBLE).when(number == 3, TRIPLE).otherwise("")
+    text = F.concat(begun, F.repeat(F.lit(TEXT), (last - number + 1).cast("int")))
+    return F.coalesce(F.when(kind == "text", text).when(kind == "ruling", ruling).when(kind == "end", END), F.lit(""))
+
+
 def vectors(lines: Column) -> Column:
     """array<string>: the codes of each run of lines; a run ends where a text line's number is not above the last one.
 
@@ -23,12 +31,10 @@ def vectors(lines: Column) -> Column:
     def step(s: Column, x: Column) -> Column:
         text, last = x["kind"] == "text", x["last"].cast("long")
         opens = text & (s["at"] >= last)
-        ruling = F.when(x["number"] == 1, SINGLE).when(x["number"] == 2, DOUBLE).when(x["number"] == 3, TRIPLE).otherwise("")
-        begun = F.when((s["fresh"] | opens) & ~x["marked"], START).otherwise("")
-        code = F.when(text, F.concat(begun, F.repeat(F.lit(TEXT), (last - x["number"] + 1).cast("int")))).when(x["kind"] == "ruling", ruling).when(x["kind"] == "end", END).otherwise("")
+        now = code(x["kind"], x["number"], last, x["marked"], s["fresh"] | opens)
         return F.struct(
             F.when(opens, F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"]).alias("done"),
-            F.when(opens, code).otherwise(F.concat(s["now"], code)).alias("now"),
+            F.when(opens, now).otherwise(F.concat(s["now"], now)).alias("now"),
             F.lit(False).alias("fresh"),
             F.when(text, last).otherwise(s["at"]).alias("at"),
         )

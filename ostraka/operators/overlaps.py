@@ -2,25 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import linevec
 
 
-def scores(docs: DataFrame, id_col: str, vectors: str, candidate: int | str) -> DataFrame:
-    """id, score, weighted of every other document that has vectors.
+def line_vectors(lines: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
+    """(group, run, vector) of lines that stand as rows: group, order columns, kind, number, last and marked, as in linevec.vectors.
+
+    Running windows read a group's lines in order and keep only the last of them; a run's codes are gathered, not a group's lines.
+    A null number or last opens no run and adds no code. Groups whose first run has no codes are left out, as are groups of a null key.
+    """
+    w = Window.partitionBy(group).orderBy(*order)
+    so_far, text = w.rowsBetween(Window.unboundedPreceding, Window.currentRow), F.col("kind") == "text"
+    known = lines.where(F.col(group).isNotNull()).withColumn("__last", F.when(text, F.col("last").cast("long")))
+    before = F.coalesce(F.last("__last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    opened = known.withColumn("__opens", F.coalesce(before >= F.col("__last"), F.lit(False)).cast("int"))
+    runs = opened.withColumn("run", F.sum("__opens").over(so_far)).withColumn("__fresh", (F.col("__opens") == 1) | (F.row_number().over(w) == 1))
+    codes = runs.select(group, *order, "run", linevec.code(F.col("kind"), F.col("number"), F.col("__last"), F.col("marked"), F.col("__fresh")).alias("code"))
+    made = codes.groupBy(group, "run").agg(F.array_sort(F.collect_list(F.struct(*order, "code"))).alias("c")).select(group, "run", F.array_join("c.code", "").alias("vector"))
+    first = F.first("vector").over(Window.partitionBy(group).orderBy("run").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return made.withColumn("__first", first).where("__first <> ''").drop("__first")
+
+
+def scores(long: DataFrame, id_col: str, candidate: int | str, vector: str = "vector", most: int = 100_000) -> DataFrame:
+    """id, score, weighted of every other document that has vectors; long: a row for each vector of a document.
 
     Equal vectors are scored once, so what is compared are the distinct vectors with those of the one candidate, which are
-    an array of literals' size and sent along; the scores then return by an equi-join and a maximum.
+    sent along as literals; the scores then return by an equi-join and a maximum. A candidate with over `most` distinct vectors raises an error.
     """
-    long = docs.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(vectors)).alias("vector"))
-    # the vectors of one document, by their distinct values, as literals
-    mine = [r["own"] for r in docs.where(F.col(id_col) == candidate).select(F.explode(F.array_distinct(vectors)).alias("own")).distinct().collect()]
-    others = long.where(F.col("id") != candidate)
+    rows = long.select(F.col(id_col).alias("id"), F.col(vector).alias("vector")).distinct()
+    mine = [r["vector"] for r in rows.where(F.col("id") == candidate).select("vector").limit(most + 1).collect()]
+    if len(mine) > most:
+        raise ValueError(f"{candidate} has over {most} distinct vectors")
+    others = rows.where(F.col("id") != candidate)
     own = F.array(*map(F.lit, mine)).cast("array<string>")
     pairs = others.select("vector").distinct().select("vector", F.explode(F.transform(own, lambda m: linevec.overlap(m, F.col("vector")))).alias("o"))
     scored = pairs.groupBy("vector").agg(F.max("o.score").alias("score"), F.max("o.weighted").alias("weighted"))
-    return others.join(scored, "vector").groupBy("id").agg(F.max("score").alias("score"), F.max("weighted").alias("weighted"))
+    best = others.join(scored, "vector", "left").groupBy("id").agg(F.max("score").alias("score"), F.max("weighted").alias("weighted"))
+    return best.na.fill(0, ["score", "weighted"])
 
 
 def ranking(found: DataFrame, by: str, most: int = 15) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from ..functions import linevec, sortkeys
+from ..functions import sortkeys
 from ..operators import changes, overlaps, windows
 from .base import query, read
 
@@ -23,7 +23,8 @@ _LINES = """N AS (SELECT user_id, ts, event_id, CAST(floor(value) AS BIGINT) AS
 def _vectors(spark, sf_dir):
     kind = F.when(F.col("event_type").isin("view", "click"), "text").when(F.col("event_type") == "purchase", "ruling").when(F.col("event_type") == "error", "end").otherwise("other")
     number = F.floor("value").cast("long")
-    line = F.struct(
+    lines = read(spark, sf_dir, "events").select(
+        "user_id",
         "ts",
         "event_id",
         kind.alias("kind"),
@@ -31,13 +32,12 @@ def _vectors(spark, sf_dir):
         (number + F.col("event_id") % 3).alias("last"),
         (F.col("event_id") % 4 == 0).alias("marked"),
     )
-    users = read(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(line)).alias("lines"))
-    return users.select("user_id", linevec.vectors(F.col("lines")).alias("vectors"))
+    return overlaps.line_vectors(lines, "user_id", ["ts", "event_id"])
 
 
-@query(f"WITH {_LINES} SELECT user_id, string_agg(vector, '|' ORDER BY run) AS vectors FROM V GROUP BY user_id")
+@query(f"WITH {_LINES} SELECT user_id, CAST(run AS BIGINT) AS run, vector FROM V")
 def line_vectors(spark, sf_dir):
-    return _vectors(spark, sf_dir).where(F.size("vectors") > 0).select("user_id", F.array_join("vectors", "|").alias("vectors"))
+    return _vectors(spark, sf_dir)
 
 
 _SCORES = f"""{_LINES}, X AS (SELECT DISTINCT vector AS v FROM V WHERE user_id <> 7), Y AS (SELECT DISTINCT vector AS c FROM V WHERE user_id = 7),
@@ -52,7 +52,7 @@ _SCORES = f"""{_LINES}, X AS (SELECT DISTINCT vector AS v FROM V WHERE user_id <
 
 @query(f"WITH {_SCORES} SELECT id, CAST(score AS INTEGER) AS score, CAST(weighted AS INTEGER) AS weighted FROM G")
 def overlap_scores(spark, sf_dir):
-    return overlaps.scores(_vectors(spark, sf_dir), "user_id", "vectors", 7)
+    return overlaps.scores(_vectors(spark, sf_dir), "user_id", 7)
 
 
 @query(f"WITH {_SCORES} SELECT id, CAST(weighted AS INTEGER) AS score FROM G ORDER BY weighted DESC, id LIMIT 15")

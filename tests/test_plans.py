@@ -11,3 +11,10 @@ def test_nothing_is_gathered(spark, name):
     plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan
     assert "windowspecdefinition" not in plan or "windowspecdefinition(__range" in plan
+
+
+@pytest.mark.parametrize("name", ["line_vectors", "overlap_scores"])
+def test_line_vectors_gather_runs_only(spark, name):
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    gathers = [x for x in plan.splitlines() if "collect_list" in x]
+    assert gathers and all("Aggregate [user_id#" in x and "run#" in x.split("],")[0] for x in gathers)
