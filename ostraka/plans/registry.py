@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytics, catalogue, jobs, search  # noqa: F401  they register their queries
+from . import analytics, catalogue, jobs, search, versions  # noqa: F401  they register their queries
 from .base import QUERIES, SQL as ORACLE_SQL
 
 

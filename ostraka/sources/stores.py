@@ -76,11 +76,21 @@ def number_of_file(name: Column) -> Column:
     return F.regexp_replace(name, r"\.jpe?g$", "")
 
 
+def markdown_rows(df: DataFrame) -> DataFrame:
+    """A table's lines in Markdown, one column `value`: head and rule first. Bars are escaped, line breaks become spaces, nulls are empty."""
+    cell = lambda c: F.regexp_replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c), r"\R", " ")
+    row = lambda cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value")
+    head = df.sparkSession.createDataFrame([("| " + " | ".join(df.columns) + " |",), ("|" + "-|" * len(df.columns),)], "value string").coalesce(1)
+    return head.unionAll(df.select(row([F.replace(cell(c), F.lit("|"), F.lit("\\|")) for c in df.columns])))
+
+
 def write_report(df: DataFrame, path: str, kind: str = "csv") -> None:
-    """Part files of a report: csv, tsv or json."""
+    """Part files of a report: csv, tsv, json or markdown (its head is in the first part)."""
     writer = df.write.mode("overwrite")
     if kind == "json":
         writer.json(path)
+    elif kind == "markdown":
+        markdown_rows(df).write.mode("overwrite").text(path)
     else:
         writer.option("header", True).option("sep", "\t" if kind == "tsv" else ",").csv(path)
 

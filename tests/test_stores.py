@@ -72,3 +72,10 @@ def test_overlap(spark):
     found = sorted(df.select("i", linevec.overlap(F.col("a"), F.col("b")).alias("o"), linevec.overlap(F.col("b"), F.col("a")).alias("p")).collect())
     assert [(r["o"]["score"], r["o"]["weighted"]) for r in found] == [c[2:] for c in cases]
     assert [(r["p"]["score"], r["p"]["weighted"]) for r in found] == [c[2:] for c in cases]
+
+
+def test_markdown_report(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a|b\nc", None), (2, "", "x")], "id int, `a.b` string, c string").coalesce(1)
+    stores.write_report(df, str(tmp_path / "md"), "markdown")
+    lines = [x for p in sorted((tmp_path / "md").glob("part-*")) for x in p.read_text().splitlines()]
+    assert lines == ["| id | a.b | c |", "|-|-|-|", "| 1 | a\\|b c |  |", "| 2 |  | x |"]
