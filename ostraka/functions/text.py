@@ -50,11 +50,6 @@ def positions(items: Column, wanted: Callable[[Column], Column]) -> Column:
     return F.filter(F.transform(items, lambda x, i: F.when(wanted(x), i)), lambda i: i.isNotNull())
 
 
-def ngrams(items: Column, n: int) -> Column:
-    """All runs of n consecutive items; none if there are fewer. (sequence() would count down from 0 to a negative end.)"""
-    return F.when(F.size(items) >= n, F.transform(F.sequence(F.lit(0), F.size(items) - n), lambda i: F.slice(items, i + 1, n))).otherwise(F.array().cast("array<array<string>>"))
-
-
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, line_index, line."""
     return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_col, "\n")).alias("line_index", "line"))
