@@ -56,6 +56,20 @@ def release(spark: SparkSession, *done: DataFrame) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def in_order(df: DataFrame, *keys: str, name: str) -> DataFrame:
+    """df with each row's place (long, from 0) in the order of keys, written to the shared folder: the place within its range of keys, after all rows of the ranges before. Only the ranges' counts reach the driver; keys have to tell rows apart, if a retried task is to number them alike."""
+    spark = df.sparkSession
+    ranges = materialize(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(name, F.monotonically_increasing_id()))
+    part = F.shiftright(F.col(name), 33)
+    counts = sorted(tuple(r) for r in ranges.groupBy(part.cast("int").alias("__part")).count().collect())
+    starts, total = [], 0
+    for at, n in counts:
+        starts.append((at, total))
+        total += n
+    before = F.broadcast(spark.createDataFrame(starts, "__part int, __before long"))
+    return ranges.withColumn("__part", part.cast("int")).join(before, "__part").withColumn(name, F.col("__before") + F.col(name).bitwiseAND(F.lit(2**33 - 1))).drop("__part", "__before")
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """Just the columns an operator reads, so that extra columns never clash with its own."""
     return df.select(*[F.col(f"`{n}`") for n in names])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, html, packing, pieces, quality, simhash, spans, suffix, topk, urls
+from . import ann, html, packing, phrases, pieces, quality, simhash, spans, suffix, topk, urls
 from .common import small_batches, table
 
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -66,6 +66,11 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.check(table(spark, sf_dir, "documents"), model)
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentence_spans": op8_sentence_spans,
     "op9_html_main_text": op9_html_main_text,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_phrase_collocations": op11_phrase_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -88,4 +94,20 @@ ORACLE_SQL: dict[str, str] = {
                    FROM v q JOIN v c ON c.i = q.i AND q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id GROUP BY ALL),
              r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op11_phrase_collocations": """
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS d, string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\n-\\r]') AS pieces FROM documents WHERE text IS NOT NULL),
+             u AS (SELECT lang, unnest(pieces) AS piece FROM p),
+             w AS (SELECT lang, list_filter(string_split_regex(piece, '[ \\t]+'), lambda x: x <> '') AS w FROM u),
+             g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) AS phrase FROM w, (SELECT unnest([1, 2, 3, 4]) AS k)),
+             f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+             t AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+             h AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS c FROM f WHERE k > 1),
+             c AS (SELECT h.lang, h.k, h.phrase, a, l.f AS l, r.f AS r, h.c, (2000000 * a::HUGEINT) // (l.f + r.f) AS score FROM h
+                   JOIN f l ON l.lang = h.lang AND l.phrase = array_to_string(w[1 : h.c], ' ') JOIN f r ON r.lang = h.lang AND r.phrase = array_to_string(w[h.c + 1 :], ' ')),
+             s AS (SELECT lang, k, phrase, a, min({score: score, c: c, l: l, r: r}) AS m FROM c GROUP BY lang, k, phrase, a),
+             i AS (SELECT DISTINCT lang, f, array_to_string(w[b : b + m - 1], ' ') AS phrase FROM (SELECT lang, f, k, string_split(phrase, ' ') AS w, unnest([2, 3]) AS m FROM f WHERE k > 2), (SELECT unnest([1, 2, 3]) AS b) WHERE m < k AND b + m - 1 <= k),
+             x AS (SELECT lang, phrase, max(f) AS f FROM i GROUP BY ALL),
+             o AS (SELECT s.lang, s.phrase, a, m.l AS l, m.r AS r, m.score AS score, row_number() OVER (PARTITION BY s.lang ORDER BY m.score DESC, a DESC, s.phrase) AS rank
+                   FROM s LEFT JOIN x ON x.lang = s.lang AND x.phrase = s.phrase WHERE x.f IS NULL OR 100 * x.f::HUGEINT < 80 * a::HUGEINT)
+        SELECT o.lang, rank, phrase, a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM o JOIN t ON t.lang = o.lang WHERE rank <= 2000""",
 }
