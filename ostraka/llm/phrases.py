@@ -42,7 +42,7 @@ def encode(block_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[di
                 for lo in range(0, len(of), 1 << 16):
                     some = of[lo : lo + (1 << 16)]
                     local = np.fromiter(map(own.__getitem__, some), np.int64, len(some))
-                    yield {"block": np.full(len(some), block), "lang": [lang] * len(some), "word": some, "local": local, "n": counts[local], "stream": [None] * len(some)}
+                    yield {"block": np.full(len(some), block), "lang": pa.array([lang]).take(pa.array(np.zeros(len(some), np.int32))), "word": some, "local": local, "n": counts[local], "stream": pa.nulls(len(some), pa.binary())}
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
@@ -71,6 +71,11 @@ def pairs_of(stream: np.ndarray) -> np.ndarray:
     return wide[:-1] << _HALF | wide[1:]
 
 
+def after_null(values: np.ndarray) -> pa.Array:
+    """The values behind one null."""
+    return pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(values, pa.int64())])
+
+
 def pair_counts(streams: pa.Table, known: pa.Table) -> dict | None:
     """One block: its stream in the dictionary's ids (rare words are breaks), and the counts of its pairs of neighbours."""
     if not known.num_rows:
@@ -82,7 +87,7 @@ def pair_counts(streams: pa.Table, known: pa.Table) -> dict | None:
     coded = coded[(coded > 0) | np.append(coded[1:] > 0, False)]  # one break in a row says enough
     keys, n = np.unique(pairs_of(coded)[(coded[:-1] > 0) & (coded[1:] > 0)], return_counts=True)
     block = streams.column("block")[0].as_py()
-    return {"block": np.full(len(keys) + 1, block), "hi": [None, *keys.astype(np.int64).tolist()], "n": [None, *n.tolist()], "stream": [coded.tobytes(), *[None] * len(keys)]}
+    return {"block": np.full(len(keys) + 1, block), "hi": after_null(keys.astype(np.int64)), "n": after_null(n), "stream": pa.concat_arrays([pa.array([coded.tobytes()], pa.binary()), pa.nulls(len(keys), pa.binary())])}
 
 
 def longer_counts(longest: int) -> Callable[[pa.Table, pa.Table], dict | None]:
@@ -144,9 +149,10 @@ def run_lengths(keys: tuple[str, ...], least: int) -> Callable[[Iterator[pa.Reco
             often = sums >= least
             told = np.repeat(often, np.diff(np.append(starts, len(n))))
             before = waiting if goes_on and often[0] else waiting[:0]
-            yield rows([np.append(np.full(len(before), c[0]), c[told]) for c in columns], [None] * (len(before) + int(told.sum())), np.append(before, block[told]))
+            members = np.append(before, block[told])
+            yield rows([np.append(np.full(len(before), c[0]), c[told]) for c in columns], pa.nulls(len(members), pa.int64()), members)
             done = np.flatnonzero(often[:-1])
-            yield rows([c[starts[done]] for c in columns], sums[done], [None] * len(done))
+            yield rows([c[starts[done]] for c in columns], sums[done], pa.nulls(len(done), pa.int64()))
             last = starts[-1]
             held = waiting if goes_on and len(starts) == 1 else waiting[:0]
             waiting = held[:0] if often[-1] else np.append(held, block[last:])
@@ -187,7 +193,7 @@ def parts(size: Column, cut: Callable[[int], list[Column]], sizes: range) -> Col
     return F.coalesce(*[F.when(size == n, F.array(*cut(n))) for n in sizes])
 
 
-def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 30, longest: int = 4, top: int = 2000, cover: int = 80, scale: int = 2_000_000, unknown: str = "und", block_bytes: int = 1 << 25) -> DataFrame:
+def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 30, longest: int = 4, top: int = 2000, cover: int = 80, scale: int = 2_000_000, unknown: str = "und", block_bytes: int = 1 << 23) -> DataFrame:
     """The first `top` phrases of each language by score: lang, rank (from 1), phrase, a, l, r, n, score; numbers are long.
 
     Texts are lower-cased (A-Z only) and cut at `.,;:!?` and line ends (line feed, vertical tab, form feed, carriage return) into pieces, those at spaces and tabs into words.
