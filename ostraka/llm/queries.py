@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, html, packing, phrases, pieces, quality, simhash, spans, suffix, topk, urls
+from . import ann, html, packing, phrases, pieces, quality, sharding, simhash, spans, suffix, topk, urls, vectorcodes
 from .common import small_batches, table
 
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -71,6 +72,15 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark, 8192)
+    return vectorcodes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -83,8 +93,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_main_text": op9_html_main_text,
     "op10_sentencepiece": op10_sentencepiece,
     "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_sharding": op13_sharding,
 }
 
+#: The table of the usual CRC-32, from its polynomial.
+_CRC = "CAST([" + ", ".join(str(reduce(lambda c, _: c >> 1 ^ 0xEDB88320 * (c & 1), range(8), byte)) for byte in range(256)) + "] AS UINTEGER[])"
+
+#: The four rounds and the last assignment of op12, one after the other.
+_ROUNDS = "".join(
+    f"""
+             a{k} AS MATERIALIZED (SELECT row, p, min({{d: d, e: e}}) AS m FROM (SELECT row, x.p, e, sum((x.w - b.w) * (x.w - b.w)) AS d FROM x JOIN b{k} b ON b.p = x.p AND b.i = x.i GROUP BY ALL) GROUP BY ALL),"""
+    + (
+        f"""
+             b{k + 1} AS MATERIALIZED (SELECT b.p, b.e, b.i, CASE WHEN n IS NULL THEN b.w ELSE (s - (s % n + n) % n) // n END AS w FROM b{k} b
+                   LEFT JOIN (SELECT a.p, a.m.e AS e, i, sum(w) AS s, count(*) AS n FROM a{k} a JOIN x ON x.row = a.row AND x.p = a.p GROUP BY ALL) t ON t.p = b.p AND t.e = b.e AND t.i = b.i),"""
+        if k < 4
+        else ""
+    )
+    for k in range(5)
+)
+
 ORACLE_SQL: dict[str, str] = {
     "op7_exact_topk": """
         WITH u AS (SELECT vec_id, unnest(embedding) AS x, unnest(generate_series(1, len(embedding))) AS i FROM embeddings WHERE vec_id IS NOT NULL),
@@ -110,4 +139,18 @@ ORACLE_SQL: dict[str, str] = {
              o AS (SELECT s.lang, s.phrase, a, m.l AS l, m.r AS r, m.score AS score, row_number() OVER (PARTITION BY s.lang ORDER BY m.score DESC, a DESC, s.phrase) AS rank
                    FROM s LEFT JOIN x ON x.lang = s.lang AND x.phrase = s.phrase WHERE x.f IS NULL OR 100 * x.f::HUGEINT < 80 * a::HUGEINT)
         SELECT o.lang, rank, phrase, a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM o JOIN t ON t.lang = o.lang WHERE rank <= 2000""",
+    "op12_vector_codes": f"""
+        WITH v AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS row, vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+             x AS MATERIALIZED (SELECT row, (j * 4) // len(w) AS p, j % (len(w) // 4) AS i, w[j + 1] AS w FROM (SELECT row, w, unnest(range(len(w))) AS j FROM v)),
+             b0 AS MATERIALIZED (SELECT p, row AS e, i, CAST(w AS HUGEINT) AS w FROM x WHERE row < 256),{_ROUNDS}
+             c AS (SELECT row, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a4 GROUP BY row),
+             h AS (SELECT sha256(string_agg(CAST(w AS VARCHAR), ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM b4)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN c ON c.row = v.row, h""",
+    "op13_sharding": f"""
+        WITH d AS (SELECT row_number() OVER () AS i, doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS UINTEGER)) AS bytes FROM documents),
+             t AS (SELECT i, doc_id, CAST(size AS BIGINT) AS size, CAST(xor(list_reduce(list_prepend(4294967295::UINTEGER, bytes), lambda c, x: xor(c >> 8, {_CRC}[(xor(c, x) & 255) + 1])), 4294967295) AS BIGINT) AS text_crc32 FROM d),
+             l AS (SELECT i, s, CAST('0x' || left(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || s), 13) AS BIGINT) * 32 - s AS lot FROM d, range(17) r(s)),
+             w AS (SELECT i, CAST(arg_max(s, lot) FILTER (s < 16) AS INTEGER) AS shard, CAST(arg_max(s, lot) AS INTEGER) AS grown_shard FROM l GROUP BY i)
+        SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard FROM t JOIN w ON w.i = t.i""",
 }
