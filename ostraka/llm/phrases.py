@@ -177,20 +177,16 @@ def by_block(left: DataFrame, right: DataFrame, function: Callable[[pa.Table, pa
 # Keys as columns: hi holds the first two ids, lo the third and fourth; 0 where a phrase is shorter
 
 
-def ids_of(hi: Column, lo: Column) -> list[Column]:
+def ids_of(hi: Column, lo: Column) -> Column:
+    """array<long>: a key's ids, two to four."""
     low = F.lit(0xFFFFFFFF)
-    return [F.shiftrightunsigned(hi, 32), hi.bitwiseAND(low), F.shiftrightunsigned(lo, 32), lo.bitwiseAND(low)]
+    return F.filter(F.array(F.shiftrightunsigned(hi, 32), hi.bitwiseAND(low), F.shiftrightunsigned(lo, 32), lo.bitwiseAND(low)), lambda i: i != 0)
 
 
-def packed(ids: list[Column]) -> list[Column]:
-    """hi and lo of up to four ids."""
-    ids = [*ids, *[F.lit(0)] * (4 - len(ids))]
-    return [F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long")) for a, b in (ids[:2], ids[2:])]
-
-
-def parts(size: Column, cut: Callable[[int], list[Column]], sizes: range) -> Column:
-    """The structs that cut(size) lists, by the size of the phrase."""
-    return F.coalesce(*[F.when(size == n, F.array(*cut(n))) for n in sizes])
+def keyed(df: DataFrame, ids: str, hi: str, lo: str) -> DataFrame:
+    """df with the array `ids` of up to four ids packed into the columns hi and lo."""
+    at = lambda i: F.coalesce(F.get(ids, F.lit(i)), F.lit(0).cast("long"))
+    return df.withColumns({hi: F.shiftleft(at(0), 32).bitwiseOR(at(1)), lo: F.shiftleft(at(2), 32).bitwiseOR(at(3))}).drop(ids)
 
 
 def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 30, longest: int = 4, top: int = 2000, cover: int = 80, scale: int = 2_000_000, unknown: str = "und", block_bytes: int = 1 << 23) -> DataFrame:
@@ -248,39 +244,31 @@ def run_counts(rows: DataFrame, keys: tuple[str, ...], least: int) -> DataFrame:
 
 def ranked(phrases: DataFrame, words: DataFrame, totals: DataFrame, longest: int, top: int, cover: int, scale: int) -> DataFrame:
     """Scores, covered phrases and ranks of counted phrases (hi, lo, f), as collocations() says."""
-    ids = ids_of(F.col("hi"), F.col("lo"))
-    size = sum((F.when(i != 0, 1).otherwise(0) for i in ids[1:]), F.lit(1))
-    sized = phrases.withColumn("size", size)
-
-    singles = words.select(*[c.alias(n) for c, n in zip(packed([F.col("id")]), ("hi", "lo"))], "f")
-    counts = singles.unionAll(phrases).select(F.col("hi").alias("p_hi"), F.col("lo").alias("p_lo"), F.col("f").alias("p_f"))
-
-    def part(k: int, side: str, some: list[Column]) -> Column:
-        hi, lo = packed(some)
-        return F.struct(F.lit(k).alias("k"), F.lit(side).alias("side"), hi.alias("p_hi"), lo.alias("p_lo"))
-
-    halves = sized.select("hi", "lo", "f", F.explode(parts(F.col("size"), lambda n: [part(k, s, x) for k in range(1, n) for s, x in (("l", ids[:k]), ("r", ids[k:n]))], range(2, longest + 1))).alias("p")).select("hi", "lo", "f", "p.*")
-    found = halves.join(counts.hint("merge"), ["p_hi", "p_lo"])
-    cuts = found.groupBy("hi", "lo").agg(F.first("f").alias("a"), *[F.max(F.when((F.col("k") == k) & (F.col("side") == s), F.col("p_f"))).alias(f"{s}{k}") for k in range(1, longest) for s in "lr"])
-    score = lambda k: F.expr(f"cast(cast({scale} as decimal(20,0)) * cast(a as decimal(18,0)) as decimal(38,0)) div cast(l{k} + r{k} as decimal(20,0))")
-    each = [F.when(F.col(f"l{k}").isNotNull(), F.struct(score(k).cast("long").alias("score"), F.lit(k).alias("k"), F.col(f"l{k}").alias("l"), F.col(f"r{k}").alias("r"))) for k in range(1, longest)]
-    scored = cuts.select("hi", "lo", "a", F.array_min(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("cut")).select("hi", "lo", "a", "cut.score", "cut.l", "cut.r")
-
-    def within(some: list[Column]) -> Column:
-        hi, lo = packed(some)
-        return F.struct(hi.alias("hi"), lo.alias("lo"))
+    listed = phrases.withColumn("ids", ids_of(F.col("hi"), F.col("lo")))
+    size = F.size("ids")
+    singles = keyed(words.select("f", F.array("id").alias("ids")), "ids", "p_hi", "p_lo")
+    counts = singles.unionByName(phrases.select("f", F.col("hi").alias("p_hi"), F.col("lo").alias("p_lo"))).withColumnRenamed("f", "p_f")
+
+    half = lambda k, side, ids: F.struct(k.alias("k"), F.lit(side).alias("side"), ids.alias("half"))
+    cut = lambda k: F.array(half(k, "l", F.slice("ids", 1, k)), half(k, "r", F.slice("ids", k + 1, size)))
+    halves = listed.select("hi", "lo", "f", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), size - 1), cut))).alias("p")).select("hi", "lo", "f", "p.*")
+    found = keyed(halves, "half", "p_hi", "p_lo").join(counts.hint("merge"), ["p_hi", "p_lo"])
+    both = found.groupBy("hi", "lo", "f", "k").agg(*[F.max(F.when(F.col("side") == s, F.col("p_f"))).alias(s) for s in "lr"])
+    score = F.expr(f"cast(cast({scale} as decimal(20,0)) * cast(f as decimal(18,0)) as decimal(38,0)) div cast(l + r as decimal(20,0))").cast("long")
+    lowest = both.groupBy("hi", "lo").agg(F.min(F.struct(score.alias("score"), "k", "l", "r", F.col("f").alias("a"))).alias("cut"))
+    kept = lowest.select("hi", "lo", "cut.a", "cut.score", "cut.l", "cut.r")
 
-    kept = scored
     if longest > 2:
-        inside = sized.where("size > 2").select("f", F.explode(parts(F.col("size"), lambda n: [within(ids[i : i + m]) for m in range(2, n) for i in range(n - m + 1)], range(3, longest + 1))).alias("p"))
-        covers = inside.groupBy("p.hi", "p.lo").agg(F.max("f").alias("cover"))
+        within = F.flatten(F.transform(F.sequence(F.lit(2), size - 1), lambda m: F.transform(F.sequence(F.lit(1), size - m + 1), lambda i: F.slice("ids", i, m))))
+        inside = keyed(listed.where(size > 2).select("f", F.explode(within).alias("part")), "part", "hi", "lo")
+        covers = inside.groupBy("hi", "lo").agg(F.max("f").alias("cover"))
         wide = lambda c, by: F.col(c).cast("decimal(20,0)") * F.lit(by).cast("decimal(10,0)")
-        kept = scored.join(covers.hint("merge"), ["hi", "lo"], "left").where(F.col("cover").isNull() | (wide("cover", 100) < wide("a", cover))).drop("cover")
+        kept = kept.join(covers.hint("merge"), ["hi", "lo"], "left").where(F.col("cover").isNull() | (wide("cover", 100) < wide("a", cover))).drop("cover")
 
-    spelt = kept.select("hi", "lo", F.posexplode(F.filter(F.array(*ids), lambda i: i != 0)).alias("at", "id")).join(words.select("id", "lang", "word").hint("merge"), "id")
-    # all a phrase has comes together with its words: no second join
-    spelt = spelt.groupBy("hi", "lo").agg(F.first("lang").alias("lang"), F.array_sort(F.collect_list(F.struct("at", F.col("word").cast("string").alias("word")))).alias("w"))
-    named = kept.join(spelt.hint("merge"), ["hi", "lo"]).select("lang", F.array_join("w.word", " ").alias("phrase"), "a", "l", "r", "score")
+    # what a phrase has goes along with its words and comes back with them: one join, one aggregation
+    spelt = kept.select("*", F.posexplode(ids_of(F.col("hi"), F.col("lo"))).alias("at", "id")).join(words.select("id", "lang", "word").hint("merge"), "id")
+    spelt = spelt.groupBy("hi", "lo", "lang", "a", "l", "r", "score").agg(F.array_sort(F.collect_list(F.struct("at", F.col("word").cast("string").alias("word")))).alias("w"))
+    named = spelt.select("lang", F.array_join("w.word", " ").alias("phrase"), "a", "l", "r", "score")
 
     best = [F.desc("score"), F.desc("a"), "phrase"]
     first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*best))
