@@ -97,7 +97,7 @@ def longer_counts(longest: int) -> Callable[[pa.Table, pa.Table], dict | None]:
         coded = np.frombuffer(streams.column("stream")[0].as_buffer(), np.uint32)
         if not frequent.num_rows or len(coded) < 3:
             return None
-        known = np.unique(frequent.column("hi").to_numpy().astype(np.uint64))
+        known = np.unique(np.concatenate([np.frombuffer(m.as_buffer(), np.uint64) for m in frequent.column("members")]))
         keys = pairs_of(coded)
         at = np.minimum(np.searchsorted(known, keys), len(known) - 1).astype(np.uint64)
         good = known[at] == keys
@@ -113,27 +113,47 @@ def longer_counts(longest: int) -> Callable[[pa.Table, pa.Table], dict | None]:
     return run
 
 
-def run_lengths(keys: tuple[str, ...], least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[dict]]:
-    """Sorted rows (keys, n, block) -> (keys, f) of each run whose n sum up to `least` or more, and (keys, block) of each of its rows.
+class Members:
+    """Keys that are frequent, by the block that holds them; told as one row of packed keys for a block, at the latest when `most` keys are held."""
 
-    Of a run that goes on in the next batch, its sum is held, and its blocks only while the sum is too small: fewer than `least` rows.
+    def __init__(self, most: int = 1 << 22):
+        self.most, self.keys, self.blocks, self.held = most, [], [], 0
+
+    def add(self, keys: np.ndarray, blocks: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.blocks.append(blocks)
+        self.held += len(keys)
+
+    def told(self, all_of_them: bool = False) -> Iterator[dict]:
+        if not self.held or self.held < self.most and not all_of_them:
+            return
+        keys, blocks = np.concatenate(self.keys), np.concatenate(self.blocks)
+        order = np.argsort(blocks, kind="stable")
+        keys, blocks = keys[order], blocks[order]
+        starts = np.flatnonzero(np.diff(blocks, prepend=-1))
+        self.keys, self.blocks, self.held = [], [], 0
+        none = pa.nulls(len(starts), pa.int64())
+        yield {"hi": none, "f": none, "block": blocks[starts], "members": [k.tobytes() for k in np.split(keys, starts[1:])]}
+
+
+def run_lengths(keys: tuple[str, ...], least: int, in_blocks: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[dict]]:
+    """Sorted rows (keys, n, and with in_blocks block) -> (keys, f) of each run whose n sum up to `least` or more; with in_blocks also the packed members of each block, see Members.
+
+    Of a run that goes on in the next batch its sum is held, and its blocks only while the sum is too small: fewer than `least` rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        open_key, total, waiting = None, 0, np.zeros(0, np.int64)
-
-        def rows(key_columns: list[np.ndarray], f: list | np.ndarray, block: list | np.ndarray) -> dict:
-            return {**dict(zip(keys, key_columns, strict=True)), "f": f, "block": block}
+        open_key, total, waiting, members = None, 0, np.zeros(0, np.int64), Members()
 
-        def closed() -> Iterator[dict]:
-            if open_key is not None and total >= least:
-                yield rows([[k] for k in open_key], [total], [None])
+        def often(key_columns: list, f: list | np.ndarray) -> dict:
+            more = {"block": pa.nulls(len(f), pa.int64()), "members": pa.nulls(len(f), pa.binary())} if in_blocks else {}
+            return {**dict(zip(keys, key_columns, strict=True)), "f": f, **more}
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             columns = [batch.column(k).to_numpy() for k in keys]
-            n, block = batch.column("n").to_numpy(), batch.column("block").to_numpy()
+            n = batch.column("n").to_numpy()
             fresh = np.zeros(len(n), bool)
             fresh[0] = True
             for c in columns:
@@ -143,21 +163,25 @@ def run_lengths(keys: tuple[str, ...], least: int) -> Callable[[Iterator[pa.Reco
             goes_on = open_key == tuple(int(c[0]) for c in columns)
             if goes_on:
                 sums[0] += total
-            else:
-                yield from closed()
-                waiting = waiting[:0]
-            often = sums >= least
-            told = np.repeat(often, np.diff(np.append(starts, len(n))))
-            before = waiting if goes_on and often[0] else waiting[:0]
-            members = np.append(before, block[told])
-            yield rows([np.append(np.full(len(before), c[0]), c[told]) for c in columns], pa.nulls(len(members), pa.int64()), members)
-            done = np.flatnonzero(often[:-1])
-            yield rows([c[starts[done]] for c in columns], sums[done], pa.nulls(len(done), pa.int64()))
-            last = starts[-1]
-            held = waiting if goes_on and len(starts) == 1 else waiting[:0]
-            waiting = held[:0] if often[-1] else np.append(held, block[last:])
+            elif open_key is not None and total >= least:
+                yield often([[k] for k in open_key], [total])
+            enough = sums >= least
+            done, last = np.flatnonzero(enough[:-1]), starts[-1]
+            yield often([c[starts[done]] for c in columns], sums[done])
+            if in_blocks:
+                block = batch.column("block").to_numpy()
+                waiting = waiting if goes_on else waiting[:0]
+                if enough[0]:
+                    members.add(np.full(len(waiting), columns[0][0]), waiting)
+                told = np.repeat(enough, np.diff(np.append(starts, len(n))))
+                members.add(columns[0][told], block[told])
+                before = waiting if len(starts) == 1 else waiting[:0]
+                waiting = before[:0] if enough[-1] else np.append(before, block[last:])
+                yield from members.told()
             open_key, total = tuple(int(c[last]) for c in columns), int(sums[-1])
-        yield from closed()
+        if open_key is not None and total >= least:
+            yield often([[k] for k in open_key], [total])
+        yield from members.told(all_of_them=True)
 
     return run
 
@@ -189,7 +213,7 @@ def keyed(df: DataFrame, ids: str, hi: str, lo: str) -> DataFrame:
     return df.withColumns({hi: F.shiftleft(at(0), 32).bitwiseOR(at(1)), lo: F.shiftleft(at(2), 32).bitwiseOR(at(3))}).drop(ids)
 
 
-def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 30, longest: int = 4, top: int = 2000, cover: int = 80, scale: int = 2_000_000, unknown: str = "und", block_bytes: int = 1 << 23) -> DataFrame:
+def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 30, longest: int = 4, top: int = 2000, cover: int = 80, scale: int = 2_000_000, unknown: str = "und", block_bytes: int = 1 << 24) -> DataFrame:
     """The first `top` phrases of each language by score: lang, rank (from 1), phrase, a, l, r, n, score; numbers are long.
 
     Texts are lower-cased (A-Z only) and cut at `.,;:!?` and line ends (line feed, vertical tab, form feed, carriage return) into pieces, those at spaces and tabs into words.
@@ -220,26 +244,27 @@ def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
 
     known = vocabulary.join(words.select("lang", "word", "id"), ["lang", "word"]).select("block", "local", "id")
     paired = materialize(by_block(blocks.where("stream is not null").select("block", "stream"), known, pair_counts, "block long, hi long, n long, stream binary"))
-    two = run_counts(paired.where("hi is not null").select("hi", "n", "block"), ("hi",), least)
+    two = run_counts(paired.where("hi is not null").select("hi", "n", "block"), ("hi",), least, in_blocks=True)
     streams = paired.where("stream is not null").select("block", "stream")
     more = None
     if longest > 2:
-        members = two.where("block is not null").select("block", "hi")
+        members = two.where("block is not null").select("block", "members")
         counted = materialize(by_block(streams, members, longer_counts(longest), "hi long, lo long, n long"))
-        more = run_counts(counted.withColumn("block", F.lit(0).cast("long")), ("hi", "lo"), least)
+        more = run_counts(counted, ("hi", "lo"), least)
         release(spark, counted)
     release(spark, paired)
 
     phrases = two.where("f is not null").select("hi", F.lit(0).cast("long").alias("lo"), "f")
     if more is not None:
-        phrases = phrases.unionAll(more.where("f is not null").select("hi", "lo", "f"))
+        phrases = phrases.unionAll(more.select("hi", "lo", "f"))
     return ranked(phrases, words, totals, longest, top, cover, scale)
 
 
-def run_counts(rows: DataFrame, keys: tuple[str, ...], least: int) -> DataFrame:
-    """(keys, f, block): see run_lengths; rows are dealt by ranges of their keys and sorted there."""
+def run_counts(rows: DataFrame, keys: tuple[str, ...], least: int, in_blocks: bool = False) -> DataFrame:
+    """See run_lengths; rows are dealt by ranges of their keys and sorted there."""
     ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    return materialize(in_arrow(ordered, run_lengths(keys, least), "".join(f"{k} long, " for k in keys) + "f long, block long"))
+    schema = "".join(f"{k} long, " for k in keys) + "f long" + (", block long, members binary" if in_blocks else "")
+    return materialize(in_arrow(ordered, run_lengths(keys, least, in_blocks), schema))
 
 
 def ranked(phrases: DataFrame, words: DataFrame, totals: DataFrame, longest: int, top: int, cover: int, scale: int) -> DataFrame:

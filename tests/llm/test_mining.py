@@ -66,26 +66,31 @@ def test_collocations_of_nothing(spark, texts):
         phrases.collocations(df, longest=5)
 
 
-def test_runs_over_batches():
+@pytest.mark.parametrize("most", [1, 10, 1 << 20])
+def test_runs_over_batches(most, monkeypatch):
+    monkeypatch.setattr(phrases.Members.__init__, "__defaults__", (most,))
     rng = random.Random(9)
     for least in (1, 3, 8):
-        rows = sorted((rng.choice([1, 1, 1, 2, 3, 9]), rng.randrange(2), rng.randrange(1, 4), rng.randrange(50)) for _ in range(60))
-        total, blocks = collections.Counter(), collections.defaultdict(list)
-        for hi, lo, n, block in rows:
-            total[hi, lo] += n
-            blocks[hi, lo].append(block)
-        for size in (1, 2, 7, 100):
-            batches = [pa.RecordBatch.from_pydict(dict(zip(("hi", "lo", "n", "block"), map(pa.array, zip(*rows[i : i + size]))))) for i in range(0, len(rows), size)]
-            f, members = {}, collections.defaultdict(list)
-            for out in phrases.run_lengths(("hi", "lo"), least)(iter(batches)):
-                for hi, lo, count, block in zip(*[pa.array(out[c]).to_pylist() for c in ("hi", "lo", "f", "block")]):
-                    if count is None:
-                        members[hi, lo].append(block)
-                    else:
-                        assert (hi, lo) not in f
-                        f[hi, lo] = count
-            assert f == {k: v for k, v in total.items() if v >= least}
-            assert {k: sorted(v) for k, v in members.items()} == {k: sorted(blocks[k]) for k in f}
+        for keys in (("hi",), ("hi", "lo")):
+            rows = sorted((rng.choice([1, 1, 1, 2, 3, 9]), rng.randrange(2) if len(keys) > 1 else 0, rng.randrange(1, 4), rng.randrange(50)) for _ in range(60))
+            total, blocks = collections.Counter(), collections.Counter()
+            for *key, n, block in rows:
+                total[tuple(key)] += n
+                blocks[(*key, block)] += 1
+            for size in (1, 2, 7, 100):
+                batches = [pa.RecordBatch.from_pydict(dict(zip(("hi", "lo", "n", "block"), map(pa.array, zip(*rows[i : i + size]))))) for i in range(0, len(rows), size)]
+                f, members = {}, collections.Counter()
+                for out in phrases.run_lengths(keys, least, len(keys) == 1)(iter(batches)):
+                    columns = {k: pa.array(v).to_pylist() for k, v in out.items()}
+                    for i, count in enumerate(columns["f"]):
+                        if count is None:
+                            members.update((int(k), 0, columns["block"][i]) for k in np.frombuffer(columns["members"][i], np.int64))
+                        else:
+                            key = (columns["hi"][i], columns["lo"][i] if len(keys) > 1 else 0)
+                            assert key not in f
+                            f[key] = count
+                assert f == {k: v for k, v in total.items() if v >= least}
+                assert members == ({k: v for k, v in blocks.items() if k[:2] in f} if len(keys) == 1 else {})
 
 
 def brute_codes(rows, parts, entries, rounds):
