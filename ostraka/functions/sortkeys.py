@@ -36,10 +36,16 @@ def alphabet_key(text: Column, alphabet: str = AKKADIAN) -> Column:
 
 
 def roman(text: Column) -> Column:
-    """The value of a Roman numeral: a letter before a greater one is taken off. Null if it is none."""
+    """The value of a well-formed Roman numeral, in either case; null if it is none (IIII, VX and IC are none)."""
+    return F.when(F.upper(text).rlike(r"^(?=.)M*(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})$"), roman_loose(text))
+
+
+def roman_loose(text: Column) -> Column:
+    """The value of any run of Roman letters: a letter with a greater one anywhere behind it is taken off. Null if other letters are there, or if nothing above 0 is left."""
     values = F.transform(F.split(F.upper(text), ""), lambda c: F.create_map(*[F.lit(x) for kv in _ROMAN.items() for x in kv])[c])
-    signed = F.transform(values, lambda v, i: F.when(F.coalesce(F.get(values, i + 1), F.lit(0)) > v, -v).otherwise(v))
-    return F.when(F.upper(text).rlike("^[IVXLCDM]+$"), F.aggregate(signed, F.lit(0), lambda a, x: a + x))
+    behind = lambda i: F.coalesce(F.array_max(F.slice(values, i + 2, F.size(values))), F.lit(0))
+    total = F.aggregate(F.transform(values, lambda v, i: F.when(behind(i) > v, -v).otherwise(v)), F.lit(0), lambda a, x: a + x)
+    return F.when(F.upper(text).rlike("^[IVXLCDM]+$") & (total > 0), total)
 
 
 def plain(text: Column) -> Column:

@@ -340,11 +340,28 @@ def chapter_lines(spark, sf_dir):
 # Names, identifiers, dates
 
 
-@query("SELECT p_partkey, '10.' || (1000 + p_partkey) || '/x' || p_size AS doi, upper(regexp_replace('978-' || p_partkey || '-' || p_size || 'x', '[^0-9xX]', '', 'g')) AS isbn FROM part")
+#: DOIs, ISBNs and ISSNs as people write them, good and bad, by the remainder of a key.
+_DOIS = ("https://doi.org/10.{}/X", "DOI: 10.{}/x y", "doi:http://dx.doi.org/10.{}/X", "<>", "pending", "10.{}")
+_BOOK_NUMBERS = ("978-{}", "0 306 4{}x", "1-{}", "n/a")
+
+
+def _written(forms, number):
+    """The form whose place is the number's remainder, with the number in its gap."""
+    cases = None
+    for i, form in enumerate(forms):
+        before, gap, after = form.partition("{}")
+        text = F.concat(F.lit(before), number.cast("string"), F.lit(after)) if gap else F.lit(before)
+        cases = F.when(number % len(forms) == i, text) if cases is None else cases.when(number % len(forms) == i, text)
+    return cases
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 6 IN (0, 2) THEN '10.' || p_partkey || '/x' END AS doi,
+        CASE p_partkey % 4 WHEN 0 THEN CASE WHEN p_partkey BETWEEN 1000000 AND 9999999 THEN '978' || p_partkey END WHEN 1 THEN CASE WHEN p_partkey BETWEEN 1000 AND 9999 THEN '03064' || p_partkey || 'X' END END AS isbn,
+        CASE p_partkey % 4 WHEN 0 THEN CASE WHEN p_partkey BETWEEN 10000 AND 99999 THEN '978' || p_partkey END WHEN 1 THEN CASE WHEN p_partkey BETWEEN 10 AND 99 THEN '03064' || p_partkey || 'X' END WHEN 2 THEN CASE WHEN p_partkey BETWEEN 1000000 AND 9999999 THEN '1' || p_partkey END END AS issn FROM part""")
 def identifiers(spark, sf_dir):
-    raw = F.concat(F.lit(" https://doi.org/10."), (F.col("p_partkey") + 1000).cast("string"), F.lit("/X"), F.col("p_size").cast("string"), F.lit(". "))
-    isbn = F.concat(F.lit("978-"), F.col("p_partkey").cast("string"), F.lit("-"), F.col("p_size").cast("string"), F.lit("x"))
-    return read(spark, sf_dir, "part").select("p_partkey", names.doi(raw).alias("doi"), names.digits(isbn).alias("isbn"))
+    key = F.col("p_partkey")
+    book = _written(_BOOK_NUMBERS, key)
+    return read(spark, sf_dir, "part").select("p_partkey", names.doi(F.concat(F.lit(" "), _written(_DOIS, key), F.lit(" "))).alias("doi"), names.isbn(book).alias("isbn"), names.issn(book).alias("issn"))
 
 
 @query("SELECT p_partkey, string_split(lower(p_name), ' ')[1] || '|' || left(lower(string_split(p_name, ' ')[2]), 1) || 'j' AS name, array_to_string(list_distinct([lower(p_type)]), ' ') AS words FROM part")
@@ -354,11 +371,14 @@ def name_keys(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", names.family_and_initials(F.get(two, F.lit(0)), given).alias("name"), F.array_join(names.title_words(F.concat(F.lit("The "), "p_type", F.lit(" of the "), "p_type")), " ").alias("words"))
 
 
-@query(f"SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_size WHEN p_size % 3 = 1 THEN p_size % 10 + 1 END AS part FROM part")
+#: Titles with numbers at their end or within, and the stem and number that each has; a number of two is put in the gap.
+_TITLES = (("texts from ur part {}", "texts from ur", 2), ("royal archives band ii of {}", "royal archives", 2), ("old letters second part fourth", "old letters second", 4), ("archiv fur x heft iv teil {}", "archiv fur x heft iv", 2), ("neue tafeln iiii", "neue tafeln", 4), ("neue tafeln {}", "neue tafeln", 2), ("tafeln {}", None, None), ("partial {}", None, None), ("texts from ur second", None, None))
+
+
+@query(f"SELECT p_partkey, CASE p_size % {len(_TITLES)} {' '.join(f"WHEN {i} THEN '{stem}'" for i, (_, stem, _) in enumerate(_TITLES) if stem)} END AS stem, CASE p_size % {len(_TITLES)} {' '.join(f'WHEN {i} THEN {n}' for i, (_, _, n) in enumerate(_TITLES) if n)} END AS part FROM part")
 def series_parts(spark, sf_dir):
-    word = F.get(F.array(*map(F.lit, names.NUMBER_WORDS)), F.col("p_size") % 10)
-    title = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("Studies, Part "), F.col("p_size").cast("string"))).when(F.col("p_size") % 3 == 1, F.concat(F.lit("Texts vol. "), word)).otherwise("Texts")
-    return read(spark, sf_dir, "part").select("p_partkey", names.series_part(title).alias("part"))
+    title = F.get(F.array(*[F.lit(t.format(2)) for t, _, _ in _TITLES]), F.col("p_size") % len(_TITLES))
+    return read(spark, sf_dir, "part").select("p_partkey", names.series_part(title).alias("s")).select("p_partkey", F.col("s.stem").alias("stem"), F.col("s.number").alias("part"))
 
 
 @query("SELECT o_orderkey, CAST(year(o_orderdate) AS VARCHAR) AS value, o_orderkey % 2 = 0 AS broken, o_orderkey % 3 = 0 AS uncertain, o_orderkey % 5 = 0 AS emended FROM orders")

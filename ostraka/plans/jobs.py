@@ -128,11 +128,17 @@ def positional_update(spark, sf_dir):
 _TENS, _ONES = ("", "x", "xx", "xxx", "xl", "l"), ("", "i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix")
 
 
-@query(f"SELECT p_partkey, {list(_TENS)}[p_size // 10 + 1] || {list(_ONES)}[p_size % 10 + 1] AS numeral, CAST(p_size AS INTEGER) AS number FROM part")
+#: Runs of Roman letters that are no numerals, and what they add up to.
+_LOOSE = (("IIII", 4), ("VX", 5), ("IC", 99), ("VIX", 4), ("XIIX", 18))
+
+
+@query(f"""SELECT p_partkey, numeral, CASE WHEN numeral = '' OR strange THEN NULL ELSE CAST(p_size AS INTEGER) END AS number, CASE WHEN numeral = '' THEN NULL WHEN strange THEN {[n for _, n in _LOOSE]}[p_partkey % 5 + 1] ELSE CAST(p_size AS INTEGER) END AS loose
+    FROM (SELECT p_partkey, p_size, p_partkey % 3 = 0 AS strange, CASE WHEN p_partkey % 3 = 0 THEN {[t for t, _ in _LOOSE]}[p_partkey % 5 + 1] ELSE {list(_TENS)}[p_size // 10 + 1] || {list(_ONES)}[p_size % 10 + 1] END AS numeral FROM part)""")
 def roman_numbers(spark, sf_dir):
     numeral = F.concat(F.get(F.array(*map(F.lit, _TENS)), F.floor(F.col("p_size") / 10).cast("int")), F.get(F.array(*map(F.lit, _ONES)), F.col("p_size") % 10))
-    rows = read(spark, sf_dir, "part").select("p_partkey", numeral.alias("numeral"))
-    return rows.select("p_partkey", "numeral", F.when(F.col("numeral") == "", 0).otherwise(sortkeys.roman(F.col("numeral"))).alias("number"))
+    strange = F.get(F.array(*[F.lit(t) for t, _ in _LOOSE]), (F.col("p_partkey") % 5).cast("int"))
+    rows = read(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, strange).otherwise(numeral).alias("numeral"))
+    return rows.select("p_partkey", "numeral", sortkeys.roman(F.col("numeral")).alias("number"), sortkeys.roman_loose(F.col("numeral")).alias("loose"))
 
 
 @query("""WITH K AS (SELECT p_partkey, replace(lower(p_brand), '#', '') || p_size || coalesce(list_filter(string_split(p_name, ' '), lambda w: w NOT IN ('the', 'a', 'of'))[1], '') AS stem FROM part)
