@@ -72,13 +72,17 @@ GREEK_WORD = rf"(?:{OPENING}|{CLOSING})*(?:{one_of(f'[{GREEK_LETTERS}]{_FLAGS}',
 PIECE = one_of(VARIANT, DOTS, UNKNOWN + rf"(?![{READING_LETTERS}{LOGOGRAM_LETTERS}])", COMPOUND, READING, LOGOGRAM, NUMBER, FEET, r"\{\{", r"\}\}", r"\{\+", r"[{}]", ENCLOSURE, JOINER, r"[°\\]", ".")
 
 
+#: Readings and hyphens alone: most words, told without the rest of the grammar.
+SIMPLE_WORD = f"^{_V}+[₀-₉]*(?:-{_V}+[₀-₉]*)*$"
+
+
 def whole(pattern: str) -> str:
     return rf"^(?:{pattern})$"
 
 
 def piece_type(piece: Column) -> Column:
     """What one piece of a word is."""
-    kinds = (("Variant", VARIANT), ("UnknownNumberOfSigns", DOTS), ("UnidentifiedSign", f"X{_FLAGS}"), ("UnclearSign", f"x{_FLAGS}"), ("CompoundGrapheme", COMPOUND), ("Reading", READING), ("Logogram", LOGOGRAM), ("Number", NUMBER), ("EgyptianMetricalFeetSeparator", FEET))
+    kinds = (("Reading", READING), ("Logogram", LOGOGRAM), ("UnclearSign", f"x{_FLAGS}"), ("UnknownNumberOfSigns", DOTS), ("UnidentifiedSign", f"X{_FLAGS}"), ("CompoundGrapheme", COMPOUND), ("Number", NUMBER), ("Variant", VARIANT), ("EgyptianMetricalFeetSeparator", FEET))
     marks = (("LinguisticGloss", ("{{", "}}")), ("PhoneticGloss", ("{+",)), ("Determinative", ("{", "}")), ("Joiner", tuple("-+.:;,")), ("Erasure", ("°", "\\")), *((camel(name), (a, b)) for name, a, b in ENCLOSURES[:6]))
     return F.coalesce(*[F.when(piece.isin(*texts), name) for name, texts in marks], *[F.when(piece.rlike(whole(pattern)), name) for name, pattern in kinds], F.lit("Invalid"))
 
@@ -93,22 +97,36 @@ def sub_index(piece: Column) -> Column:
     return F.when(digits == "", 1).when(digits != "ₓ", digits.try_cast("int"))
 
 
-def sign_parts(piece: Column) -> Column:
-    """struct (type, value, name, index, modifiers, flags, sign) of a piece; what it does not have is null. name is free of brackets."""
-    kind = piece_type(piece)
-    bare = F.regexp_replace(piece, r"\(.*\)>?$|<\(.*$", "")
+def sign_parts(piece: Column, kind: Column) -> Column:
+    """struct (type, value, name, index, modifiers, flags, sign) of a piece of a kind; what it does not have is null. name is free of brackets."""
+    bare = F.regexp_replace(piece, r"\(.*\)>?$|<\(.*$|[\[\]]", "")
     named = kind.isin("Reading", "Logogram", "Number")
-    letters = F.regexp_extract(F.regexp_replace(bare, r"[\[\]]", ""), rf"^({_V}+|{_L}+|{_NUMBER})", 1)
-    signs = F.when(named | kind.isin("UnidentifiedSign", "UnclearSign", "EgyptianMetricalFeetSeparator"), F.filter(F.split(F.regexp_extract(bare, rf"([{FLAGS}]*)$", 1), ""), lambda c: c != ""))
+    flagged = named | kind.isin("UnidentifiedSign", "UnclearSign", "EgyptianMetricalFeetSeparator")
     return F.struct(
         kind.alias("type"),
         piece.alias("value"),
-        F.when(named, letters).alias("name"),
-        F.when(kind.isin("Reading", "Logogram"), sub_index(F.regexp_replace(bare, r"[\[\]]", ""))).alias("index"),
+        F.when(named, F.regexp_extract(bare, rf"^({_V}+|{_L}+|{_NUMBER})", 1)).alias("name"),
+        F.when(kind.isin("Reading", "Logogram"), sub_index(bare)).alias("index"),
         F.when(named, F.regexp_extract_all(bare, F.lit(rf"[@~]({one_of(*MODIFIERS, '[0-9]+')})"), 1)).alias("modifiers"),
-        signs.alias("flags"),
-        F.when(named, F.nullif(F.regexp_extract(piece, r"[^<]\(([^()]*(?:\([^()]*\)[^()]*)*)\)$", 1), F.lit(""))).alias("sign"),
+        F.when(flagged, F.filter(F.split(F.regexp_extract(bare, rf"([{FLAGS}]*)$", 1), ""), lambda c: c != "")).alias("flags"),
+        F.when(named & F.contains(piece, F.lit("(")), F.nullif(F.regexp_extract(piece, r"[^<]\(([^()]*(?:\([^()]*\)[^()]*)*)\)$", 1), F.lit(""))).alias("sign"),
+    )
+
+
+def parts(word: Column) -> Column:
+    """array of sign_parts of a word's pieces."""
+    plain = lambda p: F.struct(
+        F.when(p == "-", "Joiner").otherwise("Reading").alias("type"),
+        p.alias("value"),
+        F.when(p != "-", F.translate(p, "₀₁₂₃₄₅₆₇₈₉", "")).alias("name"),
+        F.when(p != "-", sub_index(p)).alias("index"),
+        F.when(p != "-", F.array().cast("array<string>")).alias("modifiers"),
+        F.when(p != "-", F.array().cast("array<string>")).alias("flags"),
+        F.lit(None).cast("string").alias("sign"),
     )
+    # the kind is told once and read from the struct
+    told = F.transform(F.regexp_extract_all(word, F.lit(PIECE), F.lit(0)), lambda p: F.struct(p.alias("p"), piece_type(p).alias("k")))
+    return F.when(word.rlike(SIMPLE_WORD), F.transform(F.regexp_extract_all(word, F.lit("[^-]+|-"), F.lit(0)), plain)).otherwise(F.transform(told, lambda x: sign_parts(x["p"], x["k"])))
 
 
 def language_of(shift: Column) -> Column:
@@ -144,6 +162,8 @@ def token_type(token: Column, shift: Column) -> Column:
     ]
     found = F.coalesce(
         F.when(F.length(token) > LONGEST_WORD, "Invalid"),
+        F.when(latin & ~greek & token.rlike(SIMPLE_WORD), "Word"),
+        F.when(latin & ~greek & token.rlike("^[a-z]{2,}$"), "Invalid"),
         F.when(is_("%[a-zA-Z0-9]+"), "LanguageShift"),
         F.when(is_("&(?:[1-9][0-9]*)?") & latin, "Column"),
         F.when(greek & is_(GREEK_WORD), "GreekWord"),

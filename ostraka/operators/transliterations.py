@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ostraka.functions import atf
+from ostraka.functions.text import once
 
 _BIT = {name: 1 << i for i, (name, _, _) in enumerate(atf.ENCLOSURES)}
 _OPEN = tuple(a for _, a, _ in atf.ENCLOSURES if a)
@@ -50,23 +51,27 @@ def cut_tokens(content: Column) -> Column:
     return F.flatten(F.transform(cut, lambda t: F.when(t.rlike(brackets), F.regexp_extract_all(t, F.lit(atf.ENCLOSURE), F.lit(0))).otherwise(F.array(t))))
 
 
-def _with_shifts(tokens: Column) -> Column:
-    """array<struct<token, shift, brackets>>: each token with the last shift before it and its enclosures in order."""
-    start = F.struct(F.lit(None).cast("string").alias("shift"), F.array().cast("array<struct<token:string,shift:string>>").alias("out"))
+def _shifts(tokens: Column) -> Column:
+    """array<struct<place, token>>: the shifts among the tokens."""
+    return F.filter(F.transform(tokens, lambda t, i: F.struct(i.alias("place"), t.alias("token"))), lambda x: x["token"].rlike("^%[a-zA-Z0-9]+$"))
 
-    def step(acc: Column, t: Column) -> Column:
-        return F.struct(F.when(t.rlike("^%[a-zA-Z0-9]+$"), t).otherwise(acc["shift"]).alias("shift"), F.concat(acc["out"], F.array(F.struct(t.alias("token"), acc["shift"].alias("shift")))).alias("out"))
 
-    def brackets(t: Column) -> Column:
-        one_by_one = F.regexp_extract_all(t["token"], F.lit(r"([<>()\[\]])"), F.lit(1))
-        usual = F.regexp_extract_all(F.regexp_replace(t["token"], _SIGN_NAME, ""), F.lit(atf.ENCLOSURE), F.lit(0))
-        return F.when(t["token"].isin(*_NO_ENCLOSURES), F.array().cast("array<string>")).when(atf.normalized_of(t["shift"]), one_by_one).otherwise(usual)
+def _items(tokens: Column, shifts: Column) -> Column:
+    """array<struct<token, shift, brackets>>: each token with the last shift before it and its enclosures in order."""
+
+    def item(t: Column, i: Column) -> Column:
+        before = F.filter(shifts, lambda x: x["place"] < i)
+        shift = F.get(before, F.size(before) - 1)["token"]
+        one_by_one = F.regexp_extract_all(t, F.lit(r"([<>()\[\]])"), F.lit(1))
+        usual = F.regexp_extract_all(F.regexp_replace(t, _SIGN_NAME, ""), F.lit(atf.ENCLOSURE), F.lit(0))
+        brackets = F.when(t.isin(*_NO_ENCLOSURES), F.array().cast("array<string>")).when(atf.normalized_of(shift), one_by_one).otherwise(usual)
+        return F.struct(t.alias("token"), shift.alias("shift"), brackets.alias("brackets"))
 
-    return F.transform(F.aggregate(tokens, start, step)["out"], lambda t: F.struct(t["token"].alias("token"), t["shift"].alias("shift"), brackets(t).alias("brackets")))
+    return F.transform(tokens, item)
 
 
 def _enclosed(items: Column) -> Column:
-    """struct (state struct<mask, bad>, masks): which enclosures are open before each token and at the end, and whether one was opened or closed where it may not."""
+    """struct (state struct<mask, bad>, masks): which enclosures are open at the end and before each token (as bits, two hex digits a token: a text grows faster than an array), and whether one was opened or closed where it may not."""
     state = F.struct(F.lit(0).alias("mask"), F.lit(False).alias("bad"))
 
     def bracket(s: Column, b: Column, normalized: Column) -> Column:
@@ -86,16 +91,19 @@ def _enclosed(items: Column) -> Column:
 
     def step(acc: Column, t: Column) -> Column:
         after = F.aggregate(t["brackets"], acc["state"], lambda s, b: bracket(s, b, atf.normalized_of(t["shift"])))
-        return F.struct(after.alias("state"), F.concat(acc["masks"], F.array(acc["state"]["mask"])).alias("masks"))
+        return F.struct(after.alias("state"), F.concat(acc["masks"], F.lpad(F.hex(acc["state"]["mask"]), 2, "0")).alias("masks"))
 
-    return F.aggregate(items, F.struct(state.alias("state"), F.array().cast("array<int>").alias("masks")), step)
+    return F.aggregate(items, F.struct(state.alias("state"), F.lit("").alias("masks")), step)
 
 
 def _cut(typed: DataFrame) -> DataFrame:
-    """Text lines with their tokens, and whether their enclosures are sound."""
-    text = typed.where("type = 'TextLine'").select("doc_id", "line_index", "line", cut_tokens(F.col("text")).alias("__t"))
-    text = text.withColumn("__t", _with_shifts(F.col("__t"))).withColumn("__e", _enclosed(F.col("__t")))
-    return text.withColumn("sound", ~F.col("__e.state.bad") & (F.col("__e.state.mask") == 0))
+    """Text lines with their tokens, what is open before each, and whether their enclosures are sound. Each step's result is fixed (text.once) before the next reads it for every token."""
+    cut = typed.where("type = 'TextLine'").select("doc_id", "line_index", "line", once(cut_tokens(F.col("text"))).alias("tokens"))
+    cut = cut.select("*", once(_shifts(F.col("tokens"))).alias("shifts"))
+    cut = cut.select("doc_id", "line_index", "line", once(_items(F.col("tokens"), F.col("shifts"))).alias("items"))
+    cut = cut.select("*", once(_enclosed(F.col("items"))).alias("e"))
+    masks = F.transform(F.regexp_extract_all("e.masks", F.lit(".."), F.lit(0)), lambda m: F.conv(m, 16, 10).cast("int"))
+    return cut.select("doc_id", "line_index", "line", "items", masks.alias("masks"), (~F.col("e.state.bad") & (F.col("e.state.mask") == 0)).alias("sound"))
 
 
 def tokens(typed: DataFrame) -> DataFrame:
@@ -105,8 +113,8 @@ def tokens(typed: DataFrame) -> DataFrame:
     Words of more than atf.LONGEST_WORD characters are Invalid, too.
     """
     shift, value = F.col("shift"), F.col("value")
-    rows = _cut(typed).select("doc_id", "line_index", F.posexplode(F.arrays_zip(F.col("__t").alias("t"), F.col("__e.masks").alias("m"))).alias("token_index", "x"))
-    rows = rows.select("doc_id", "line_index", "token_index", F.col("x.t.token").alias("value"), F.col("x.t.shift").alias("shift"), F.col("x.m").alias("mask"))
+    rows = _cut(typed).select("doc_id", "line_index", F.posexplode(F.arrays_zip("items", "masks")).alias("token_index", "x"))
+    rows = rows.select("doc_id", "line_index", "token_index", F.col("x.items.token").alias("value"), F.col("x.items.shift").alias("shift"), F.col("x.masks").alias("mask"))
     rows = rows.withColumn("type", atf.token_type(value, shift))
     word = F.col("type").isin("Word", "LoneDeterminative", "AkkadianWord", "GreekWord")
     language = F.when(word | shift.isNotNull(), F.when(shift.isNull(), "AKKADIAN").otherwise(atf.language_of(shift)))
@@ -115,8 +123,7 @@ def tokens(typed: DataFrame) -> DataFrame:
         unclear = unclear | F.contains(value, F.lit(mark))
     has_lemma = F.col("type").isin("Word", "AkkadianWord", "GreekWord") & F.col("language").isin(*atf.LEMMATIZABLE) & ~unclear
     names = F.filter(F.array(*[F.when(F.col("mask").bitwiseAND(bit) != 0, name) for name, bit in _BIT.items()]), lambda n: n.isNotNull())
-    pieces = F.transform(F.regexp_extract_all(value, F.lit(atf.PIECE), F.lit(0)), atf.sign_parts)
-    rows = rows.withColumn("language", F.when(word, language)).withColumns({"clean": F.when(word, atf.clean(value)).otherwise(value), "normalized": atf.normalized_of(shift), "enclosures": names, "lemmatizable": F.coalesce(has_lemma, F.lit(False)), "parts": F.when(F.col("type").isin("Word", "LoneDeterminative"), pieces)})
+    rows = rows.withColumn("language", F.when(word, language)).withColumns({"clean": F.when(word, atf.clean(value)).otherwise(value), "normalized": atf.normalized_of(shift), "enclosures": names, "lemmatizable": F.coalesce(has_lemma, F.lit(False)), "parts": F.when(F.col("type").isin("Word", "LoneDeterminative"), atf.parts(value))})
     return rows.select("doc_id", "line_index", "token_index", "value", "type", "clean", "language", "normalized", "enclosures", "lemmatizable", F.col("lemmatizable").alias("alignable"), "parts")
 
 
