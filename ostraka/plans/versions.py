@@ -16,6 +16,14 @@ def align_scores(spark, sf_dir):
     return alignment.align(read(spark, sf_dir, "benchmark").select("item_id", signs), read(spark, sf_dir, "conversations").select("conv_id", "turn", signs), "item_id", ["conv_id", "turn"], min_score=30)
 
 
+@query(None)
+def align_report(spark, sf_dir):
+    """The same pairs traced: score, percentages, and where in the passage the alignment begins and ends."""
+    signs = F.lower("text").alias("signs")
+    found = alignment.align(read(spark, sf_dir, "benchmark").select("item_id", signs), read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", signs), "item_id", ["conv_id", "turn", "role"], min_score=30, traced=True)
+    return found.select("fragment", "conv_id", "turn", "role", "score", "identity", "similarity", F.size("alignment").alias("columns"))
+
+
 def _versions(spark, sf_dir):
     """Words of a turn, and what an edit made of them: every fifth word is another, every seventh is gone, and one is added."""
     old = F.filter(F.split("text", r"\s+"), lambda w: w != "")

@@ -9,10 +9,22 @@ from ostraka.functions import diffs
 from ostraka.operators import alignment as al
 
 
-@pytest.mark.parametrize(
-    "a,b,score",
-    [("KU", "KU", 16), ("KU", "BA", -5), ("ABZ597", "ABZ545", 7), ("#", "#", 6), ("#", "KU", -10), ("X", "X", 3), ("KU", "X", -3), ("ABZ001/ABZ545/ABZ002", "ABZ003/ABZ545/ABZ001", 16), ("ABZ545/ABZ002", "ABZ003/ABZ597", 7), ("ABZ001/ABZ002", "ABZ003/ABZ004", -5)],
-)
+#: Pairs of signs and their scores.
+PAIRS = [
+    ("ABZ001", "ABZ001", 16),
+    ("ABZ001", "ABZ002", -5),
+    ("ABZ545", "ABZ597", 7),
+    ("#", "#", 6),
+    ("#", "ABZ002", -10),
+    ("X", "X", 3),
+    ("ABZ001", "X", -3),
+    ("ABZ001/ABZ545/ABZ002", "ABZ003/ABZ545/ABZ001", 16),
+    ("ABZ545/ABZ002", "ABZ003/ABZ597", 7),
+    ("ABZ001/ABZ002", "ABZ003/ABZ004", -5),
+]
+
+
+@pytest.mark.parametrize("a,b,score", PAIRS)
 def test_two_signs(a, b, score):
     assert al.pair_score(a, b) == al.pair_score(b, a) == score
 
@@ -50,8 +62,53 @@ def test_align(spark):
     found = sorted(map(tuple, al.align(fragments, manuscripts, "id", ["m", "n"], min_score=16).collect()), key=str)
     assert found == sorted([(1, "a", 0, 70), (1, None, 2, 16), (5, "a", 0, 16), (5, "a", 0, 16), (5, None, 2, 16), (5, None, 2, 16)], key=str)
     assert al.align(fragments.limit(0), manuscripts, "id", ["m"]).count() == 0
-    with pytest.raises(ValueError):
-        al.align(fragments, manuscripts, "id", ["m"], most_bytes=3)
+    for size in (1, 3, 10**6):
+        again = al.align(fragments, manuscripts, "id", ["m", "n"], min_score=16, block=size, part=size)
+        assert sorted(map(tuple, again.collect()), key=str) == found
+
+
+def cost(a, b, pairs):
+    """What an alignment is worth: each pair, each gap's first sign and its further ones."""
+    total, last = 0, "pair"
+    for i, j in pairs:
+        if i >= 0 and j >= 0:
+            total, last = total + al.pair_score(a[i], b[j]), "pair"
+        else:
+            sign, kind = (a[i], "down") if i >= 0 else (b[j], "side")
+            extension = al.GAP_EXTENSION_BREAK if sign == "#" else al.GAP_EXTENSION
+            total, last = total + (extension if last == kind else al.GAP_START), kind
+    return total
+
+
+def test_traces_are_worth_their_scores():
+    rng = random.Random(5)
+    signs = ["KU", "BA", "#", "X", "ABZ545", "ABZ354", "KU/BA", "ŠU"]
+    for _ in range(300):
+        a, b = ([rng.choice(signs) for _ in range(rng.randint(0, n))] for n in (25, 30))
+        score, pairs = al.trace(a, b)
+        assert score == (plain(a, b) if a and b else 0) and cost(a, b, pairs) == score
+        left, right = [i for i, _ in pairs if i >= 0], [j for _, j in pairs if j >= 0]
+        if pairs:
+            # nothing is left out within, and only ends that cost nothing without
+            assert left == list(range(left[0], left[-1] + 1)) and right == list(range(right[0], right[-1] + 1))
+            assert (left[0] == 0 or right[0] == 0) and (left[-1] == len(a) - 1 or right[-1] == len(b) - 1)
+
+
+def test_percentages_and_rows(spark):
+    assert al.trace(["KU"], ["KU"]) == (16, [(0, 0)]) and al.trace(["KU"], ["BA"]) == (0, [])
+    assert al.preserved(["KU", "ABZ545", "BA"], ["KU", "ABZ354", "ŠU"], [(0, 0), (1, 1), (2, 2), (-1, 1)]) == (33.33, 66.67) and al.preserved([], [], []) == (0.0, 0.0)
+    fragments = spark.createDataFrame([(1, "KU BA X\nŠU KU", "a note")], "id int, signs string, notes string")
+    manuscripts = spark.createDataFrame([("a", "TA KU BA\nŠU ŠU KU")], "m string, signs string")
+    (r,) = al.align(fragments, manuscripts, "id", ["m"], min_score=10, traced=True, also=["notes"]).collect()
+    assert (r.fragment, r.notes, r.m, r.score, r.identity, r.similarity) == (1, "a note", "a", 65, 100.0, 100.0)
+    assert [(c.fragment_sign, c.manuscript_sign) for c in r.alignment] in ([("KU", "KU"), ("BA", "BA"), ("#", "#"), ("ŠU", "ŠU"), (None, "ŠU"), ("KU", "KU")], [("KU", "KU"), ("BA", "BA"), ("#", "#"), (None, "ŠU"), ("ŠU", "ŠU"), ("KU", "KU")])
+
+
+def test_sequences_of_signs(spark):
+    rows = [("X X ABZ001\nABZ002\nX X X\n", ["ABZ001", "#", "ABZ002", "#", "#"]), ("KU X BA\nŠU", ["KU", "BA", "#", "ŠU"]), ("X/KU", ["/KU"]), ("X X\nX", ["#"]), ("n", ["n"]), ("", []), (None, None)]
+    df = spark.createDataFrame([(r[0],) for r in rows], "s string")
+    found = df.select("s", al.sequence(F.col("s")), al.has_clear_signs(F.col("s"))).collect()
+    assert [(r[0], r[1]) for r in found] == rows and [r[2] for r in found] == [True, True, True, False, True, False, False]
 
 
 def test_differences(spark):
