@@ -86,6 +86,18 @@ def in_arrow(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(run, schema)
 
 
+def by_block(left: DataFrame, right: DataFrame, function: Callable[[pa.Table, pa.Table], dict | None], schema: str | T.StructType) -> DataFrame:
+    """function(rows of left, rows of right) for each value of the column block of left."""
+    target = to_arrow_schema(T.StructType.fromDDL(schema) if isinstance(schema, str) else schema)
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        found = function(a, b) if a.num_rows else None
+        return target.empty_table() if found is None else pa.table([pa.array(found[f.name], f.type) if not isinstance(found[f.name], (pa.Array, pa.ChunkedArray)) else found[f.name].cast(f.type) for f in target], schema=target)
+
+    own = right.withColumnRenamed("block", "__block")  # both may come from one table
+    return left.groupBy("block").cogroup(own.groupBy("__block")).applyInArrow(run, schema)
+
+
 class Memory:
     """Answers for words met so far, in two generations of at most about `most` words and `room` bytes each: words that come again stay, the many that come once go."""
 

@@ -7,10 +7,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import in_arrow, in_order, materialize, only, release
+from .common import by_block, in_arrow, in_order, materialize, only, release
 
 #: What ends a piece, and the byte that stands for it: no UTF-8 text has it.
 ENDS, BREAK = b".,;:!?\n\x0b\x0c\r", b"\xff"
@@ -186,18 +185,6 @@ def run_lengths(keys: tuple[str, ...], least: int, in_blocks: bool) -> Callable[
     return run
 
 
-def by_block(left: DataFrame, right: DataFrame, function: Callable[[pa.Table, pa.Table], dict | None], schema: str) -> DataFrame:
-    """function(rows of left, rows of right) for each block of left."""
-    target = to_arrow_schema(T.StructType.fromDDL(schema))
-
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        found = function(a, b) if a.num_rows else None
-        return target.empty_table() if found is None else pa.table([pa.array(found[f.name], f.type) for f in target], schema=target)
-
-    own = right.withColumnRenamed("block", "__block")  # both may come from one table
-    return left.groupBy("block").cogroup(own.groupBy("__block")).applyInArrow(run, schema)
-
-
 # Keys as columns: hi holds the first two ids, lo the third and fourth; 0 where a phrase is shorter
 
 
