@@ -35,6 +35,26 @@ def alphabet_key(text: Column, alphabet: str = AKKADIAN) -> Column:
     return F.transform(F.split(F.lower(text), ""), lambda c: F.coalesce(F.nullif(F.instr(F.lit(alphabet), c), F.lit(0)), F.lit(1000)))
 
 
+#: Vowels that sort as their plain letter, by the sign on them; places of a space and of letters of no place.
+MACRONS, CIRCUMFLEXES = ("āēīūĀĒĪŪ", "aeiuAEIU"), ("âêîûÂÊÎÛ", "aeiuAEIU")
+SPACE_PLACE, NO_PLACE = -1, 10000
+
+
+def akkadian_key(text: Column) -> Column:
+    """array<int> that sorts words of a dictionary: first by letters, capitals before small ones and a space before all, then by the signs on vowels (none, macron,
+    circumflex), then by the Roman number that closes the word, as a number (none: 0)."""
+    parts = F.regexp_extract(text, r"^(.*) ([^ ]*)$", 2)
+    number = F.when(F.contains(text, F.lit(" ")), roman(F.nullif(parts, F.lit(""))))
+    word = F.when(number.isNotNull(), F.regexp_extract(text, r"^(.*) ([^ ]*)$", 1)).otherwise(text)
+    # capital and small letter of each place in turn; a mark without case has the second place only
+    both = "".join((c.upper() if c.upper() != c else "\u0001") + c for c in AKKADIAN)
+    plain_vowels = F.translate(word, MACRONS[0] + CIRCUMFLEXES[0], MACRONS[1] + CIRCUMFLEXES[1])
+    letters = F.transform(F.split(plain_vowels, ""), lambda c: F.when(c == " ", SPACE_PLACE).when(F.instr(F.lit(both), c) > 0, F.instr(F.lit(both), c) - 1).otherwise(NO_PLACE))
+    signs = F.transform(F.split(word, ""), lambda c: F.when(F.instr(F.lit(MACRONS[0]), c) > 0, 1).when(F.instr(F.lit(CIRCUMFLEXES[0]), c) > 0, 2).otherwise(0))
+    last = F.array(F.coalesce(number, F.lit(0)))
+    return F.when(word == "", last).otherwise(F.concat(letters, signs, last))
+
+
 def roman(text: Column) -> Column:
     """The value of a well-formed Roman numeral, in either case; null if it is none (IIII, VX and IC are none)."""
     return F.when(F.upper(text).rlike(r"^(?=.)M*(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})$"), roman_loose(text))

@@ -59,3 +59,14 @@ def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """doc_id, line_index, token_index, token: one row for each token, in reading order."""
     nested = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(token_lines(F.col(text_col))).alias("line_index", "words"))
     return nested.select("doc_id", "line_index", F.posexplode("words").alias("token_index", "token"))
+
+
+def ngrams(items: Column, n: int) -> Column:
+    """All runs of n consecutive items; none if there are fewer."""
+    starts = F.when(F.size(items) >= n, F.sequence(F.lit(1), F.size(items) - (n - 1))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.slice(items, i, n))
+
+
+def has_lines(lines: Column) -> Column:
+    """Whether an array has an item; null has none."""
+    return F.coalesce(F.size(lines) > 0, F.lit(False))

@@ -111,3 +111,8 @@ def splits(spark, phrase: str, most: int = 10_000) -> DataFrame:
         raise ValueError("too many candidates")
     pairs = sorted({(" ".join(words[:i]), " ".join(words[i:])) for i in range(1, len(words))})
     return spark.createDataFrame(pairs, "text string, number string")
+
+
+def live(deprecated: Column) -> Column:
+    """Records that nobody has marked as out of use."""
+    return ~F.coalesce(deprecated, F.lit(False))

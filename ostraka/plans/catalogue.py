@@ -220,6 +220,26 @@ def alphabet_sort(spark, sf_dir):
     return windows.placed(words, F.struct(sortkeys.alphabet_key(F.col("p_name")).alias("k"), "p_name"), "place")
 
 
+_NUMERALS = ("", " I", " II", " IV", " IX", " X", " IIII")
+
+
+@query(f"""WITH W AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN upper(w[1]) || w[2:] ELSE w END || CASE WHEN p_partkey % 4 = 0 THEN ' ring' ELSE '' END AS word, {list(_NUMERALS)}[p_partkey % {len(_NUMERALS)} + 1] AS numeral
+        FROM (SELECT p_partkey, translate(string_split(p_name, ' ')[2], CASE p_partkey % 5 WHEN 0 THEN 'iu' WHEN 1 THEN 'a' ELSE '' END, CASE p_partkey % 5 WHEN 0 THEN 'īū' WHEN 1 THEN 'â' ELSE '' END) AS w FROM part)),
+    K AS (SELECT p_partkey, word || numeral AS word, CASE WHEN numeral = ' IIII' THEN word || numeral ELSE word END AS plain, CASE numeral WHEN ' I' THEN 1 WHEN ' II' THEN 2 WHEN ' IV' THEN 4 WHEN ' IX' THEN 9 WHEN ' X' THEN 10 ELSE 0 END AS number FROM W),
+    L AS (SELECT p_partkey, word, plain, number, list_transform(regexp_extract_all(translate(plain, 'īūâÂ', 'iuaA'), '.'), lambda c: CASE WHEN c = ' ' THEN -1 WHEN instr('-''abdeghḫiklmnpqrsṣštṭuwyz', lower(c)) = 0 THEN 10000 ELSE 2 * instr('-''abdeghḫiklmnpqrsṣštṭuwyz', lower(c)) - CASE WHEN lower(c) = c THEN 1 ELSE 2 END END) AS letters,
+        list_transform(regexp_extract_all(plain, '.'), lambda c: CASE WHEN c IN ('ī', 'ū') THEN 1 WHEN c IN ('â', 'Â') THEN 2 ELSE 0 END) AS signs FROM K)
+    SELECT p_partkey, word, row_number() OVER (ORDER BY letters || signs || [number], p_partkey) AS place FROM L""")
+def akkadian_sort(spark, sf_dir):
+    """Words with capitals, long vowels, a second word and closing numbers, in the order of a dictionary."""
+    key = F.col("p_partkey")
+    noun = F.get(F.split("p_name", " "), F.lit(1))
+    long = F.when(key % 5 == 0, F.translate(noun, "iu", "īū")).when(key % 5 == 1, F.translate(noun, "a", "â")).otherwise(noun)
+    word = F.concat(F.when(key % 3 == 0, F.concat(F.upper(F.left(long, F.lit(1))), F.substr(long, F.lit(2)))).otherwise(long), F.when(key % 4 == 0, " ring").otherwise(""))
+    numeral = F.get(F.array(*map(F.lit, _NUMERALS)), (key % len(_NUMERALS)).cast("int"))
+    words = read(spark, sf_dir, "part").select("p_partkey", F.concat(word, numeral).alias("word"))
+    return windows.placed(words, F.struct(sortkeys.akkadian_key(F.col("word")).alias("k"), "p_partkey"), "place").select("p_partkey", "word", "place")
+
+
 @query("SELECT p_partkey, row_number() OVER (ORDER BY lower(p_brand), p_size, lower(p_name), p_partkey) AS place FROM part")
 def bibliography_sort(spark, sf_dir):
     """By first author, year and title, case and accents apart."""
