@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ostraka.functions import atf
+from ostraka.functions import atf, legacy
 from ostraka.functions.text import once
 
 _BIT = {name: 1 << i for i, (name, _, _) in enumerate(atf.ENCLOSURES)}
@@ -36,7 +36,8 @@ def spaced(text: Column) -> Column:
         (r"(?<![.:])\. +(?=\S)", "."),
         (rf" +([:;])(?=[\p{{L}}0-9\[<(|{{])", "$1"),
         (rf"(?<=[{letter}\])>}}|])([:;]) +", "$1"),
-        (r"(\{\(|\)\})", " $1 "),
+        # a parenthesis that closes the name of a sign in a gloss is none that closes a gloss on the document
+        (rf"(\{{\(|(?<![{letter}]\([^(){{}} ]{{1,40}})\)\}})", " $1 "),
         (rf"(?<![^ ])({atf.OPENING}+)(?={divider}(?:{atf.CLOSING}*)(?![^ ]))", "$1 "),
         (rf"(?<![^ ])({divider})({atf.CLOSING}+)(?![^ ])", "$1 $2"),
     ):
@@ -138,3 +139,49 @@ def problems(typed: DataFrame, found: DataFrame | None = None) -> DataFrame:
         .unionByName(told(_cut(typed).where(~F.col("sound")), "Invalid enclosures", "line"))
         .unionByName(told(found.where("type = 'Invalid'"), "Invalid token", "value"))
     )
+
+
+# The older style
+
+
+def rewritten(df: DataFrame, old: str, new: str) -> DataFrame:
+    """df with the lines of the older style in `old` rewritten in `new`. Each step's result is fixed before the next reads it, since most steps read it more than once."""
+    rows = df.select("*", once(F.regexp_replace(F.regexp_replace(F.col(old), "[\t ]+", " "), r"^[ \r]+|[ \r]+$", "")).alias("__line"))
+    text = lambda i: F.nullif(F.regexp_extract("__line", legacy.TEXT_LINE, i), F.lit(""))
+    rows = rows.withColumns({"__number": legacy.number(text(1)), "__text": text(2)})
+    for step in legacy.STEPS:
+        rows = rows.select(*[c for c in rows.columns if c != "__text"], once(F.when(F.col("__text").isNotNull(), step(F.col("__text")))).alias("__text"))
+    line = F.when(F.col("__text").isNotNull(), F.concat("__number", F.lit(". "), "__text")).otherwise(legacy.other_line(F.col("__line")))
+    return rows.select(*df.columns, line.alias(new))
+
+
+def modern(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, line_index, old, line: each line of texts in the older style as it was and in the present grammar (see legacy).
+
+    Columns without a number are counted, from 1 on each face or object of a text. A null text has no lines; null ids are texts of their own kind: their lines are counted together.
+    """
+    cut = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.posexplode(F.split(F.col(f"`{text_col}`"), "\n")).alias("line_index", "old"))
+    rows = rewritten(cut, "old", "line")
+    bare = F.col("line") == "@column"
+    kinds = atf.line_type(F.col("line"))
+    marks = rows.where(bare | kinds.isin("SurfaceAtLine", "ObjectAtLine")).select("doc_id", "line_index", bare.alias("bare"))
+    so_far = Window.partitionBy("doc_id").orderBy("line_index").rowsBetween(Window.unboundedPreceding, 0)
+    sides = marks.withColumn("side", F.sum(F.when(F.col("bare"), 0).otherwise(1)).over(so_far))
+    counted = sides.where("bare").withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "side").orderBy("line_index"))).select(F.col("doc_id").alias("__d"), F.col("line_index").alias("__i"), "n")
+    found = rows.join(counted, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("line_index") == F.col("__i")), "left")
+    return found.select("doc_id", "line_index", "old", F.when(F.col("n").isNotNull(), F.concat(F.lit("@column "), F.col("n").cast("string"))).otherwise(F.col("line")).alias("line"))
+
+
+def read_folder(spark: SparkSession, folder: str, pattern: str = "*.atf") -> DataFrame:
+    """doc_id (the file's name up to its first point), path, text of each file of a folder that fits the pattern."""
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter=pattern).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    return files.select(F.regexp_extract(F.url_decode("path"), r"([^/.]+)[^/]*$", 1).alias("doc_id"), "path", "text")
+
+
+def imported(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Texts of the older style as typed lines (see lines) and the problems that are left (see problems); line numbers are those of the file."""
+    again = modern(docs, id_col, text_col)
+    texts = again.withColumn("key", F.struct("doc_id", "line_index")).select("key", "line")
+    typed = lines(texts, "key", "line").withColumnRenamed("doc_id", "key").drop("line_index")
+    typed = typed.select(F.col("key.doc_id").alias("doc_id"), F.col("key.line_index").alias("line_index"), *[c for c in typed.columns if c != "key"])
+    return typed, problems(typed)

@@ -90,3 +90,21 @@ def line_code_points(spark, sf_dir):
     tokens = transliterations.tokens(transliterations.lines(written(spark, sf_dir)))
     shown = F.transform("points", lambda p: F.coalesce(F.get(p["unicode"], F.lit(0)).cast("string"), F.lit("-")))
     return signnames.code_points(tokens, _signs(spark, sf_dir)).select("doc_id", "line_index", F.array_join(shown, " ").alias("points"))
+
+
+def _old_style(spark, sf_dir):
+    """Documents in an older style: words in capitals between underscores, in half brackets, with marks behind brackets, in braces, with digits; every fourth line has two primes."""
+    words = lambda line: F.regexp_extract_all(F.lower(line), F.lit("([a-np-uwyz]+)"), F.lit(1))
+    dressed = lambda w, j: F.when(j % 6 == 0, F.concat(F.lit("_"), w, F.lit("-"), w, F.lit("_"))).when(j % 6 == 1, F.concat(F.lit("⸢"), w, F.lit("⸣"))).when(j % 6 == 2, F.concat(F.lit("["), w, F.lit("]?"))).when(j % 6 == 3, F.concat(F.lit("{"), F.upper(w), F.lit("}"))).when(j % 6 == 4, F.concat(w, F.lit("2"))).otherwise(w)
+    line = lambda text, i: F.when(F.size(words(text)) == 0, F.lit("# a note")).otherwise(F.concat((i + 1).cast("string"), F.when(i % 4 == 0, "′′").otherwise(""), F.lit(". "), F.array_join(F.transform(words(text), dressed), " \t")))
+    return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("text"))
+
+
+@query("""WITH D AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL), L AS (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS line FROM D),
+    W AS (SELECT doc_id, i, regexp_extract_all(lower(line), '[a-np-uwyz]+') AS w FROM L),
+    F AS (SELECT doc_id, i, list_transform(w, lambda x, j: {w: x, f: replace(replace(replace(x, 'sz', 'š'), 'c', 'š'), 'j', 'g'), j: (j - 1) % 6}) AS f FROM W)
+    SELECT doc_id, i AS line_index, CASE WHEN len(f) = 0 THEN '#note: a note' ELSE CASE WHEN i % 4 = 0 THEN 'A+' || (i + 1) || '''' ELSE CAST(i + 1 AS VARCHAR) END || '. ' || array_to_string(list_transform(f, lambda x: CASE x.j WHEN 0 THEN upper(x.f) || '.' || upper(x.f)
+        WHEN 1 THEN x.f || '#' WHEN 2 THEN '[' || x.f || '?]' WHEN 3 THEN CASE WHEN x.w = 'i' THEN '{m}' ELSE '{' || x.f || '}' END WHEN 4 THEN x.f || '₂' ELSE x.f END), ' ') END AS line FROM F""")
+def modern_lines(spark, sf_dir):
+    """Lines of the older style in the present grammar."""
+    return transliterations.modern(_old_style(spark, sf_dir)).select("doc_id", "line_index", "line")
