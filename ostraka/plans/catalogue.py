@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import names, patterns, sortkeys, text
-from ..operators import changes, duplicates, filters, lookups, windows
+from ..operators import changes, duplicates, filters, lookups, searches, windows
 from .base import query, read
 
 # Point reads
@@ -127,10 +127,10 @@ def composite_members(spark, sf_dir):
     return lookups.among(groups, events.where("event_id % 500 = 3"), "members", ["user_id", "event_type"]).select("user_id")
 
 
-@query("SELECT doc_id, line_index, page_id, quality FROM (SELECT doc_id, unnest(generate_series(0, CAST(len(string_split(text, chr(10))) - 1 AS BIGINT))) AS line_index FROM documents) JOIN pages ON page_id = doc_id LEFT JOIN labels USING (doc_id) WHERE line_index % 2 = 0")
+@query("SELECT doc_id, line_index, page_id, quality FROM (SELECT doc_id, unnest(generate_series(0, CAST(len(string_split(text, chr(10))) - 1 AS BIGINT))) AS line_index FROM documents) JOIN pages ON page_id = doc_id LEFT JOIN labels USING (doc_id)")
 def cropped_annotations(spark, sf_dir):
-    """Every second line stands for a sign's annotation: one without an image goes, a date may be missing."""
-    marks = text.lines(read(spark, sf_dir, "documents")).where("line_index % 2 = 0").select("doc_id", F.col("line_index").cast("long").alias("line_index"))
+    """Each line stands for a sign's annotation: one without an image goes, a date may be missing."""
+    marks = text.lines(read(spark, sf_dir, "documents")).select("doc_id", F.col("line_index").cast("long").alias("line_index"))
     images = read(spark, sf_dir, "pages").select("page_id")
     return marks.join(images, F.col("page_id") == F.col("doc_id")).join(read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left").select("doc_id", "line_index", "page_id", "quality")
 
@@ -292,12 +292,11 @@ def set_operations(spark, sf_dir):
 # Searches
 
 
-@query("SELECT DISTINCT name FROM (SELECT unnest(list_slice(string_split(text, ' '), 1, 4)) AS name FROM documents) WHERE regexp_matches(name, '(?i)[tṭτTṬΤ][hḫḥHḪḤʕʾʿ][eēêéèEĒÊÉÈ]') AND name <> '' ORDER BY name")
+@query("SELECT DISTINCT name FROM (SELECT unnest(string_split(text, ' ')) AS name FROM documents) WHERE regexp_matches(name, '(?i)[tṭτTṬΤ][hḫḥHḪḤʕʾʿ][eēêéèEĒÊÉÈ]') AND name <> '' ORDER BY name")
 def colophon_names(spark, sf_dir):
-    """Names that hold the three letters, from four places of each document."""
-    places = F.array(*[F.get(F.split("text", " "), F.lit(i)) for i in range(4)])
-    long = read(spark, sf_dir, "documents").select(F.explode(F.filter(places, lambda x: x.isNotNull() & (x != ""))).alias("name"))
-    return long.where(F.col("name").rlike(patterns.collated("the"))).distinct().orderBy("name")
+    """Names that hold the three letters, from all places of each document."""
+    each = read(spark, sf_dir, "documents").select(F.explode(F.split("text", " ")).alias("name"))
+    return searches.names(each, "the", [F.col("name")])
 
 
 @query("""WITH S AS (SELECT p_partkey AS sign, unnest(string_split(p_name, ' ')) AS value, unnest([1, 2]) AS sub FROM part)
@@ -423,11 +422,10 @@ def flags_stripped(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", F.concat(names.unmarked(marked), F.lit("#"), F.col("p_size").cast("string")).alias("plain"), names.from_subscript(low).alias("digits"))
 
 
-@query("SELECT source, count(*) AS lines, min(doc_id) AS first, string_agg(DISTINCT lang, ',' ORDER BY lang) AS labels FROM documents WHERE doc_id % 2 = 0 GROUP BY source")
+@query("SELECT source, count(*) AS lines, min(doc_id) AS first, string_agg(DISTINCT lang, ',' ORDER BY lang) AS labels FROM documents GROUP BY source")
 def extant_lines(spark, sf_dir):
-    """For each witness how many of the even lines it has, and under which labels."""
-    rows = read(spark, sf_dir, "documents").where("doc_id % 2 = 0")
-    return rows.groupBy("source").agg(F.count("*").alias("lines"), F.min("doc_id").alias("first"), F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("labels"))
+    """For each witness how many lines it has, and under which labels."""
+    return read(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("lines"), F.min("doc_id").alias("first"), F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("labels"))
 
 
 @query("SELECT doc_id, lang, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents WHERE source IN (SELECT source FROM documents WHERE doc_id = 5)")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytics, bibliography, catalogue, jobs, records, search, transliterations, versions  # noqa: F401  they register their queries
+from . import analytics, bibliography, catalogue, jobs, lookups_by_input, records, search, transliterations, versions  # noqa: F401  they register their queries
 from .base import QUERIES, SQL as ORACLE_SQL
 
 
