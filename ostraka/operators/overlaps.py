@@ -27,19 +27,18 @@ def line_vectors(lines: DataFrame, group: str, order: Sequence[str]) -> DataFram
     return made.withColumn("__first", first).where("__first <> ''").drop("__first")
 
 
-def scores(long: DataFrame, id_col: str, candidate: int | str, vector: str = "vector", most: int = 100_000) -> DataFrame:
+def scores(long: DataFrame, id_col: str, candidate: int | str, vector: str = "vector", block: int = 256) -> DataFrame:
     """id, score, weighted of every other document that has vectors; long: a row for each vector of a document.
 
-    Equal vectors are scored once, so what is compared are the distinct vectors with those of the one candidate, which are
-    sent along as literals; the scores then return by an equi-join and a maximum. A candidate with over `most` distinct vectors raises an error.
+    Equal vectors are scored once. The candidate's distinct vectors are dealt into blocks of about `block`, and each other distinct vector meets each block in an
+    equi-join, so neither side is collected or put into the plan; the scores then return by an equi-join and a maximum.
     """
     rows = long.select(F.col(id_col).alias("id"), F.col(vector).alias("vector")).distinct()
-    mine = [r["vector"] for r in rows.where(F.col("id") == candidate).select("vector").limit(most + 1).collect()]
-    if len(mine) > most:
-        raise ValueError(f"{candidate} has over {most} distinct vectors")
-    others = rows.where(F.col("id") != candidate)
-    own = F.array(*map(F.lit, mine)).cast("array<string>")
-    pairs = others.select("vector").distinct().select("vector", F.explode(F.transform(own, lambda m: linevec.overlap(m, F.col("vector")))).alias("o"))
+    own, others = rows.where(F.col("id") == candidate).select("vector"), rows.where(F.col("id") != candidate)
+    n = max(1, -(-own.count() // block))
+    blocks = own.groupBy(F.pmod(F.xxhash64("vector"), F.lit(n)).alias("block")).agg(F.collect_set("vector").alias("own"))
+    asked = others.select("vector").distinct().withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    pairs = asked.join(blocks, "block").select("vector", F.explode(F.transform("own", lambda m: linevec.overlap(m, F.col("vector")))).alias("o"))
     scored = pairs.groupBy("vector").agg(F.max("o.score").alias("score"), F.max("o.weighted").alias("weighted"))
     best = others.join(scored, "vector", "left").groupBy("id").agg(F.max("score").alias("score"), F.max("weighted").alias("weighted"))
     return best.na.fill(0, ["score", "weighted"])

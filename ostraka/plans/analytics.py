@@ -77,11 +77,11 @@ def statistics(spark, sf_dir):
 _TOK = r"""T AS (SELECT * FROM (SELECT doc_id, lang, unnest(regexp_split_to_array(lower(text), '[^\p{L}]+')) AS token FROM documents) WHERE token <> '')"""
 
 
-@query(f"WITH {_TOK} SELECT token, count(*) AS n FROM (SELECT token FROM T UNION ALL SELECT token FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}]+')) AS token FROM conversations) WHERE token <> '') GROUP BY token HAVING count(*) >= 20")
+@query(f"WITH {_TOK} SELECT token, count(*) AS n FROM (SELECT token FROM T UNION ALL SELECT token FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}]+')) AS token FROM conversations) WHERE token <> '') GROUP BY token")
 def lemma_counts(spark, sf_dir):
     words = F.explode(F.flatten(text.token_lines(F.col("text")))).alias("token")
     both = read(spark, sf_dir, "documents").select(words).unionByName(read(spark, sf_dir, "conversations").select(words))
-    return both.groupBy("token").agg(F.count("*").alias("n")).where("n >= 20")
+    return both.groupBy("token").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {_TOK}, C AS (SELECT substr(token, 1, 2) AS form, token, count(*) AS n FROM T GROUP BY ALL), R AS (SELECT *, row_number() OVER (PARTITION BY form ORDER BY n DESC, encode(token)) AS k FROM C) SELECT form, token, n FROM R WHERE k = 1")

@@ -42,7 +42,8 @@ def glossary_entries(text: Column) -> Column:
         return F.coalesce(F.get(F.split(F.trim(line), r"\s+"), F.lit(place)), F.lit(""))
 
     def rest(line: Column, skip: int) -> Column:
-        return F.array_join(F.slice(F.split(F.trim(line), r"\s+"), skip + 1, 10_000), " ")
+        words = F.split(F.trim(line), r"\s+")
+        return F.array_join(F.slice(words, skip + 1, F.size(words)), " ")
 
     def tagged(lines: Column, tag: str) -> Column:
         return F.filter(lines, lambda x: word(x, 0) == tag)
@@ -59,7 +60,8 @@ def glossary_entries(text: Column) -> Column:
             F.transform(F.filter(tagged(lines, "@sense"), lambda x: word(x, 2) != ""), sense).alias("senses"),
         )
 
-    parts = F.slice(F.split(text, r"(?m)^@entry(?=\s)"), 2, 1_000_000_000)
+    cut = F.split(text, r"(?m)^@entry(?=\s)")
+    parts = F.slice(cut, 2, F.size(cut))
     closed = F.filter(parts, lambda p: p.rlike(r"(?m)^@end entry"))
     lines = F.transform(F.filter(closed, lambda p: F.get(F.split(p, "\n"), F.lit(0)).rlike(r"\[.*\]")), lambda p: F.split(F.concat(F.lit("@entry"), F.get(F.split(p, r"(?m)^@end entry"), F.lit(0))), "\n"))
     return F.filter(F.transform(lines, read), lambda e: (e["lemma"] != "") & (e["guideword"] != "") & (e["pos"] != ""))
