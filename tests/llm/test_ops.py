@@ -386,6 +386,11 @@ def test_html_names_and_broken_markup():
     assert text('<article><p title="a>Hello</p><p>There</p></article>') == ["Hello", "There"]
     assert text("<article><p data-x=it's>Two</p><p title='a > b' x=\"<i>\">Three</p></article>") == ["Two", "Three"]
     assert text("<article>" + "<div><b>" * 50000 + "deep" + "</i></b></div>" * 50000 + "<p>end</article>") == ["deep", "end"]
+    for name in ("post-comments", "user-comments", "reader-comments", "commentlist", "discussion", "adbox"):
+        assert text(f'<article><p>A</p><div class="x {name}"><p>out</p></div><section id="{name}">out</section></article>') == ["A"], name
+    assert text('<article class="has-comments no-comments"><p>A</p></article><article class="user-comment">out</article>') == ["A"]
+    assert text("<body><form id='aspnet'><nav>out</nav><article><p>A</p><form><p>out</p></form><p>B</p></article><p>out</p></form>") == ["A", "B"]
+    assert text('<article><p class="search">A</p><p class="alert">B</p><div class="search">out</div><p hidden>out</p><div style="color: red; display: none">out</div><p data-hidden-x="1">C</p></article>') == ["A", "B", "C"]
     long = " ".join(f"w{i}" for i in range(400000))
     assert text(f"<main><p>{long}</p></main>") == [long]
     assert text("<article><p" + ' x="1"' * 100000 + ">a" + "<" * 100000) == ["a" + "<" * 100000]
