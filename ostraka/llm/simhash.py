@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import components, in_arrow, materialize, only, release
 
@@ -73,41 +73,6 @@ def distance(points: np.ndarray, vantage: np.ndarray) -> np.ndarray:
     return np.bitwise_count(points ^ vantage)
 
 
-def grow(sample: np.ndarray, levels: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Vantage points and radii of a complete tree of 2**levels shards, nodes in heap order (root 1): within the radius is left."""
-    rng = np.random.default_rng(seed)
-    points, radii = np.zeros(1 << levels, np.uint64), np.zeros(1 << levels, np.int64)
-    sets = {1: sample}
-    for node in range(1, 1 << levels):
-        own = sets.pop(node)
-        if len(own):
-            points[node] = own[rng.integers(len(own))]
-            far = distance(own, points[node])
-            radii[node] = int(np.median(far))
-        else:
-            far = np.zeros(0, np.uint8)
-        sets[2 * node], sets[2 * node + 1] = own[far <= radii[node]], own[far > radii[node]]
-    return points, radii
-
-
-def shards(points: np.ndarray, tree: tuple[np.ndarray, np.ndarray], levels: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """(position, shard) pairs: each point's own shard, and those beyond a radius that it lies within `reach` of.
-
-    Of two points within `reach`, either both lie on one side of a node, or the inner one is within reach of its boundary and is
-    also sent outwards; so any such pair meets in some shard.
-    """
-    at, node = np.arange(len(points)), np.ones(len(points), np.int64)
-    for _ in range(levels):
-        far = distance(points[at], tree[0][node]).astype(np.int64)
-        inner = far <= tree[1][node]
-        over = inner & (far > tree[1][node] - reach)
-        at, node = np.concatenate([at, at[over]]), np.concatenate([2 * node + ~inner, 2 * node[over] + 1])
-        if over.any():
-            _, first = np.unique(np.stack([at, node]), axis=1, return_index=True)
-            at, node = at[first], node[first]
-    return at, node - (1 << levels)
-
-
 def merged(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Labels (the smallest position of each component) after adding the links a-b."""
     while True:
@@ -160,32 +125,61 @@ def linked(points: np.ndarray, reach: int, seed: int = 7) -> np.ndarray:
     return merged(labels, *map(np.concatenate, zip(*held, strict=True))) if held else labels
 
 
-def links(fps: DataFrame, reach: int = 4, shard_size: int = 8192, sample: int = 65536) -> DataFrame:
+def blocks_of(bits: int, parts: int) -> list[tuple[int, int]]:
+    """(shift, width) of the parts that `bits` bits are cut into, nearly equal ones."""
+    cuts = [round(i * bits / parts) for i in range(parts + 1)]
+    return [(low, high - low) for low, high in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def block_value(fp: Column, shift: int, width: int) -> Column:
+    return F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1).cast("long")) if width < 64 else fp
+
+
+def buckets(distinct: DataFrame, reach: int, shard_size: int) -> DataFrame:
+    """(shard, fp, bucket): each value in reach + 1 buckets, one for each of as many blocks of its bits; a bucket of more than `shard_size` values is split again, by blocks of the
+    other bits. Of two values within `reach` bits one block of each cut is the same, so they share a bucket. Small buckets share a shard."""
+    shards = max(1, math.ceil(distinct.count() / shard_size))
+    parts = blocks_of(64, reach + 1)
+    first = F.array(*[F.struct(F.lit(j).alias("block"), block_value(F.col("fp"), *p).alias("value")) for j, p in enumerate(parts)])
+    dealt = distinct.select("fp", F.explode(first).alias("k")).select("fp", "k.*")
+    large = materialize(dealt.groupBy("block", "value").agg(F.count("*").alias("n")).where(F.col("n") > shard_size).select("block", "value", F.lit(True).alias("large")))
+    low_bits = lambda low: block_value(F.col("fp"), 0, low) if low else F.lit(0).cast("long")
+    high_bits = lambda low, end: F.shiftleft(F.shiftrightunsigned("fp", end), low) if end < 64 else F.lit(0).cast("long")
+    # the other bits, moved together, are cut into blocks again
+    rest = F.coalesce(*[F.when(F.col("block") == j, high_bits(low, low + width).bitwiseOR(low_bits(low))) for j, (low, width) in enumerate(parts)])
+    again = F.array(*[F.struct(F.lit(j + 1).alias("other"), block_value(F.col("rest"), *p).alias("within")) for j, p in enumerate(blocks_of(64 - min(w for _, w in parts), reach + 1))])
+    whole = F.array(F.struct(F.lit(0).alias("other"), F.lit(0).cast("long").alias("within")))
+    told = dealt.join(large.hint("merge"), ["block", "value"], "left").withColumn("rest", rest)
+    found = told.select("fp", "block", "value", F.explode(F.when(F.col("large"), again).otherwise(whole)).alias("k")).select("fp", F.xxhash64("block", "value", "k.other", "k.within").alias("bucket"))
+    return found.select(F.pmod("bucket", F.lit(shards * (reach + 1))).alias("shard"), "fp", "bucket")
+
+
+def links(fps: DataFrame, reach: int = 4, shard_size: int = 8192) -> DataFrame:
     """Links (a, b) among the distinct values of fps.fp, enough to connect whatever lies within `reach` bits.
 
-    The upper tree is grown from a bounded sample of at most `sample` values; its shards hold about `shard_size` values each,
-    besides those sent over a boundary, and their number grows with the values. A shard is an array of 8 bytes a value. Only
-    links of a spanning forest leave a shard, never all pairs of a group.
+    Values meet in buckets() of those that agree in a block of bits, and of two blocks where very many agree in one: exact, and a task holds about `shard_size` values, whatever the
+    table's size. Within a bucket a vantage-point tree finds what lies within reach: values are parted by their distance to a point, and triangle bounds
+    prune pairs of branches. Only links of a spanning forest leave a bucket, never all pairs of a group.
     """
-    distinct = fps.select("fp").distinct()
-    n = distinct.count()
-    levels = max(0, math.ceil(math.log2(max(n, 1) / shard_size)))
-    got = distinct.orderBy(F.xxhash64("fp")).limit(sample).toArrow().column(0).to_numpy().view(np.uint64)
-    tree = grow(np.sort(got), levels)
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
-            points = batch.column(0).to_numpy().view(np.uint64)
-            at, shard = shards(points, tree, levels, reach)
-            yield {"shard": shard, "fp": points[at].view(np.int64)}
+    dealt = buckets(materialize(fps.select("fp").distinct()), reach, shard_size)
 
     def join(group: pa.Table) -> pa.Table:
-        points = np.unique(group.column("fp").to_numpy().view(np.uint64))
-        labels = linked(points, reach)
-        at = np.flatnonzero(labels != np.arange(len(points)))
-        return pa.table({"a": points[at].view(np.int64), "b": points[labels[at]].view(np.int64)})
-
-    return in_arrow(distinct, route, "shard long, fp long").groupBy("shard").applyInArrow(join, "a long, b long")
+        points, bucket = group.column("fp").to_numpy().view(np.uint64), group.column("bucket").to_numpy()
+        order = np.lexsort((points, bucket))
+        points, bucket = points[order], bucket[order]
+        starts = np.flatnonzero(np.diff(bucket, prepend=bucket[0] - 1 if len(bucket) else 0))
+        a, b = [], []
+        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(points)], strict=True):
+            if hi - lo > 1:
+                own = points[lo:hi]
+                labels = linked(own, reach)
+                at = np.flatnonzero(labels != np.arange(len(own)))
+                a.append(own[at])
+                b.append(own[labels[at]])
+        none = np.zeros(0, np.uint64)
+        return pa.table({"a": np.concatenate([none, *a]).view(np.int64), "b": np.concatenate([none, *b]).view(np.int64)})
+
+    return dealt.groupBy("shard").applyInArrow(join, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, reach: int = 4) -> DataFrame:

@@ -104,6 +104,32 @@ def test_simhash_trees(spark):
     assert joined.tolist() == labels.tolist()
 
 
+@pytest.mark.parametrize("reach,size,near", [(4, 16, True), (7, 64, False), (7, 32, True), (1, 32, True), (0, 16, False)])
+def test_simhash_links_in_split_buckets(spark, reach, size, near):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    if near:  # all but sixteen bits agree: every bucket is large
+        base = base & np.uint64(0xFFFF) | np.uint64(0xABCDEF0000000000)
+    moved = base[:150].copy()
+    for _ in range(reach):
+        moved ^= np.uint64(1) << rng.integers(0, 64, 150).astype(np.uint64)
+    points = np.unique(np.concatenate([base, moved]))
+    labels = np.arange(len(points))
+    for i in range(len(points)):
+        j = np.flatnonzero(np.bitwise_count(points ^ points[i]) <= reach)
+        labels = simhash.merged(labels, np.full(len(j), i), j)
+    place = {int(x): i for i, x in enumerate(points.view(np.int64))}
+    got = simhash.links(spark.createDataFrame([(int(x),) for x in points.view(np.int64)], "fp long"), reach, shard_size=size).collect()
+    assert simhash.merged(np.arange(len(points)), np.array([place[r.a] for r in got], int), np.array([place[r.b] for r in got], int)).tolist() == labels.tolist()
+
+
+@pytest.mark.parametrize("reach", [4, 7])
+def test_simhash_shards_are_bounded(spark, reach):
+    values = spark.range(1 << 18).selectExpr("xxhash64(id) as fp")
+    sizes = [r["count"] for r in simhash.buckets(values, reach, 2048).groupBy("shard").count().collect()]
+    assert sum(sizes) == (reach + 1) << 18 and max(sizes) < 6 * 2048
+
+
 def test_keep_one_of_each_group(spark, rows):
     df = spark.createDataFrame(rows, DOCS)
     kept = simhash.keep_one(df).collect()
