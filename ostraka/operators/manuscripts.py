@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def windows_that_match(lines: Column, patterns: Sequence[str]) -> Column:
@@ -33,3 +33,28 @@ def sign_matches(chapters: DataFrame, patterns: Sequence[str], id_col: str = "id
     at = lambda line, i: F.filter(F.transform(line["variants"], lambda v, k: F.struct(i.alias("line"), k.alias("variant"), own(v).alias("own"))), lambda x: x["own"])
     positions = F.transform(F.flatten(F.filter(F.transform("lines", at), lambda x: x.isNotNull())), lambda x: F.struct(x["line"].alias("line"), x["variant"].alias("variant")))
     return found.select("id", "manuscripts", F.coalesce(positions, F.array().cast("array<struct<line:int,variant:int>>")).alias("positions"))
+
+
+# Lines that a dictionary shows of each genre and in all.
+EACH_GENRE, IN_ALL = 10, 40
+
+
+def _bears(words: Column, lemma: str) -> Column:
+    """Whether a word of an array (struct<uniqueLemma: array>) has the lemma."""
+    return F.coalesce(F.exists(words, lambda w: F.array_contains(w["uniqueLemma"], lemma)), F.lit(False))
+
+
+def lines_with_lemma(chapters: DataFrame, lemma: str, genre: str | None = None, id_col: str = "id", each: int = EACH_GENRE, total: int = IN_ALL) -> DataFrame:
+    """id, genre, line_index, line of the chapters' lines in which a reconstruction or a manuscript has the lemma; of a line's manuscripts those that have it stay.
+
+    chapters: id, genre, lines array<struct<variants: array<struct<reconstruction: array<struct<uniqueLemma>>, manuscripts: array<struct<line: array<struct<uniqueLemma>>>>>>>>. The first
+    `each` lines of a genre by id and place, and of those the first `total`. Genres are told one by one before they are put together, so no task has more than one genre's first lines.
+    """
+    kept = chapters.where(F.col("genre") == genre) if genre else chapters
+    own = lambda variant: F.filter(F.coalesce(variant["manuscripts"], F.array()), lambda m: _bears(m["line"], lemma))
+    has = lambda line: F.exists(F.coalesce(line["variants"], F.array()), lambda v: _bears(v["reconstruction"], lemma) | (F.size(own(v)) > 0))
+    found = F.filter(F.transform("lines", lambda line, i: F.struct(i.alias("line_index"), line.alias("line"))), lambda x: has(x["line"]))
+    rows = kept.select(F.col(id_col).alias("id"), "genre", F.explode(found).alias("x")).select("id", "genre", "x.line_index", "x.line")
+    first = rows.withColumn("__n", F.row_number().over(Window.partitionBy("genre").orderBy("id", "line_index"))).where(F.col("__n") <= each).drop("__n")
+    shown = first.orderBy("id", "line_index").limit(total)
+    return shown.withColumn("line", F.col("line").withField("variants", F.transform(F.col("line.variants"), lambda v: v.withField("manuscripts", own(v)))))

@@ -81,6 +81,31 @@ def everything(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return docs.select(id_col, F.array().cast("array<int>").alias("matching_lines"), F.lit(0).alias("match_count"))
 
 
+#: The word searches by their names.
+LEMMA_MODES = {"and": lemma_and, "or": lemma_or, "line": lemma_line, "phrase": lemma_phrase}
+
+
+def find(docs: DataFrame, words: Sequence[str] = (), mode: str = "and", query: str = "", lines: str = "lines", signs_col: str = "sign_lines", id_col: str = "doc_id") -> DataFrame:
+    """Documents by words, by signs, by both or, without either, all of them: id, matching_lines, match_count.
+
+    By both: documents that either search finds, with the union of their lines. An unknown mode is an error, whether there are words or not, and so is a mode other than `and` without any.
+    """
+    if mode not in LEMMA_MODES:
+        raise ValueError(f"no search is called {mode}: {', '.join(LEMMA_MODES)}")
+    if not words and mode != "and":
+        raise ValueError(f"{mode} needs words")
+    if not words:
+        return signs(docs, query, signs_col, id_col) if query.strip() else everything(docs, id_col)
+    if not query.strip():
+        return LEMMA_MODES[mode](docs, words, lines, id_col)
+    if mode == "and":
+        return both(docs, words, query, lines, signs_col, id_col)
+    a = LEMMA_MODES[mode](docs, words, lines, id_col).select(id_col, F.col("matching_lines").alias("a"))
+    b = signs(docs, query, signs_col, id_col).select(id_col, F.col("matching_lines").alias("b"))
+    union = F.array_sort(F.array_union("a", "b"))
+    return a.join(b, id_col).select(id_col, union.alias("matching_lines"), F.size(union).alias("match_count"))
+
+
 def page(found: DataFrame, order: Sequence[Column], limit: int, offset: int = 0, count: str = "exact") -> tuple[DataFrame, DataFrame | None]:
     """A page in the given total order, and the totals over all hits: exact counts, or for "none" nothing, or for "page" whether more rows follow."""
     ordered = found.orderBy(*order)

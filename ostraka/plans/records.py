@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import changes, filters, manuscripts, pages
+from ..operators import changes, detector, filters, manuscripts, pages
 from .base import query, read
 
 
@@ -98,3 +98,30 @@ def delete_and_update(spark, sf_dir):
     gone = read(spark, sf_dir, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey"))
     left = changes.delete(read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size"), gone, ["p_partkey"])
     return changes.update_many(left, F.col("p_size") > 25, {"p_size": F.lit(0)})
+
+
+@query("""WITH L AS (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL),
+    M AS (SELECT doc_id, lang, i, list_contains(string_split(line, ' '), 'the') AS here, list_contains(string_split(lower(line), ' '), 'the') AS there FROM L),
+    R AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id, i) AS n FROM M WHERE here OR there)
+    SELECT doc_id AS id, lang AS genre, CAST(i AS INTEGER) AS line_index, CAST(there AS INTEGER) AS manuscripts FROM R WHERE n <= 10 ORDER BY doc_id, i LIMIT 40""")
+def lines_of_a_lemma(spark, sf_dir):
+    """Lines whose reconstruction or manuscript has a word, ten of each language; how many manuscripts stay."""
+    words = lambda text: F.transform(F.split(text, " "), lambda w: F.struct(F.array(w).alias("uniqueLemma")))
+    variant = lambda t: F.array(F.struct(words(t).alias("reconstruction"), F.array(F.struct(words(F.lower(t)).alias("line")), F.struct(words(F.lit("x")).alias("line"))).alias("manuscripts")))
+    listed = F.transform(F.split("text", "\n"), lambda t: F.struct(variant(t).alias("variants")))
+    chapters = read(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("id"), F.col("lang").alias("genre"), listed.alias("lines"))
+    found = manuscripts.lines_with_lemma(chapters, "the")
+    return found.select("id", "genre", "line_index", F.size(F.col("line.variants")[0]["manuscripts"]).alias("manuscripts"))
+
+
+@query("""WITH P AS (SELECT p_partkey AS id, 'D' || p_size AS candidate, CASE WHEN p_size % 3 = 0 THEN 'not looked at' WHEN p_size % 3 = 1 THEN ' short ' END AS reason, CASE p_partkey % 4 WHEN 0 THEN ['D' || p_size] WHEN 1 THEN [] WHEN 2 THEN ['E1'] ELSE ['F' || p_size] END AS reviewed FROM part)
+    SELECT id, CASE WHEN reason IS NULL THEN 'override.reason must be a non-empty string.' WHEN reason = ' short ' THEN 'override.reason must contain at least 10 meaningful characters.' WHEN len(reviewed) = 0 THEN 'override.reviewedCandidateIds must be a non-empty array of strings.'
+        WHEN reviewed[1] = 'E1' THEN 'override.reviewedCandidateIds must match the current duplicate candidates returned by the server-side rerun.' WHEN reviewed[1] LIKE 'F%' THEN 'override.reviewedCandidateIds must include at least one current blocking duplicate candidate.' END AS problem FROM P""")
+def override_problems(spark, sf_dir):
+    """Why each override does not hold: a candidate that blocks and one that does not, reviews of either, of neither and of none."""
+    key, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    reason = F.when(F.col("p_size") % 3 == 0, "not looked at").when(F.col("p_size") % 3 == 1, " short ")
+    candidate = lambda letter, decision: F.struct(F.concat(F.lit(letter), size).alias("id"), F.lit(decision).alias("decision"))
+    found = F.array(candidate("D", "possible_duplicate"), candidate("F", "no_duplicate"))
+    reviewed = F.when(key % 4 == 0, F.array(F.concat(F.lit("D"), size))).when(key % 4 == 1, F.array().cast("array<string>")).when(key % 4 == 2, F.array(F.lit("E1"))).otherwise(F.array(F.concat(F.lit("F"), size)))
+    return read(spark, sf_dir, "part").select(key.alias("id"), detector.override_problem(reason, reviewed, found).alias("problem"))

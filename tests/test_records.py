@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ostraka.functions import sortkeys, text
-from ostraka.operators import changes, filters, manuscripts, pages
+from ostraka.operators import changes, filters, manuscripts, matchers, pages
 
 #: Words in the order of a dictionary.
 WORDS = ["Abālu II", "abālu I", "akalu I", "akālu I", "akalūtu I", "Bītu I", "bītu I", "part1 part2 I", "part1 part2 II", "part1 part2 III", "part1 part2 IV", "part1 part2 V", "part1 part2 VI", "part1 part2 IX", "ṣābū I", "Šarru II", "šarru I", "zāru I"]
@@ -66,6 +66,26 @@ def test_manuscript_windows(spark):
         manuscripts.sign_matches(df, [])
 
 
+def test_lines_with_a_lemma(spark):
+    kind = "id int, genre string, lines array<struct<variants:array<struct<reconstruction:array<struct<uniqueLemma:array<string>>>,manuscripts:array<struct<id:int,line:array<struct<uniqueLemma:array<string>>>>>>>>>"
+    w = lambda *lemmas: [([x],) for x in lemmas]
+    chapters = [(i, g, [([(w("a"), [(1, w("a", "b")), (2, w("c")), (3, None)])],), ([(w("b"), None)],), ([(None, [(1, w("a"))])],), (None,)]) for i, g in ((1, "L"), (2, "L"), (3, "D"), (4, None))] + [(5, "L", None)]
+    df = spark.createDataFrame(chapters, kind)
+    found = manuscripts.lines_with_lemma(df, "a", each=3).orderBy("id", "line_index").collect()
+    assert [(r.id, r.line_index, [m.id for m in r.line.variants[0].manuscripts]) for r in found] == [(1, 0, [1]), (1, 2, [1]), (2, 0, [1]), (3, 0, [1]), (3, 2, [1]), (4, 0, [1]), (4, 2, [1])]
+    assert [(r.id, r.line_index) for r in manuscripts.lines_with_lemma(df, "b", genre="L", total=2).orderBy("id", "line_index").collect()] == [(1, 0), (1, 1)] and manuscripts.lines_with_lemma(df, "z").count() == 0
+
+
+def test_one_search_for_all(spark):
+    df = spark.createDataFrame([(1, [["a", "b"], ["b"]], ["ku nu", "ba"]), (2, [["b"]], ["ku"]), (3, [["c"]], ["nu"])], "doc_id int, lines array<array<string>>, sign_lines array<string>")
+    got = lambda **o: {r.doc_id: r.matching_lines for r in matchers.find(df, **o).collect()}
+    assert got() == {1: [], 2: [], 3: []} and got(words=["b"], mode="or") == {1: [0, 1], 2: [0]} and got(query="nu") == {1: [0], 3: [0]}
+    assert got(words=["b"], mode="or", query="ba") == {1: [0, 1]} and got(words=["a", "b"], query="ba") == {1: [0, 1]} and got(words=["a", "b"], mode="line", query="ba") == {1: [0, 1]}
+    for wrong in ({"mode": "xor", "words": ["a"]}, {"mode": "phrase"}):
+        with pytest.raises(ValueError):
+            matchers.find(df, **wrong)
+
+
 def test_small_filters(spark):
     df = spark.createDataFrame([(True, ["a", "b", "c"]), (False, []), (None, None)], "d boolean, l array<string>")
     assert [r[0] for r in df.select(filters.live(F.col("d"))).collect()] == [False, True, True]
