@@ -78,6 +78,34 @@ def number_of_file(name: Column) -> Column:
     return F.regexp_replace(name, r"\.jpe?g$", "")
 
 
+def museum_number(text: Column) -> Column:
+    """struct (prefix, number, suffix) of a museum number as it is written: a prefix, which may have points, a number and maybe a suffix; null if it is none. A missing suffix is empty."""
+    pattern = r"^(.+?)\.([^.]+)(?:\.([^.]+))?$"
+    return F.when(text.rlike(pattern), F.struct(*[F.regexp_extract(text, pattern, i).alias(name) for i, name in ((1, "prefix"), (2, "number"), (3, "suffix"))]))
+
+
+def read_ocred_signs(spark: SparkSession, path: str) -> DataFrame:
+    """path, place, filename, signs: the entries of JSON files that hold an array of (filename, ocredSigns) each, in their order. A file that is no such array has no entries; signs that are missing are empty."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.from_json("value", "array<struct<filename:string,ocredSigns:string>>").alias("items"))
+    return files.select("path", F.posexplode("items").alias("place", "e")).select("path", "place", F.col("e.filename").alias("filename"), F.coalesce("e.ocredSigns", F.lit("")).alias("signs"))
+
+
+def update_ocred_signs(fragments: DataFrame, entries: DataFrame, column: str = "ocredSigns") -> tuple[DataFrame, DataFrame]:
+    """fragments (prefix, number, suffix, `column` and more) with the signs of entries (path, place, filename, signs) in the place of theirs; and for each entry path, place, number and its error, null if it was taken.
+
+    A file's name without .jpg or .jpeg is the number. Of entries for one fragment the last by path and place counts. A null suffix is an empty one.
+    """
+    given = entries.withColumn("written", F.nullif(number_of_file(F.col("filename")), F.lit(""))).withColumn("key", museum_number(F.col("written")))
+    keys = [F.col("prefix").alias("__p"), F.col("number").alias("__n"), F.coalesce("suffix", F.lit("")).alias("__s")]
+    last = given.where("key is not null").groupBy("key").agg(F.max_by("signs", F.struct("path", "place")).alias("__signs")).select("key.*", "__signs").select(*keys, "__signs")
+    same = (F.col("prefix") == F.col("__p")) & (F.col("number") == F.col("__n")) & (F.coalesce("suffix", F.lit("")) == F.col("__s"))
+    updated = fragments.join(last, same, "left").withColumn(column, F.coalesce("__signs", column)).select(*fragments.columns)
+    known = fragments.select(*keys).distinct().withColumn("__known", F.lit(True))
+    met = given.join(known, (F.col("key.prefix") == F.col("__p")) & (F.col("key.number") == F.col("__n")) & (F.col("key.suffix") == F.col("__s")), "left")
+    error = F.when(F.coalesce("filename", F.lit("")) == "", "Missing filename").when(F.col("key").isNull(), F.concat(F.lit("Invalid museum number: "), F.coalesce("written", F.lit("")))).when(F.col("__known").isNull(), "Fragment not found")
+    return updated, met.select("path", "place", F.coalesce("written", F.lit("unknown")).alias("number"), error.alias("error"))
+
+
 def markdown_rows(df: DataFrame) -> DataFrame:
     """A table's lines in Markdown, one column `value`: head and rule first. Bars are escaped, line breaks become spaces, nulls are empty."""
     cell = lambda c: F.regexp_replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c), r"\R", " ")

@@ -79,3 +79,14 @@ def test_markdown_report(spark, tmp_path):
     stores.write_report(df, str(tmp_path / "md"), "markdown")
     lines = [x for p in sorted((tmp_path / "md").glob("part-*")) for x in p.read_text().splitlines()]
     assert lines == ["| id | a.b | c |", "|-|-|-|", "| 1 | a\\|b c |  |", "| 2 |  | x |"]
+
+
+def test_signs_read_from_pictures(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"filename": "K.1.jpg", "ocredSigns": "KU"}, {"filename": "K.A.B.2.a.jpeg", "ocredSigns": "BA\\nNU"}, {"filename": null}, {"filename": "noise.png.x.y"}, {"filename": "nonsense"}, {"filename": "K.1.jpg", "ocredSigns": "LAST"}, {"filename": "Z.9", "ocredSigns": "X"}]', encoding="utf-8")
+    (tmp_path / "b.json").write_text("no json", encoding="utf-8")
+    entries = stores.read_ocred_signs(spark, str(tmp_path))
+    fragments = spark.createDataFrame([("K", "1", None, "old", 7), ("K.A.B", "2", "a", None, 8), ("K", "3", "", "kept", 9)], "prefix string, number string, suffix string, ocredSigns string, n int")
+    updated, told = stores.update_ocred_signs(fragments, entries)
+    assert sorted((r.n, r.ocredSigns, r.suffix) for r in updated.collect()) == [(7, "LAST", None), (8, "BA\nNU", "a"), (9, "kept", "")]
+    assert [(r.number, r.error) for r in told.orderBy("place").collect()] == [("K.1", None), ("K.A.B.2.a", None), ("unknown", "Missing filename"), ("noise.png.x.y", "Fragment not found"), ("nonsense", "Invalid museum number: nonsense"), ("K.1", None), ("Z.9", "Fragment not found")]
+    assert stores.update_ocred_signs(fragments, entries.limit(0))[0].count() == 3
