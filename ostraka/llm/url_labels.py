@@ -55,6 +55,66 @@ miracle-cure-detox.shop /detox/cure
 bitcoin-gift-faucet.xyz /faucet/claim-free
 penny-auction-win.biz /win/auction
 celebrity-leaked-nudes.xxx /nude/leaked
+royal-casino-club.example /roulette/live /casino/bonus
+mega-casino-spins.example /casino/free-spins
+online-casinos-ranked.example /casino/review
+casino-affiliate-offers.example /refer/casino
+live-bet-exchange.example /bet/now
+daily-bets-tipster.example /bets/sure-win
+bet-big-tonight.example /betting/bonus
+horse-bet-insider.example /bet/odds
+scratch-and-win-cash.example /win/cash
+winners-club-jackpot.example /win/jackpot
+bingo-win-rooms.example /bingo/deposit
+poker-chips-bonus.example /poker/bonus
+slot-machine-mania.example /slots/free
+pills-without-doctor.example /pills/order
+discount-pills-express.example /pills/cheap
+diet-pill-warehouse.example /pill/diet
+viagra-cialis-store.example /viagra/buy
+rx-meds-overnight.example /meds/no-prescription
+steroids-for-sale.example /steroids/buy
+cheap-tablets-online.example /tablets/cheap
+hgh-and-hormones.example /hormones/buy
+spam-mailer-pro.example /spam/bulk
+email-spam-tools.example /spam/send
+comment-spam-bot.example /spam/auto
+link-farm-network.example /farm/links
+content-farm-rewriter.example /farm/articles
+traffic-farm-clicks.example /clicks/farm
+doorway-pages-seo.example /seo/doorway
+click-fraud-engine.example /clicks/buy
+adult-chat-rooms.example /adult/chat
+adult-film-stream.example /adult/videos
+adults-only-clips.example /adult/clips
+xxx-photo-sets.example /xxx/photos
+nude-cam-models.example /nude/cam
+sex-toys-discount.example /sex/toys
+hookup-tonight-app.example /hookup/meet
+milf-finder-local.example /milf/near
+mail-order-brides.example /brides/meet
+cheap-loans-instantly.example /loans/instant
+debt-erase-secrets.example /debt/erase
+binary-options-robot.example /options/profit
+pump-and-dump-coins.example /coins/pump
+crypto-giveaway-double.example /crypto/double
+free-coupons-winner.example /free/coupons
+free-ringtones-now.example /free/ringtones
+free-robux-generator.example /free/robux
+free-laptop-survey.example /survey/laptop
+cheap-watches-replica.example /replica/cheap
+cheap-handbags-store.example /cheap/handbags
+cheap-flights-scam.example /cheap/deal
+hacked-accounts-shop.example /hacked/accounts
+stolen-cards-market.example /cards/dump
+torrent-pirate-mirror.example /torrent/pirate
+cracked-games-portal.example /cracked/games
+keygen-serials-world.example /serial/keygen
+phishing-kit-vendor.example /phishing/kit
+invoice-overdue-alert.example /invoice/open
+wallet-unlock-now.example /wallet/unlock
+toolbar-installer-free.example /toolbar/setup.exe
+fake-id-printing.example /fake/id
 """
 
 WANTED = """
@@ -112,4 +172,64 @@ travel-notes.blog /japan/kyoto-in-spring
 parenting-magazine.com /toddlers/sleep
 economics-review.org /papers/inflation
 book-reviews.blog /novels/review
+river-valley-library.example /catalogue/novels
+hill-farm-dairy.example /farm/visits
+organic-farm-school.example /farm/lessons
+village-bakery.example /bread/rye
+mountain-rescue.example /volunteers/training
+coastal-path-guide.example /walks/cliff
+orchard-growers.example /apples/pruning
+beekeepers-union.example /hives/winter
+stone-masons-guild.example /apprentices/notes
+weavers-workshop.example /looms/patterns
+pottery-studio.example /glazes/ash
+sailing-school.example /courses/knots
+lighthouse-keepers.example /history/lamps
+harbour-master.example /tides/today
+fishing-village.example /boats/harbour
+forest-service.example /trails/closures
+wetland-trust.example /birds/herons
+butterfly-survey.example /counts/meadow
+geometry-notes.example /lectures/triangles
+linear-algebra.example /chapters/matrices
+number-theory.example /proofs/primes
+logic-seminar.example /papers/completeness
+compiler-course.example /lectures/parsing
+network-protocols.example /rfc/notes
+operating-systems.example /kernel/scheduling
+robotics-lab.example /projects/arm
+solar-energy-lab.example /panels/test
+wind-turbine-data.example /measurements/hourly
+water-quality.example /rivers/samples
+earthquake-watch.example /events/latest
+climate-records.example /stations/rain
+medieval-studies.example /manuscripts/charters
+ancient-languages.example /lexicon/roots
+folk-song-archive.example /ballads/north
+jazz-history.example /players/trumpet
+opera-house.example /season/premiere
+puppet-theatre.example /plays/children
+silent-cinema.example /directors/comedy
+comic-museum.example /strips/early
+typography-blog.example /fonts/serif
+bookbinding.example /leather/spines
+paper-mill.example /rags/history
+printing-press.example /type/casting
+map-collectors.example /atlas/coast
+stamp-society.example /issues/air-mail
+model-railway.example /layouts/station
+kite-flyers.example /designs/box
+rowing-club.example /regatta/results
+swimming-pool.example /timetable/lanes
+marathon-training.example /plans/beginners
+yoga-for-seniors.example /classes/balance
+school-nurses.example /advice/fever
+dental-health.example /children/brushing
+blood-donors.example /centres/booking
+winter-tyres-guide.example /tests/snow
+bicycle-repair.example /brakes/adjust
+neighbourhood-watch.example /meetings/minutes
+town-twinning.example /visits/students
+allotment-society.example /plots/waiting-list
+bus-timetables.example /routes/night
 """

@@ -13,12 +13,39 @@ from . import url_labels
 from .common import in_arrow
 
 BUCKETS, SIZES = 1 << 15, (2, 3, 4, 5)
+#: From which score on a url is blocked, set by names held out in four folds: about 98 of 100 wanted urls stay, three of four unwanted ones go.
+THRESHOLD = 0.45
+
+
+#: Endings and first labels under which every labelled name is shown to the model, in both classes alike: they say nothing by themselves.
+ENDINGS, FIRSTS = ("com", "net", "org", "info", "co.uk", "site.com"), ("", "www.", "m.", "blog.")
+#: Syllables of names that mean nothing; as many such names as there are labelled ones count as wanted, since a word that is not known is no reason to block.
+SYLLABLES = "ba ca da en fo ga ha in ja ko la mi no or pa qui ra so ta un va wi xe yo zu er th st an ing ou ble".split()
 
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """(url, 1 for unwanted) of the small labelled table, in the order of its hosts."""
-    lines = [(line.split(), label) for label, text in ((1, url_labels.UNWANTED), (0, url_labels.WANTED)) for line in text.split("\n") if line]
-    return [(f"https://{host}{path}", label) for (host, *paths), label in lines for path in ("", *paths)]
+    """(url, 1 for unwanted) of the small labelled table, in the order of its hosts; each host stands under two endings and first labels, and behind each list come made-up names that are wanted."""
+    out, n = [], 0
+    for label, text in ((1, url_labels.UNWANTED), (0, url_labels.WANTED)):
+        for line in text.split("\n"):
+            if not line:
+                continue
+            host, *paths = line.split()
+            name = host.rsplit(".", 1)[0]
+            for k in (n, n + 5):
+                shown = f"{FIRSTS[k % len(FIRSTS)]}{name}.{ENDINGS[k % len(ENDINGS)]}"
+                out += [(f"https://{shown}{path}", label) for path in ("", *paths)]
+            made = "".join(SYLLABLES[(7 * n + k * (3 + n // len(SYLLABLES))) % len(SYLLABLES)] for k in range(2 + n % 4))
+            out += [(f"https://{FIRSTS[n % len(FIRSTS)]}{made}.{ENDINGS[(n // 4) % len(ENDINGS)]}{path}", 0) for path in ("", f"/{made[::-1]}/{n}")]
+            n += 1
+    return out
+
+
+def name_of(host: str) -> str:
+    """A labelled host without the first labels and endings that labelled_urls() gives it."""
+    first = next((f for f in FIRSTS if f and host.startswith(f)), "")
+    ending = next((e for e in sorted(ENDINGS, key=len, reverse=True) if host.endswith("." + e)), "")
+    return host[len(first) : len(host) - len(ending) - 1] if ending else host
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -75,7 +102,7 @@ def fit(labelled: Iterable[tuple[str, int]], rounds: int = 60, rate: float = 0.5
     return weights, float(bias)
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], labelled: Iterable[tuple[str, int]] | None = None, threshold: float = 0.5, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], labelled: Iterable[tuple[str, int]] | None = None, threshold: float = THRESHOLD, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """A row for each row of pages: page_id, host, path, rule, verdict (allow or block), score (of the regression: blocking).
 
     rules: (verdict, "host/path") pairs, a short list; the longest that fits decides, else the regression: block from
