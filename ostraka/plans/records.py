@@ -37,7 +37,7 @@ def nested_change_log(spark, sf_dir):
     return found.withColumns({side: F.when(~whole, F.col(side)) for side in ("before", "after")})
 
 
-@query("SELECT CAST(rank AS INTEGER) AS rank, d.doc_id, n, n_chars, md5(text) AS digest FROM (SELECT doc_id, n, row_number() OVER (ORDER BY n DESC, doc_id) AS rank FROM (SELECT doc_id, len(regexp_extract_all(lower(text), 'the')) AS n FROM documents) WHERE n > 0) r JOIN documents d ON d.doc_id = r.doc_id WHERE rank BETWEEN 21 AND 50")
+@query("SELECT CAST(rank AS INTEGER) AS rank, d.doc_id, CAST(n AS INTEGER) AS n, n_chars, md5(text) AS digest FROM (SELECT doc_id, n, row_number() OVER (ORDER BY n DESC, doc_id) AS rank FROM (SELECT doc_id, len(regexp_extract_all(lower(text), 'the')) AS n FROM documents) WHERE n > 0) r JOIN documents d ON d.doc_id = r.doc_id WHERE rank BETWEEN 21 AND 50")
 def page_of_matches(spark, sf_dir):
     """The second page of thirty documents by their number of matches, with the texts of those alone."""
     docs = read(spark, sf_dir, "documents")
@@ -63,7 +63,7 @@ def _chapters(spark, sf_dir):
 @query(f"""WITH D AS (SELECT doc_id, string_split(lower(text), chr(10)) AS l FROM documents WHERE text IS NOT NULL), L AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS i, len(l) AS n FROM D),
     M AS (SELECT doc_id, i % 3 AS m, line, lead(line) OVER (PARTITION BY doc_id, i % 3 ORDER BY i) AS next FROM L), H AS (SELECT DISTINCT doc_id, m FROM M WHERE regexp_matches(line, '{_WINDOW[0]}') AND regexp_matches(next, '{_WINDOW[1]}')),
     V AS (SELECT doc_id, i, 0 AS v, i % 3 AS m FROM L UNION ALL SELECT doc_id, i, 1, (i + 1) % 3 FROM L WHERE i % 2 = 0)
-    SELECT doc_id AS id, string_agg(DISTINCT m, ',' ORDER BY m) AS manuscripts, string_agg(DISTINCT i || ':' || v, ',') AS positions, count(DISTINCT i || ':' || v) AS n FROM V JOIN H USING (doc_id, m) GROUP BY doc_id""".replace("string_agg(DISTINCT i || ':' || v, ',') AS positions, ", "sum(i * 10 + v) AS position_sum, "))
+    SELECT doc_id AS id, string_agg(DISTINCT m, ',' ORDER BY m) AS manuscripts, string_agg(DISTINCT i || ':' || v, ',') AS positions, count(DISTINCT i || ':' || v) AS n FROM V JOIN H USING (doc_id, m) GROUP BY doc_id""".replace("string_agg(DISTINCT i || ':' || v, ',') AS positions, ", "CAST(sum(i * 10 + v) AS BIGINT) AS position_sum, "))
 def manuscript_sign_windows(spark, sf_dir):
     """Chapters with two lines in a row of one manuscript that match, and the lines and variants that those manuscripts have."""
     found = manuscripts.sign_matches(_chapters(spark, sf_dir), _WINDOW)

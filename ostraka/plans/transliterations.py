@@ -42,7 +42,7 @@ def transliterated_lines(spark, sf_dir):
     return transliterations.lines(written(spark, sf_dir)).groupBy("doc_id", "type").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {_LINES} SELECT doc_id, i AS line_index, count(*) FILTER (ok) AS words, count(*) FILTER (NOT ok) AS invalid, count(*) FILTER (ok AND w <> 'x') AS lemmatizable,
+@query(f"""WITH {_LINES} SELECT doc_id, CAST(i AS INTEGER) AS line_index, count(*) FILTER (ok) AS words, count(*) FILTER (NOT ok) AS invalid, count(*) FILTER (ok AND w <> 'x') AS lemmatizable,
     CAST(sum(CASE WHEN NOT ok THEN 0 ELSE CAST(j % 6 = 2 AS INTEGER) + CAST(w <> 'x' AS INTEGER) * CASE WHEN j % 6 = 4 THEN 2 ELSE 1 END END) AS BIGINT) AS readings FROM K GROUP BY ALL""")
 def transliterated_words(spark, sf_dir):
     """Words, what is no word, words with lemmas and readings of each text line."""
@@ -56,7 +56,7 @@ def transliterated_words(spark, sf_dir):
     )
 
 
-@query(f"WITH {_LINES} SELECT doc_id, i AS line_index, 'Invalid token' AS problem, CASE j % 6 WHEN 1 THEN '[' || w || ']' WHEN 2 THEN '{{d}}' || w WHEN 3 THEN w || '#?' WHEN 4 THEN w || '-' || w WHEN 5 THEN '<<' || w || '>>' ELSE w END AS value FROM K WHERE NOT ok UNION ALL SELECT doc_id, i, 'Invalid line', array_to_string(w, ' ') FROM W WHERE i % 10 = 6 AND len(w) > 0")
+@query(f"WITH {_LINES} SELECT doc_id, CAST(i AS INTEGER) AS line_index, 'Invalid token' AS problem, CASE j % 6 WHEN 1 THEN '[' || w || ']' WHEN 2 THEN '{{d}}' || w WHEN 3 THEN w || '#?' WHEN 4 THEN w || '-' || w WHEN 5 THEN '<<' || w || '>>' ELSE w END AS value FROM K WHERE NOT ok UNION ALL SELECT doc_id, CAST(i AS INTEGER), 'Invalid line', array_to_string(w, ' ') FROM W WHERE i % 10 = 6 AND len(w) > 0")
 def transliteration_problems(spark, sf_dir):
     """What is wrong, as rows."""
     return transliterations.problems(transliterations.lines(written(spark, sf_dir)))
@@ -73,7 +73,7 @@ _NAME = "CASE WHEN w = 'x' THEN 'X' WHEN len(w) = 2 THEN upper(w) WHEN len(w) =
 
 
 @query(f"""WITH {_LINES}, N AS (SELECT doc_id, i, j, CASE WHEN j % 6 = 2 THEN '? ' ELSE '' END || {_NAME} || CASE WHEN j % 6 = 4 THEN ' ' || {_NAME} ELSE '' END AS name FROM K WHERE ok AND j % 6 <> 5)
-    SELECT doc_id, i AS line_index, string_agg(name, ' ' ORDER BY j) AS names FROM N GROUP BY ALL""")
+    SELECT doc_id, CAST(i AS INTEGER) AS line_index, string_agg(name, ' ' ORDER BY j) AS names FROM N GROUP BY ALL""")
 def line_sign_names(spark, sf_dir):
     """The standard names of the signs of each line; what is removed does not count."""
     tokens = transliterations.tokens(transliterations.lines(written(spark, sf_dir)))
@@ -84,7 +84,7 @@ _POINT = "CASE WHEN w = 'x' THEN '' WHEN len(w) IN (2, 3) THEN ' ' || ord(w) ELS
 
 
 @query(f"""WITH {_LINES}, N AS (SELECT doc_id, i, j, CASE WHEN j % 6 = 2 THEN ' -' ELSE '' END || {_POINT} || CASE WHEN j % 6 = 4 THEN {_POINT} ELSE '' END || CASE WHEN j + 1 < n THEN ' 9999' ELSE '' END AS point FROM K WHERE ok)
-    SELECT doc_id, i AS line_index, trim(string_agg(point, '' ORDER BY j)) AS points FROM N GROUP BY ALL HAVING points <> ''""")
+    SELECT doc_id, CAST(i AS INTEGER) AS line_index, trim(string_agg(point, '' ORDER BY j)) AS points FROM N GROUP BY ALL HAVING points <> ''""")
 def line_code_points(spark, sf_dir):
     """The code points of each line's signs, a mark between words, and a stroke where the list has none."""
     tokens = transliterations.tokens(transliterations.lines(written(spark, sf_dir)))
@@ -103,7 +103,7 @@ def _old_style(spark, sf_dir):
 @query("""WITH D AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL), L AS (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS line FROM D),
     W AS (SELECT doc_id, i, regexp_extract_all(lower(line), '[a-np-uwyz]+') AS w FROM L),
     F AS (SELECT doc_id, i, list_transform(w, lambda x, j: {w: x, f: replace(replace(replace(x, 'sz', 'š'), 'c', 'š'), 'j', 'g'), j: (j - 1) % 6}) AS f FROM W)
-    SELECT doc_id, i AS line_index, CASE WHEN len(f) = 0 THEN '#note: a note' ELSE CASE WHEN i % 4 = 0 THEN 'A+' || (i + 1) || '''' ELSE CAST(i + 1 AS VARCHAR) END || '. ' || array_to_string(list_transform(f, lambda x: CASE x.j WHEN 0 THEN upper(x.f) || '.' || upper(x.f)
+    SELECT doc_id, CAST(i AS INTEGER) AS line_index, CASE WHEN len(f) = 0 THEN '#note: a note' ELSE CASE WHEN i % 4 = 0 THEN 'A+' || (i + 1) || '''' ELSE CAST(i + 1 AS VARCHAR) END || '. ' || array_to_string(list_transform(f, lambda x: CASE x.j WHEN 0 THEN upper(x.f) || '.' || upper(x.f)
         WHEN 1 THEN x.f || '#' WHEN 2 THEN '[' || x.f || '?]' WHEN 3 THEN CASE WHEN x.w = 'i' THEN '{m}' ELSE '{' || x.f || '}' END WHEN 4 THEN x.f || '₂' ELSE x.f END), ' ') END AS line FROM F""")
 def modern_lines(spark, sf_dir):
     """Lines of the older style in the present grammar."""
