@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from ..functions import names, patterns, sortkeys, text
+from ..functions import names, sortkeys, text
 from ..operators import changes, duplicates, filters, lookups, searches, windows
 from .base import query, read
 
