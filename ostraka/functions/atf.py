@@ -196,7 +196,8 @@ _QUALIFICATION = one_of("at least", "at most", "about")
 _EXTENT = one_of(r"\d+ ?- ?\d+", r"\d+", "several", "some", "rest of", "start of", "beginning of", "middle of", "end of")
 _SCOPE = one_of("columns", "column", "lines", "line", "cases", "case", "side", "excerpt", "surface", _OBJECT, _SURFACE)
 _STATE = one_of("blank", "broken", "effaced", "illegible", "missing", "traces", "omitted", "continues")
-_MARKUP = r"(?:@(?:akk|sux|es|i|sup|sub|b)\{[^{}]+\}|@bib\{(?:[^@{}\\]|\\[@{}\\])+(?:@(?:[^@{}\\]|\\[@{}\\])+)?\}|@url\{[^}]+\}(?:\{[^@{}]+\})?|[^@{}])+"
+#: Possessive throughout: a loop over alternatives that may go back needs stack for each character, and lines have no bound.
+_MARKUP = r"(?:@(?:akk|sux|es|i|sup|sub|b)\{[^{}]+\}|@bib\{(?:[^@{}\\]++|\\[@{}\\])++(?:@(?:[^@{}\\]++|\\[@{}\\])++)?\}|@url\{[^}]+\}(?:\{[^@{}]+\})?|[^@{}]++)++"
 # Genres and stages of texts.
 _GENRE = one_of("Lex", "Med", "L", "D", "Mag", "Sum", "Šui")
 _STAGE = one_of("Ur3", "OA", "OB", "OElam", "PElam", "MB", "MElam", "MA", "Hit", "NA", "NB", "NElam", "LB", "Per", "Hel", "Par", "Uruk4", "JN", "ED1_2", "Fara", "PSarg", "Sarg", "Aram", "Luw", "Unc", "SB")

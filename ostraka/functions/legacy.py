@@ -87,17 +87,13 @@ def indexed(text: Column) -> Column:
 
 
 def damaged(text: Column) -> Column:
-    """Signs in half brackets with the mark of damage, the half brackets off; what is open is carried from sign to sign."""
+    """Signs in half brackets with the mark of damage, the half brackets off."""
     sign = rf"{_NAME}+{atf._INDEX}{atf._MODIFIERS}{atf._FLAGS}|\d+{atf._MODIFIERS}{atf._FLAGS}|[{atf.FRACTIONS}]{atf._FLAGS}"
-    pieces = F.regexp_extract_all(text, F.lit(rf"({sign}|[⸢⌈⸣⌉]|[^⸢⌈⸣⌉0-9{atf.FRACTIONS}{_NAME[1:-1]}]+|.)"), F.lit(1))
-    start = F.struct(F.lit(False).alias("open"), F.lit("").alias("out"))
-
-    def step(acc: Column, p: Column) -> Column:
-        half = p.isin("⸢", "⌈", "⸣", "⌉")
-        shown = F.when(half, "").when(acc["open"] & p.rlike(f"^(?:{sign})$"), F.concat(p, F.lit("#"))).otherwise(p)
-        return F.struct(F.when(half, p.isin("⸢", "⌈")).otherwise(acc["open"]).alias("open"), F.concat(acc["out"], shown).alias("out"))
-
-    return F.when(text.rlike("[⸢⌈⸣⌉]"), F.aggregate(pieces, start, step)["out"]).otherwise(text)
+    # a half bracket ends what the one before it began, so each stretch is told by the one in front of it
+    stretches = F.regexp_extract_all(text, F.lit("([⸢⌈⸣⌉][^⸢⌈⸣⌉]*|[^⸢⌈⸣⌉]+)"), F.lit(1))
+    inner = lambda p: F.substring(p, F.lit(2), F.length(p))
+    shown = F.transform(stretches, lambda p: F.when(p.rlike("^[⸢⌈]"), F.regexp_replace(inner(p), sign, "$0#")).when(p.rlike("^[⸣⌉]"), inner(p)).otherwise(p))
+    return F.when(text.rlike("[⸢⌈⸣⌉]"), F.array_join(shown, "")).otherwise(text)
 
 
 def spelt(text: Column) -> Column:
@@ -135,7 +131,7 @@ def dollar_line(line: Column) -> Column:
     """A state, ruling or seal without parentheses, anything else in one pair of them."""
     inner = F.trim(F.substring(line, F.lit(2), F.length(line)))
     for _ in range(4):
-        inner = F.trim(F.regexp_replace(inner, r"^\(((?:[^()]|\([^()]*\))*|\(.*\))\)$", "$1"))
+        inner = F.trim(F.regexp_replace(inner, r"^\(((?:[^()]++|\([^()]*\))*+|\(.*\))\)$", "$1"))
     inner = F.regexp_replace(F.regexp_replace(inner, r"^ruling", "single ruling"), "^rest broken", "rest of side broken")
     plain = F.concat(F.lit("$ "), inner)
     return F.when(atf.line_type(plain).isin("StateDollarLine", "RulingDollarLine", "SealDollarLine"), plain).otherwise(F.concat(F.lit("$ ("), inner, F.lit(")")))

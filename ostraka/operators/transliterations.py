@@ -14,12 +14,17 @@ _SIGN_NAME = rf"(?<=[\p{{L}}\p{{N}}{atf.FLAGS}])\((?:{atf.COMPOUND}|{atf.one_of(
 _NO_ENCLOSURES = ("($___$)", "(||)", "(|)")
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Lines dealt over all tasks: reading one costs far more than moving it, and a file of few row groups would keep few cores busy."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, line_index, line, type and the fields of each line of a transliteration (see atf.LINE_FIELDS), with the parts of its number.
 
     A null text has no lines, an empty one an empty line; a line that fits no kind is Invalid; other columns are ignored.
     """
-    cut = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.posexplode(F.split(F.col(f"`{text_col}`"), "\r?\n")).alias("line_index", "line"))
+    cut = _dealt(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.posexplode(F.split(F.col(f"`{text_col}`"), "\r?\n")).alias("line_index", "line")))
     typed = cut.withColumn("type", atf.line_type(F.col("line")))
     fields = {name: atf.line_field(F.col("line"), F.col("type"), name) for name in atf.LINE_FIELDS}
     return typed.withColumns(fields).withColumn("numbers", atf.number_parts(F.col("number")))
@@ -38,8 +43,8 @@ def spaced(text: Column) -> Column:
         (rf"(?<=[{letter}\])>}}|])([:;]) +", "$1"),
         # a parenthesis that closes the name of a sign in a gloss is none that closes a gloss on the document
         (rf"(\{{\(|(?<![{letter}]\([^(){{}} ]{{1,40}})\)\}})", " $1 "),
-        (rf"(?<![^ ])({atf.OPENING}+)(?={divider}(?:{atf.CLOSING}*)(?![^ ]))", "$1 "),
-        (rf"(?<![^ ])({divider})({atf.CLOSING}+)(?![^ ])", "$1 $2"),
+        (rf"(?<![^ ])({atf.OPENING}++)(?={divider}{atf.CLOSING}*+(?![^ ]))", "$1 "),
+        (rf"(?<![^ ])({divider})({atf.CLOSING}++)(?![^ ])", "$1 $2"),
     ):
         text = F.regexp_replace(text, pattern, by)
     return text
@@ -47,8 +52,8 @@ def spaced(text: Column) -> Column:
 
 def cut_tokens(content: Column) -> Column:
     """array<string>: the tokens of a text line's content; runs of brackets that stand alone are one token each, an erasure is one with its spaces."""
-    cut = F.regexp_extract_all(spaced(content), F.lit(r"(?:[^ °]++|°[^°\\]*\\[^°\\]*°|°)+"), F.lit(0))
-    brackets = f"^(?:{atf.ENCLOSURE})+$"
+    cut = F.regexp_extract_all(spaced(content), F.lit(r"(?:[^ °]++|°[^°\\]*\\[^°\\]*°|°)++"), F.lit(0))
+    brackets = f"^(?:{atf.ENCLOSURE})++$"
     return F.flatten(F.transform(cut, lambda t: F.when(t.rlike(brackets), F.regexp_extract_all(t, F.lit(atf.ENCLOSURE), F.lit(0))).otherwise(F.array(t))))
 
 
@@ -160,7 +165,7 @@ def modern(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     Columns without a number are counted, from 1 on each face or object of a text. A null text has no lines; null ids are texts of their own kind: their lines are counted together.
     """
-    cut = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.posexplode(F.split(F.col(f"`{text_col}`"), "\n")).alias("line_index", "old"))
+    cut = _dealt(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.posexplode(F.split(F.col(f"`{text_col}`"), "\n")).alias("line_index", "old")))
     rows = rewritten(cut, "old", "line")
     bare = F.col("line") == "@column"
     kinds = atf.line_type(F.col("line"))

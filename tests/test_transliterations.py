@@ -206,3 +206,18 @@ def test_nothing_to_read(spark):
     typed = tr.lines(spark.createDataFrame([(1, None), (None, "1. ku"), (None, "1. ku"), (2, "")], "doc_id int, text string"))
     assert typed.count() == 3 and [r.value for r in tr.tokens(typed).collect()] == ["ku", "ku"] and tr.problems(typed).count() == 0
     assert tr.tokens(typed.limit(0)).count() == 0
+
+
+def test_long_lines(spark):
+    # patterns must not need stack for each character of a line: a note of 100,000, as markup and as text
+    note, marked, dots = "#note: " + "abc " * 25000, "#note: " + "@i{a}" * 20000, "1. " + "[" * 5000
+    df = spark.createDataFrame([(1, note), (2, marked), (3, dots)], "doc_id int, text string")
+    found = {r.doc_id: r for r in tr.lines(df).collect()}
+    assert found[1].type == found[2].type == "NoteLine" and found[1].text == note[7:].strip() and found[2].text == marked[7:] and found[3].type == "TextLine"
+    assert tr.tokens(tr.lines(df.where("doc_id = 3"))).count() == 5000
+
+
+def test_lines_use_all_tasks(spark):
+    df = spark.createDataFrame([(i, "1. ku\n2. ba") for i in range(200)], "doc_id int, text string").coalesce(1)
+    for made in (tr.lines(df), tr.modern(df)):
+        assert made.rdd.getNumPartitions() > 1 and made.count() == 400
