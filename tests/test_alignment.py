@@ -128,3 +128,16 @@ def test_merge_keeps_annotations(spark):
     assert [tuple(e) for e in found[0]] == [("1. ku", "x"), ("2. bu", None), ("3. ra", "z"), ("4. ši", None)] and found[1] is None
     kept = df.select(diffs.merged(F.col("o"), F.col("n"), key, lambda a, b: F.struct(b["line"].alias("line"), a["note"].alias("note")))).first()[0]
     assert [e["note"] for e in kept] == ["x", "y", "z", None]
+
+
+def test_differences_hold_one_row_at_a_time(spark, monkeypatch):
+    # a whole batch of rows as Python objects took gigabytes: only one may be alive when the next is compared
+    import pyarrow as pa
+
+    from ostraka.functions import diffs
+
+    alive = []
+    monkeypatch.setattr(diffs, "_changes", lambda a, b: alive.append(len(a)) or [(0, 0, " ")])
+    column = pa.array([["a"], None, ["b"]])
+    found = diffs._row_by_row(diffs._places, pa.list_(pa.int32()), column, column, pa.array([[True]] * 3))
+    assert found.to_pylist() == [[0], None, [0]] and alive == [1, 1]
