@@ -57,7 +57,7 @@ def has_clear_signs(signs: Column) -> Column:
 
 
 def _gap_costs(signs: Sequence[str]) -> np.ndarray:
-    return np.array([GAP_EXTENSION_BREAK if s == LINE_BREAK else GAP_EXTENSION for s in signs], dtype=np.int64)
+    return np.array([GAP_EXTENSION_BREAK if s == LINE_BREAK else GAP_EXTENSION for s in signs], dtype=np.int32)
 
 
 def _special(sign: str) -> bool:
@@ -72,14 +72,20 @@ class Fragments:
         self.signs = {s: i for i, s in enumerate(dict.fromkeys(x for f in fragments for x in f))}
         self.special = [s for s in self.signs if _special(s)]
         shape = (len(fragments), int(self.lengths.max(initial=0)))
-        self.codes, self.gaps = np.zeros(shape, dtype=np.int64), np.zeros(shape, dtype=np.int64)
+        self.codes, self.gaps = np.zeros(shape, dtype=np.int32), np.zeros(shape, dtype=np.int32)
         for k, f in enumerate(fragments):
             self.codes[k, : len(f)] = [self.signs[s] for s in f]
             self.gaps[k, : len(f)] = _gap_costs(f)
+        self.all_codes, self.ends = np.array([self.signs[s] for f in fragments for s in f], dtype=np.int32), np.cumsum(self.lengths)
+
+    def bounds(self, table: np.ndarray) -> np.ndarray:
+        """What no alignment of each fragment can pass: each of its signs is paired once at most, and only pairs add to a score."""
+        most = np.concatenate([[0], np.cumsum(np.maximum(table.max(axis=1), 0)[self.all_codes], dtype=np.int64)])
+        return most[self.ends] - most[self.ends - self.lengths]
 
     def table(self, other: Sequence[str]) -> np.ndarray:
         """Scores of all signs of the fragments (rows) with those of a manuscript in order; only marked and listed signs need the rules."""
-        found = np.full((len(self.signs), len(other)), MISMATCH, dtype=np.int64)
+        found = np.full((len(self.signs), len(other)), MISMATCH, dtype=np.int32)
         for j, sign in enumerate(other):
             if sign in self.signs:
                 found[self.signs[sign], j] = MATCH
@@ -89,32 +95,38 @@ class Fragments:
         return found
 
 
-def align_all(fragments: Fragments, other: Sequence[str]) -> np.ndarray:
+def align_all(fragments: Fragments, other: Sequence[str], least: int = 0) -> np.ndarray:
     """The score of each fragment with one manuscript; gaps at either end of either cost nothing.
 
-    All fragments go through the same row together. A gap opens from a pair or from a gap in the other sequence.
+    Scores under `least` may be told as 0: fragments that can't reach it are left out. All others go through the same row together. A gap opens from a pair or from a gap in the other sequence.
     """
     n, most = len(other), fragments.codes.shape[1]
-    best = np.zeros(len(fragments.lengths), dtype=np.int64)
+    scores = np.zeros(len(fragments.lengths), dtype=np.int32)
     if not n or not most:
-        return best
+        return scores
     table = fragments.table(other)
-    across = np.concatenate([[0], np.cumsum(_gap_costs(other))])  # cost of extending over the first j signs
+    able = np.flatnonzero(fragments.bounds(table) >= least)
+    if not len(able):
+        return scores
+    lengths, codes, gaps, best = fragments.lengths[able], fragments.codes[able], fragments.gaps[able], scores[able]
+    most = int(lengths.max())
+    across = np.concatenate([[0], np.cumsum(_gap_costs(other))]).astype(np.int32)  # cost of extending over the first j signs
     shape = (len(best), n + 1)
-    vertical, open_to_down, top = np.full(shape, _NEVER), np.zeros(shape, np.int64), np.zeros(shape, np.int64)
+    vertical, open_to_down, top = np.full(shape, _NEVER, np.int32), np.zeros(shape, np.int32), np.zeros(shape, np.int32)
     for i in range(most):
-        vertical = np.maximum(open_to_down + GAP_START, vertical + fragments.gaps[:, i : i + 1])
+        vertical = np.maximum(open_to_down + GAP_START, vertical + gaps[:, i : i + 1])
         vertical[:, 0] = _NEVER
-        paired = np.zeros(shape, np.int64)  # the first column is a gap at the start, which costs nothing
-        paired[:, 1:] = top[:, :-1] + table[fragments.codes[:, i]]
+        paired = np.zeros(shape, np.int32)  # the first column is a gap at the start, which costs nothing
+        paired[:, 1:] = top[:, :-1] + table[codes[:, i]]
         opens = np.maximum(paired, vertical)
         # a gap over signs k+1 to j: its first sign costs GAP_START, the others their extension
-        horizontal = np.full(shape, _NEVER)
+        horizontal = np.full(shape, _NEVER, np.int32)
         horizontal[:, 1:] = np.maximum.accumulate(opens[:, :-1] - across[1:], axis=1) + across[1:] + GAP_START
         top, open_to_down = np.maximum(opens, horizontal), np.maximum(paired, horizontal)
-        best = np.where(i < fragments.lengths, np.maximum(best, top[:, -1]), best)
-        best = np.where(i == fragments.lengths - 1, np.maximum(best, top.max(axis=1)), best)
-    return best
+        best = np.where(i < lengths, np.maximum(best, top[:, -1]), best)
+        best = np.where(i == lengths - 1, np.maximum(best, top.max(axis=1)), best)
+    scores[able] = best
+    return scores
 
 
 def _rows(a: Sequence[str], b: Sequence[str], first: np.ndarray, at: int, count: int) -> np.ndarray:
@@ -222,7 +234,7 @@ def align(fragments: DataFrame, manuscripts: DataFrame, fragment: str, manuscrip
         queries = [list(x) for x in a["__s"]]
         prepared, found = Fragments(queries), []
         for i, text in enumerate(list(x) for x in b["__s"]):
-            scores = align_all(prepared, text)
+            scores = align_all(prepared, text, min_score)
             for k in np.flatnonzero(scores >= min_score):
                 row = [a["fragment"].iloc[k], *[a[n].iloc[k] for n in also], *[b[n].iloc[i] for n in manuscript], int(scores[k])]
                 if traced:

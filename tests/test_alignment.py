@@ -141,3 +141,13 @@ def test_differences_hold_one_row_at_a_time(spark, monkeypatch):
     column = pa.array([["a"], None, ["b"]])
     found = diffs._row_by_row(diffs._places, pa.list_(pa.int32()), column, column, pa.array([[True]] * 3))
     assert found.to_pylist() == [[0], None, [0]] and alive == [1, 1]
+
+
+def test_fragments_that_cannot_reach_the_least_score_are_left_out():
+    from ostraka.operators import alignment
+
+    texts = [["a", "b", "c"], ["q", "r"], [], ["a", "#", "c"]]
+    prepared, other = alignment.Fragments(texts), ["a", "b", "c", "#", "d"]
+    whole = alignment.align_all(prepared, other).tolist()
+    assert whole[0] == 48 and alignment.align_all(prepared, other, 40).tolist() == [48, 0, 0, 0]
+    assert all(b >= s for b, s in zip(prepared.bounds(prepared.table(other)).tolist(), whole))
