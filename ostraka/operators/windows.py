@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .tables import written
+
 
 def ring(df: DataFrame, partition: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
     """previous and next value of each row in its partition, around the ends."""
@@ -44,11 +46,12 @@ def numbered(df: DataFrame, partition: Sequence[str], order: Sequence[str], take
 def placed(df: DataFrame, key: Column, name: str) -> DataFrame:
     """The position of each row in the order of key, from 1: the place within its range of keys, after all rows of the ranges before.
 
-    Ranges are checkpointed in spark.checkpoint.dir; only their counts reach the driver.
+    The key is worked out once, since the ranges' bounds, their rows and the places all read it. Keys and ranges are written to spark.checkpoint.dir; only the ranges' counts reach the driver.
     """
-    ranges = df.repartitionByRange(key).withColumn("__range", F.spark_partition_id()).checkpoint()
+    keyed = written(df.withColumn("__key", key))
+    ranges = written(keyed.repartitionByRange("__key").withColumn("__range", F.spark_partition_id()))
     counts = sorted((r["__range"], r["count"]) for r in ranges.groupBy("__range").count().collect())
     before = [(k, sum(n for _, n in counts[:i])) for i, (k, _) in enumerate(counts)]
     starts = F.broadcast(df.sparkSession.createDataFrame(before, "__range int, __before long"))
-    place = F.row_number().over(Window.partitionBy("__range").orderBy(key)) + F.col("__before")
-    return ranges.join(starts, "__range").withColumn(name, place).drop("__range", "__before")
+    place = F.row_number().over(Window.partitionBy("__range").orderBy("__key")) + F.col("__before")
+    return ranges.join(starts, "__range").withColumn(name, place).drop("__range", "__before", "__key")

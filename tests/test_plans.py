@@ -30,3 +30,14 @@ def test_change_log_where_keys_meet(spark, tmp_path):
     con.execute(f"CREATE VIEW part AS SELECT * FROM '{path}'")
     mine = sorted(tuple(map(str, r)) for r in registry.QUERIES["change_log"](spark, str(tmp_path)).collect())
     assert mine and mine == sorted(tuple(map(str, r)) for r in con.execute(registry.ORACLE_SQL["change_log"]).fetchall())
+
+
+def test_a_place_reads_a_stored_key(spark):
+    from pyspark.sql import functions as F
+
+    from ostraka.functions import sortkeys
+    from ostraka.operators import windows
+
+    df = spark.createDataFrame([("b",), ("a",), ("c II",)], "w string")
+    found = windows.placed(df, sortkeys.akkadian_key(F.col("w")), "place")
+    assert "lambdafunction" not in found._jdf.queryExecution().optimizedPlan().toString() and {r.w: r.place for r in found.collect()} == {"a": 1, "b": 2, "c II": 3}
