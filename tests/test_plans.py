@@ -41,3 +41,18 @@ def test_a_place_reads_a_stored_key(spark):
     df = spark.createDataFrame([("b",), ("a",), ("c II",)], "w string")
     found = windows.placed(df, sortkeys.akkadian_key(F.col("w")), "place")
     assert "lambdafunction" not in found._jdf.queryExecution().optimizedPlan().toString() and {r.w: r.place for r in found.collect()} == {"a": 1, "b": 2, "c II": 3}
+
+
+def test_neighbours_of_one_value_are_dealt(spark, tmp_path):
+    # 400 parts of one brand and size in one file, one key twice, nulls: the SQL's pairs, from more than one task
+    import duckdb
+    from pyspark.sql import functions as F
+
+    path = str(tmp_path / "part.parquet")
+    rows = "SELECT unnest(range(400)) AS k, 'x' AS b, 7 AS s UNION ALL SELECT * FROM (VALUES (5, 'x', 7), (900, 'x', 9), (901, 'x', 10), (902, 'x', 4), (903, 'x', 5), (904, NULL, 7), (905, 'x', NULL), (NULL, 'x', 7), (906, 'y', 7), (907, 'y', -1), (908, 'y', -3)) t(k, b, s)"
+    duckdb.execute(f"COPY (SELECT CAST(k AS BIGINT) AS p_partkey, b AS p_brand, CAST(s AS INTEGER) AS p_size FROM ({rows})) TO '{path}' (FORMAT parquet)")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{path}'")
+    found = registry.QUERIES["range_neighbours"](spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.a, r.b, r.a_value, r.b_value) for r in found) == sorted(con.execute(registry.ORACLE_SQL["range_neighbours"]).fetchall())
+    assert len({r.task for r in found}) > 1
