@@ -36,9 +36,9 @@ def anchored(data: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, n
     """Runs of windows of `length` bytes that share an anchor: (first window of the chunk, anchors' hashes, starts, counts).
 
     A window's anchor is the gram in it of the smallest hash, the leftmost of equals; so equal windows have equal anchors at
-    equal places, wherever they stand.
+    equal places, wherever they stand. Grams are at most half a window, else nearly every window would be a run of its own.
     """
-    gram = min(GRAM, length)
+    gram = min(GRAM, max(1, length // 2))
     span = length - gram + 1
     for first in range(0, len(data) - length + 1, CHUNK):
         part = data[first : first + CHUNK + length - 1]

@@ -535,3 +535,35 @@ def test_pipeline_stages(spark, rows, tmp_path):
             docs = docs.cache()
             assert docs.count() > 0
     assert docs.count() == corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_html_repeats_on_pages_with_an_article(spark):
+    """The step over a host's pages is run for pages that have an article, too, and never cuts it."""
+    rng = random.Random(22)
+    shared = [words(rng, n, 10**6) for n in (8, 11, 30)]
+    pages = []
+    for i in range(30):
+        parts = [words(rng, rng.randrange(1, 14), 10**6) if rng.random() < 0.5 else rng.choice(shared) for _ in range(4)]
+        pages.append((i, f"http://h{i % 3}.net/{i}", "".join(f"<div class='ad'>{p}</div>" for p in parts[:2]) + f"<article><p>{shared[2]}</p></article>" + "".join(f"<footer>{p}</footer>" for p in parts[2:]), parts))
+    found = {r.page_id: r for r in html.main_text(spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string")).collect()}
+    streams = {i: [w for p in parts for w in p.split()] for i, _, _, parts in pages}
+    for i, _, _, parts in pages:
+        own, gone, at, repeated = streams[i], set(), 0, 0
+        others = {tuple(s[k : k + 8]) for j, s in streams.items() if j != i and j % 3 == i % 3 for k in range(len(s) - 7)}
+        for k in range(len(own) - 7):
+            if tuple(own[k : k + 8]) in others:
+                gone |= set(range(k, k + 8))
+        for p in parts:
+            n = len(p.split())
+            for run in "".join("x" if k in gone else " " for k in range(at, at + n)).split():
+                repeated += len(run) if len(run) >= min(8, n) else 0
+            at += n
+        assert (found[i].text, found[i].n_repeated) == (shared[2], repeated)
+    assert sum(r.n_repeated for r in found.values()) > 200
+
+
+def test_short_windows_share_anchors():
+    data = np.random.default_rng(5).integers(0, 256, 40000, dtype=np.uint8)
+    found = list(suffix.anchored(data, 32))
+    assert sum(int(n.sum()) for *_, n in found) == 40000 - 31  # every window, in runs
+    assert sum(len(n) for *_, n in found) < 40000 / 6
