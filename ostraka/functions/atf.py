@@ -31,23 +31,25 @@ def one_of(*patterns: str) -> str:
 # Signs
 
 _V, _L, _NUMBER = f"[{READING_LETTERS}]", f"[{LOGOGRAM_LETTERS}]", one_of(r"\d+", f"[{FRACTIONS}]")
+#: Runs of letters are possessive: no letter follows one, and what is no word would be tried again for each letter that a run gives back.
+_VS, _LS = f"{_V}++", f"{_L}++"
 _FLAGS, _MODIFIERS = f"[{FLAGS}]*", rf"(?:[@~]{one_of(*MODIFIERS, '[0-9]+')})*"
 _INDEX = "(?:₀|[₁-₉][₀-₉]*|[1-9][0-9]*|ₓ)?"
-_GRAPHEME = one_of(f"{_V}+", f"{_L}+", rf"{_NUMBER}\d*") + _INDEX + _MODIFIERS + _FLAGS
+_GRAPHEME = one_of(_VS, _LS, rf"{_NUMBER}\d*") + _INDEX + _MODIFIERS + _FLAGS
 _CHOICE = f"{_GRAPHEME}(?:/{_GRAPHEME})*"
 _GROUP = one_of(rf"\({_CHOICE}(?:[×%&+.]{_CHOICE})*\)", _CHOICE)
 COMPOUND = rf"\|{_GROUP}(?:[×%&+.]{_GROUP})*\|"
 _SIGN = rf"(?:\({one_of(COMPOUND, _GRAPHEME)}\))?"
-READING = rf"{_V}+(?:[\[\]]{_V}+)*{_INDEX}{_MODIFIERS}{_FLAGS}{_SIGN}"
+READING = rf"{_VS}(?:[\[\]]{_VS})*{_INDEX}{_MODIFIERS}{_FLAGS}{_SIGN}"
 JOINER = "[-+.:;,]"
 _SURROGATE = rf"<\({READING}(?:{JOINER}{READING})*\)>"
-LOGOGRAM = rf"{_L}+(?:[\[\]]{_L}+)*{_INDEX}{_MODIFIERS}{_FLAGS}{one_of(_SURROGATE, _SIGN)}"
+LOGOGRAM = rf"{_LS}(?:[\[\]]{_LS})*{_INDEX}{_MODIFIERS}{_FLAGS}{one_of(_SURROGATE, _SIGN)}"
 NUMBER = rf"{_NUMBER}(?:[\[\]]\d+)*{_MODIFIERS}{_FLAGS}{_SIGN}"
 UNKNOWN = f"[Xx]{_FLAGS}"
 DOTS, FEET = r"\.\.\.", f"•{_FLAGS}"
 _VARIANT_PART = one_of(UNKNOWN, COMPOUND, READING, LOGOGRAM, NUMBER)
 VARIANT = f"{_VARIANT_PART}(?:/{_VARIANT_PART})+"
-VALUE = one_of(VARIANT, _VARIANT_PART, DOTS, FEET)
+VALUE = one_of(f"{_VARIANT_PART}(?:/{_VARIANT_PART})*", DOTS, FEET)
 
 # Words
 
@@ -60,6 +62,8 @@ GLOSS = one_of(r"\{\{" + _BODY + r"\}\}", r"\{\+?" + _BODY + r"\}")
 _PARTS = f"{one_of(VALUE, GLOSS)}(?:{_STRICT}{VALUE}|(?:{_LOOSE})?{GLOSS}|(?<=[}}])(?:{_LOOSE})?{VALUE})*"
 _INLINE_ERASURE = rf"°(?:{_PARTS})?\\(?:{_PARTS})?°"
 WORD = rf"{OPENING}*(?:{_INLINE_ERASURE}(?:{_LOOSE})?)*{_PARTS}(?:(?:{_LOOSE})?{_INLINE_ERASURE}(?:(?:{_LOOSE})?{_PARTS})?)*{CLOSING}*"
+#: A word in which nothing was erased: a sixth of the pattern.
+_UNERASED_WORD = f"{OPENING}*{_PARTS}{CLOSING}*"
 LONE_DETERMINATIVE = rf"{OPENING}*\{{\+?{_BODY}\}}{CLOSING}*"
 _DIVIDER_MARK = one_of(":'", ':"', r":\.", "::", ":", ";", "/")
 DIVIDER = f"{_DIVIDER_MARK}{_MODIFIERS}{_FLAGS}"
@@ -73,18 +77,36 @@ PIECE = one_of(VARIANT, DOTS, UNKNOWN + rf"(?![{READING_LETTERS}{LOGOGRAM_LETTER
 
 
 #: Readings and hyphens alone: most words, told without the rest of the grammar.
-SIMPLE_WORD = f"^{_V}+[₀-₉]*(?:-{_V}+[₀-₉]*)*$"
+SIMPLE_WORD = f"^{_VS}[₀-₉]*+(?:-{_VS}[₀-₉]*+)*+$"
+_USUAL_SIGN = rf"(?:{_VS}[₀-₉]*+|[xX])[#?!*]*+"
+_USUAL_SIGNS = rf"{_USUAL_SIGN}(?:-{_USUAL_SIGN})*+"
+#: Such words with marks, glosses around them and brackets. A matcher of WORD has a slot for each of its many loops, so to begin with it takes longer than to match: it comes last.
+USUAL_WORD = rf"^(?:<\(|<<|[<\[(])?+(?:\{{{_USUAL_SIGNS}\}})*+{_USUAL_SIGNS}(?:\{{{_USUAL_SIGNS}\}})*+(?:\)>|>>|[>\])])?+$"
+#: What no sign has: letters without a reading (c and v are modifiers, too), an x next to a letter.
+NO_SIGN = r"[joJO]|(?<![@~])[cvCV]|(?<=[a-zA-Z])[xX]|[xX](?=[a-zA-Z])"
+_USUAL_READING = f"^{_VS}[₀-₉]*+$"
+_USUAL_PIECE = rf"{_USUAL_SIGN}|<\(|\)>|<<|>>|."
 
 
 def whole(pattern: str) -> str:
     return rf"^(?:{pattern})$"
 
 
+def seldom(text: Column, pattern: str) -> Column:
+    """Whether all of a text fits a long pattern that few texts are tried on: read in a lambda it is compiled by the tasks that come to it, not written into the code of each."""
+    return F.exists(F.array(text), lambda t: t.rlike(whole(pattern)))
+
+
+def pieces(word: Column) -> Column:
+    """array<string>: signs, glosses, joiners and enclosures of a word, one after the other (see PIECE)."""
+    return F.when(word.rlike(USUAL_WORD), F.regexp_extract_all(word, F.lit(_USUAL_PIECE), F.lit(0))).otherwise(F.regexp_extract_all(word, F.lit(PIECE), F.lit(0)))
+
+
 def piece_type(piece: Column) -> Column:
     """What one piece of a word is."""
     kinds = (("Reading", READING), ("Logogram", LOGOGRAM), ("UnclearSign", f"x{_FLAGS}"), ("UnknownNumberOfSigns", DOTS), ("UnidentifiedSign", f"X{_FLAGS}"), ("CompoundGrapheme", COMPOUND), ("Number", NUMBER), ("Variant", VARIANT), ("EgyptianMetricalFeetSeparator", FEET))
     marks = (("LinguisticGloss", ("{{", "}}")), ("PhoneticGloss", ("{+",)), ("Determinative", ("{", "}")), ("Joiner", tuple("-+.:;,")), ("Erasure", ("°", "\\")), *((camel(name), (a, b)) for name, a, b in ENCLOSURES[:6]))
-    return F.coalesce(*[F.when(piece.isin(*texts), name) for name, texts in marks], *[F.when(piece.rlike(whole(pattern)), name) for name, pattern in kinds], F.lit("Invalid"))
+    return F.coalesce(F.when(piece.rlike(_USUAL_READING), "Reading"), *[F.when(piece.isin(*texts), name) for name, texts in marks], *[F.when(piece.rlike(whole(pattern)), name) for name, pattern in kinds], F.lit("Invalid"))
 
 
 def camel(name: str) -> str:
@@ -125,8 +147,9 @@ def parts(word: Column) -> Column:
         F.lit(None).cast("string").alias("sign"),
     )
     # the kind is told once and read from the struct
-    told = F.transform(F.regexp_extract_all(word, F.lit(PIECE), F.lit(0)), lambda p: F.struct(p.alias("p"), piece_type(p).alias("k")))
-    return F.when(word.rlike(SIMPLE_WORD), F.transform(F.regexp_extract_all(word, F.lit("[^-]+|-"), F.lit(0)), plain)).otherwise(F.transform(told, lambda x: sign_parts(x["p"], x["k"])))
+    told = F.transform(pieces(word), lambda p: F.struct(p.alias("p"), piece_type(p).alias("k")))
+    usual = lambda x: F.when(x["p"].rlike(_USUAL_READING) | (x["p"] == "-"), plain(x["p"])).otherwise(sign_parts(x["p"], x["k"]))
+    return F.when(word.rlike(SIMPLE_WORD), F.transform(F.regexp_extract_all(word, F.lit("[^-]+|-"), F.lit(0)), plain)).otherwise(F.transform(told, usual))
 
 
 def language_of(shift: Column) -> Column:
@@ -153,19 +176,19 @@ def token_type(token: Column, shift: Column) -> Column:
         F.when(token.isin("!qt", "!bs", "!cm", "!zz"), "CommentaryProtocol"),
         F.when(token == "ø", "WordOmitted"),
         F.when(token == "($___$)", "Tabulation"),
-        F.when(is_(DIVIDER), "Divider"),
+        F.when(F.left(token, F.lit(1)).isin(":", ";", "/") & is_(DIVIDER), "Divider"),
         F.when(token == "|", "LineBreak"),
-        F.when(is_(r"°[^°\\]*\\[^°]*°"), "Erasure"),
-        F.when(is_(DIVIDER_VARIANT), "DividerVariant"),
-        F.when(is_(LONE_DETERMINATIVE), "LoneDeterminative"),
-        F.when(is_(WORD), "Word"),
+        F.when(F.startswith(token, F.lit("°")) & is_(r"°[^°\\]*\\[^°]*°"), "Erasure"),
+        F.when(~F.contains(token, F.lit("°")) & token.rlike(NO_SIGN), "Invalid"),
+        F.when(F.contains(token, F.lit("/")) & seldom(token, DIVIDER_VARIANT), "DividerVariant"),
+        F.when(F.contains(token, F.lit("{")) & seldom(token, LONE_DETERMINATIVE), "LoneDeterminative"),
+        F.when(F.when(F.contains(token, F.lit("°")), seldom(token, WORD)).otherwise(seldom(token, _UNERASED_WORD)), "Word"),
     ]
     found = F.coalesce(
         F.when(F.length(token) > LONGEST_WORD, "Invalid"),
-        F.when(latin & ~greek & token.rlike(SIMPLE_WORD), "Word"),
-        F.when(latin & ~greek & token.rlike("^[a-z]{2,}$"), "Invalid"),
-        F.when(is_("%[a-zA-Z0-9]+"), "LanguageShift"),
-        F.when(is_("&(?:[1-9][0-9]*)?") & latin, "Column"),
+        F.when(latin & ~greek & token.rlike(USUAL_WORD), "Word"),
+        F.when(F.startswith(token, F.lit("%")) & is_("%[a-zA-Z0-9]+"), "LanguageShift"),
+        F.when(F.startswith(token, F.lit("&")) & is_("&(?:[1-9][0-9]*)?") & latin, "Column"),
         F.when(greek & is_(GREEK_WORD), "GreekWord"),
         *[F.when(latin & ~greek, t) for t in usual],
         *[F.when(~latin, t) for t in normalized],

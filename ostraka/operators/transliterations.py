@@ -25,28 +25,41 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     A null text has no lines, an empty one an empty line; a line that fits no kind is Invalid; other columns are ignored.
     """
     cut = _dealt(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.posexplode(F.split(F.col(f"`{text_col}`"), "\r?\n")).alias("line_index", "line")))
-    typed = cut.withColumn("type", atf.line_type(F.col("line")))
+    # a filter on the type would else be worked out once more, and before the lines are dealt
+    typed = cut.select("*", once(atf.line_type(F.col("line"))).alias("type"))
     fields = {name: atf.line_field(F.col("line"), F.col("type"), name) for name in atf.LINE_FIELDS}
     return typed.withColumns(fields).withColumn("numbers", atf.number_parts(F.col("number")))
 
 
+def _where(text: Column, marks: str, pattern: str, by: str) -> Column:
+    """The text with the pattern replaced, if it holds one of the marks: most lines then cost no matching."""
+
+    def one(t: Column) -> Column:
+        held = F.lit(False)
+        for mark in marks:
+            held = held | F.contains(t, F.lit(mark))
+        return F.when(held, F.regexp_replace(t, pattern, by)).otherwise(t)
+
+    return F.get(F.transform(F.array(text), one), F.lit(0))  # the text is worked out once, then read from the array
+
+
 def spaced(text: Column) -> Column:
     """A text line's content with one space between tokens: none around joiners, one around glosses on the document and between dividers and their brackets."""
     letter = rf"\p{{L}}0-9₀-₉ₓ{atf.FLAGS}"
     divider = f"(?:{atf.DIVIDER}|ø)"
-    for pattern, by in (
-        (r" *([-,]) *", "$1"),
-        (r" *(?<!\{)\+ *", "+"),
-        (r"(?<=\S) +\.(?!\.)", "."),
-        (r"(?<![.:])\. +(?=\S)", "."),
-        (rf" +([:;])(?=[\p{{L}}0-9\[<(|{{])", "$1"),
-        (rf"(?<=[{letter}\])>}}|])([:;]) +", "$1"),
+    for marks, pattern, by in (
+        ("-,", r" *([-,]) *", "$1"),
+        ("+", r" *(?<!\{)\+ *", "+"),
+        (".", r"(?<=\S) +\.(?!\.)", "."),
+        (".", r"(?<![.:])\. +(?=\S)", "."),
+        (":;", r" +([:;])(?=[\p{L}0-9\[<(|{])", "$1"),
+        (":;", rf"(?<=[{letter}\])>}}|])([:;]) +", "$1"),
         # a parenthesis that closes the name of a sign in a gloss is none that closes a gloss on the document
-        (rf"(\{{\(|(?<![{letter}]\([^(){{}} ]{{1,40}})\)\}})", " $1 "),
-        (rf"(?<![^ ])({atf.OPENING}++)(?={divider}{atf.CLOSING}*+(?![^ ]))", "$1 "),
-        (rf"(?<![^ ])({divider})({atf.CLOSING}++)(?![^ ])", "$1 $2"),
+        ("()", rf"(\{{\(|\)\}}(?<![{letter}]\([^(){{}} ]{{1,40}}\)\}}))", " $1 "),
+        (":;/ø", rf"(?<![^ ])({atf.OPENING}++)(?={divider}{atf.CLOSING}*+(?![^ ]))", "$1 "),
+        (":;/ø", rf"(?<![^ ])({divider})({atf.CLOSING}++)(?![^ ])", "$1 $2"),
     ):
-        text = F.regexp_replace(text, pattern, by)
+        text = _where(text, marks, pattern, by)
     return text
 
 

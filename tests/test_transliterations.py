@@ -221,3 +221,23 @@ def test_lines_use_all_tasks(spark):
     df = spark.createDataFrame([(i, "1. ku\n2. ba") for i in range(200)], "doc_id int, text string").coalesce(1)
     for made in (tr.lines(df), tr.modern(df)):
         assert made.rdd.getNumPartitions() > 1 and made.count() == 400
+
+
+def test_shortcuts_say_what_the_whole_grammar_says(spark):
+    # most tokens are told by short patterns; the long ones, which take longer to begin with than to match, must be left to few and agree
+    rng = random.Random(3)
+    some = ["a", "ku", "ba", "x", "X", "KU", "c", "j", "₂", "ₓ", "12", "[", "]", "(", ")", "<", "<(", ")>", "<<", ">>", "{", "}", "{+", "-", "-", ".", ":", "/", "#", "?", "°", "\\", "@g", "@v", "|", "..."]
+    tokens = list(dict.fromkeys(["[ku]", "{d}ba", "ku#?", "ku-ba", "<<ku>>", "x", "ax", "clock", "ku@c", "[clock]"] + ["".join(rng.choice(some) for _ in range(rng.randint(1, 6))) for _ in range(3000)]))
+    df = spark.createDataFrame([(t,) for t in tokens], "t string")
+    is_ = lambda pattern: F.col("t").rlike(atf.whole(pattern))
+    whole = df.select("t", is_(atf.WORD).alias("word"), atf.token_type(F.col("t"), F.lit(None).cast("string")).alias("type"), is_(atf.USUAL_WORD[1:-1]).alias("usual"), atf.pieces(F.col("t")).alias("short"), F.regexp_extract_all("t", F.lit(atf.PIECE), F.lit(0)).alias("long")).collect()
+    assert all(r.word for r in whole if r.type == "Word") and all(r.type != "Invalid" for r in whole if r.word) and all(r.short == r.long for r in whole)
+    assert sum(r.usual for r in whole) > 20 and all(r.type == "Word" for r in whole if r.usual)
+
+
+def test_long_patterns_stay_out_of_generated_code_and_lines_are_dealt_unread(spark):
+    typed = tr.lines(spark.createDataFrame([(1, "1. ku\nnothing")], "doc_id int, text string"))
+    for made in (tr.tokens(typed), tr.problems(typed)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        before = [x[-60:] for x in plan.split(atf.whole(atf.WORD))[:-1]]
+        assert all("RLIKE(lambda" in x for x in before) and "RLIKE" not in plan.rsplit("RoundRobinPartitioning", 1)[1]
