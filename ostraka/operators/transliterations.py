@@ -148,15 +148,21 @@ def tokens(typed: DataFrame) -> DataFrame:
 
 def problems(typed: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """doc_id, line_index, problem, value: lines of no kind, marks given twice, enclosures that don't match, tokens of no kind. found: the tokens, if there are any already."""
-    found = tokens(typed) if found is None else found
     told = lambda df, problem, value: df.select("doc_id", "line_index", F.lit(problem).alias("problem"), F.col(value).alias("value"))
     marks = F.split(F.col("status"), "")
-    return (
-        told(typed.where("type = 'Invalid'"), "Invalid line", "line")
-        .unionByName(told(typed.where(F.col("type").endswith("AtLine") & (F.size(marks) != F.size(F.array_distinct(marks)))), "Duplicate status", "status"))
-        .unionByName(told(_cut(typed).where(~F.col("sound")), "Invalid enclosures", "line"))
-        .unionByName(told(found.where("type = 'Invalid'"), "Invalid token", "value"))
-    )
+    twice = F.col("type").endswith("AtLine") & (F.size(marks) != F.size(F.array_distinct(marks)))
+    of_lines = typed.select("doc_id", "line_index", F.when(F.col("type") == "Invalid", "Invalid line").when(twice, "Duplicate status").alias("problem"), F.when(F.col("type") == "Invalid", F.col("line")).otherwise(F.col("status")).alias("value"))
+    out = of_lines.where(F.col("problem").isNotNull())
+    cut = _cut(typed)
+    if found is not None:
+        return out.unionByName(told(cut.where(~F.col("sound")), "Invalid enclosures", "line")).unionByName(told(found.where("type = 'Invalid'"), "Invalid token", "value"))
+    # what is wrong with a line's enclosures is told in front of its tokens, so that lines are cut once
+    line = F.struct(F.col("line").alias("value"), F.lit(None).cast("string").alias("shift"), F.lit("Invalid enclosures").alias("problem"))
+    words = F.transform("items", lambda x: F.struct(x["token"].alias("value"), x["shift"].alias("shift"), F.lit("Invalid token").alias("problem")))
+    told_of = F.concat(F.when(F.col("sound"), F.slice(F.array(line), 1, 0)).otherwise(F.array(line)), words)
+    rows = cut.select("doc_id", "line_index", F.explode(told_of).alias("x")).select("doc_id", "line_index", "x.problem", "x.value", "x.shift")
+    wrong = (F.col("problem") == "Invalid enclosures") | (atf.token_type(F.col("value"), F.col("shift")) == "Invalid")
+    return out.unionByName(rows.where(wrong).select("doc_id", "line_index", "problem", "value"))
 
 
 # The older style

@@ -241,3 +241,11 @@ def test_long_patterns_stay_out_of_generated_code_and_lines_are_dealt_unread(spa
         plan = made._jdf.queryExecution().executedPlan().toString()
         before = [x[-60:] for x in plan.split(atf.whole(atf.WORD))[:-1]]
         assert all("RLIKE(lambda" in x for x in before) and "RLIKE" not in plan.rsplit("RoundRobinPartitioning", 1)[1]
+
+
+def test_problems_cut_lines_once(spark):
+    typed = tr.lines(spark.createDataFrame([(1, "1. [ku jo\n@obverse??\nnothing\n1. ba")], "doc_id int, text string"))
+    told = lambda df: sorted(map(tuple, df.collect()))
+    assert told(tr.problems(typed)) == told(tr.problems(typed, tr.tokens(typed))) == [(1, 0, "Invalid enclosures", "1. [ku jo"), (1, 0, "Invalid token", "jo"), (1, 1, "Duplicate status", "??"), (1, 2, "Invalid line", "nothing")]
+    cuts = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("aggregate(")
+    assert cuts(tr.problems(typed)) == cuts(tr.tokens(typed))
