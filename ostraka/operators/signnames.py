@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ostraka.functions import atf, text
+from ostraka.operators.tables import written
 
 #: A sign that can't be told and one that the list doesn't have; the list whose numbers stand for names; what stands between words as a code point.
 UNCLEAR, MISSING, LIST, SPACE = "X", "?", "ABZ", 9999
 _SKIPPED = ("REMOVAL", "ACCIDENTAL_OMISSION", "INTENTIONAL_OMISSION")
+_SPACE_PART = 2**31 - 1
 _LOOKUP = "struct<value:string,index:int,name:string,otherwise:string,deep:boolean>"
 
 
@@ -85,7 +87,7 @@ def _wanted(tokens: DataFrame) -> DataFrame:
     over = F.regexp_extract(value, r"\\(.*)°[^°\\]*$", 1)
     shown = F.when(F.col("type") == "Erasure", over).otherwise(value)
     taken = tokens.where(F.col("type").isin("Word", "LoneDeterminative", "Erasure", "Divider", "DividerVariant"))
-    taken = taken.withColumn("pieces", F.when(F.col("type").isin("Divider", "DividerVariant"), F.array(value)).otherwise(F.regexp_extract_all(shown, F.lit(atf.PIECE), F.lit(0))))
+    taken = taken.withColumn("pieces", F.when(F.col("type").isin("Divider", "DividerVariant"), F.array(value)).otherwise(atf.pieces(shown)))
     before = lambda i: F.slice("pieces", 1, i)
     count = lambda items, *of: F.size(F.filter(items, lambda p: p.isin(*of)))
 
@@ -136,8 +138,9 @@ def sign_names(tokens: DataFrame, signs: DataFrame, order: Column | None = None)
     signs: name, values (array<struct<value, subIndex>>), lists (array<struct<name, number>>), unicode. A reading that the list lacks is '?', an unclear sign X, a number or
     compound that it lacks stands for itself; compounds that are rows of signs are split; variants are joined by slashes, unsplit. Null ids are lines of their own table.
     """
-    known = standard(signs).join(expansions(signs, order), "name").select(F.col("name").alias("k"), "standard", "names")
-    read = values(signs, order).select(F.col("value").alias("v"), F.col("index").alias("i"), F.col("name").alias("found"))
+    signs = written(signs)
+    known = written(standard(signs).join(expansions(signs, order), "name").select(F.col("name").alias("k"), "standard", "names"))
+    read = written(values(signs, order).select(F.col("value").alias("v"), F.col("index").alias("i"), F.col("name").alias("found")))
     wanted = _wanted(tokens).join(read, (F.col("value") == F.col("v")) & F.col("index").eqNullSafe(F.col("i")), "left")
     met = wanted.withColumn("key", F.coalesce("found", "name")).join(known, F.col("key") == F.col("k"), "left")
     # a sign met by its reading is split further, one met by its name stands for itself
@@ -161,15 +164,20 @@ def code_points(tokens: DataFrame, signs: DataFrame, order: Column | None = None
 
     A sign is looked for by the first run of its name (before a bracket within it) and its index.
     """
-    piece = F.transform(F.regexp_extract_all("value", F.lit(atf.PIECE), F.lit(0)), lambda p, i: F.struct(i.alias("part"), p.alias("piece"), atf.piece_type(p).alias("kind")))
-    words = tokens.where(F.col("type").isin("Word", "LoneDeterminative")).select("doc_id", "line_index", "token_index", F.explode(F.filter(piece, lambda x: x["kind"].isin("Reading", "Logogram", "Number"))).alias("x"))
+    piece = F.transform(atf.pieces(F.col("value")), lambda p, i: F.struct(i.alias("part"), p.alias("piece"), atf.piece_type(p).alias("kind")))
+    signed = F.filter(piece, lambda x: x["kind"].isin("Reading", "Logogram", "Number"))
+    space = F.struct(F.lit(_SPACE_PART).alias("part"), F.lit("").alias("piece"), F.lit("").alias("kind"))
+    # every token leaves a row, since the last one of a line, be it a word or not, has no space behind it
+    shown = F.when(F.col("type").isin("Word", "LoneDeterminative"), F.concat(signed, F.array(space)))
+    rows = tokens.select("doc_id", "line_index", "token_index", F.explode_outer(shown).alias("x"))
     run = F.regexp_extract("x.piece", rf"^([{atf.READING_LETTERS}]+|[{atf.LOGOGRAM_LETTERS}]+|\d+|[{atf.FRACTIONS}])", 1)
-    index = F.when(F.col("x.kind") == "Number", 1).otherwise(atf.sub_index(F.regexp_replace(F.regexp_replace("x.piece", r"\(.*\)>?$|<\(.*$", ""), r"[\[\]]", "")))
-    asked = words.select("doc_id", "line_index", "token_index", F.col("x.part").alias("part"), run.alias("value"), index.alias("index"))
-    read = values(signs, order).join(standard(signs), "name").select(F.col("value").alias("v"), F.col("index").alias("i"), "unicode")
+    index = F.when(F.col("x.kind").isin("Number", ""), 1).otherwise(atf.sub_index(F.regexp_replace(F.regexp_replace("x.piece", r"\(.*\)>?$|<\(.*$", ""), r"[\[\]]", "")))
+    asked = rows.select("doc_id", "line_index", "token_index", F.col("x.part").alias("part"), run.alias("value"), index.alias("index"))
+    signs = written(signs)
+    read = written(values(signs, order).join(standard(signs), "name").select(F.col("value").alias("v"), F.col("index").alias("i"), "unicode"))
     met = asked.join(read, (F.col("value") == F.col("v")) & F.col("index").eqNullSafe(F.col("i")), "left")
-    last = F.max("token_index").over(Window.partitionBy("doc_id", "line_index"))
-    rows = met.select("doc_id", "line_index", F.struct("token_index", "part", "value", "index", "unicode").alias("x"))
-    spaces = tokens.withColumn("last", last).where(F.col("token_index") < F.col("last"))
-    spaces = spaces.where(F.col("type").isin("Word", "LoneDeterminative")).select("doc_id", "line_index", F.struct("token_index", F.lit(2**31 - 1).alias("part"), F.lit("").alias("value"), F.lit(1).alias("index"), F.array(F.lit(SPACE)).alias("unicode")).alias("x"))
-    return rows.unionByName(spaces).groupBy("doc_id", "line_index").agg(F.array_sort(F.collect_list("x")).alias("points"))
+    is_space = F.col("part") == _SPACE_PART
+    points = F.struct("token_index", "part", "value", "index", F.when(is_space, F.array(F.lit(SPACE))).otherwise(F.col("unicode")).alias("unicode"))
+    lines = met.groupBy("doc_id", "line_index").agg(F.array_sort(F.collect_list(F.when(F.col("part").isNotNull(), points))).alias("x"), F.max("token_index").alias("last"))
+    kept = F.filter("x", lambda p: (p["part"] != _SPACE_PART) | (p["token_index"] < F.col("last")))
+    return lines.select("doc_id", "line_index", text.once(kept).alias("points")).where(F.size("points") > 0)

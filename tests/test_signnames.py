@@ -62,3 +62,13 @@ def test_empty_list_and_text(spark):
     tokens = tr.tokens(tr.lines(docs))
     assert signnames.sign_names(tokens, signs(spark).limit(0)).collect()[0].names == ["?", "2", "X", "KU", "NU"]
     assert signnames.sign_names(tokens.limit(0), signs(spark)).count() == 0
+
+
+def test_code_points_read_tokens_once(spark):
+    signs_ = spark.createDataFrame([("KU", [("ku", 1)], [], [74])], "name string, values array<struct<value:string,subIndex:int>>, lists array<struct<name:string,number:string>>, unicode array<int>")
+    tokens = tr.tokens(tr.lines(spark.createDataFrame([(1, "1. ku ku |"), (2, "1. ku"), (3, "1. | jo")], "doc_id int, text string")))
+    found = signnames.code_points(tokens, signs_)
+    points = {r.doc_id: [None if p.unicode is None else p.unicode[0] for p in r.points] for r in found.collect()}
+    # a space behind each word but the last token; a line without words has none
+    assert points == {1: [74, 9999, 74, 9999], 2: [74]}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Repartition") == 1
