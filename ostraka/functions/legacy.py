@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, functions as F
 
 from . import atf
+from .text import replaced
 
 # Spellings and what they become, in the order in which they are looked for.
 SPELLINGS = (
@@ -20,38 +23,39 @@ STROKE_SIGN = "DIŠ"
 _SUBSCRIPTS, _DIGITS = "₀₁₂₃₄₅₆₇₈₉", "0123456789"
 _NAME = rf"[{atf.READING_LETTERS}{atf.LOGOGRAM_LETTERS}xX]"
 
-#: Rules over a text line's content, in order: pattern and replacement.
+#: Rules over a text line's content, in order: strings of which all that fits has one, pattern and replacement.
 SPACING = (
-    (r"\](?=[⸢⌈]?x)", "] "),
-    (r"(x[⸣⌉]?)\[", "$1 ["),
-    (r"(\.\.\.\])(?=[⸢⌈])", "$1 "),
-    (r"([⸣⌉])(?=\[\.\.\.)", "$1 "),
-    (r"\(\$[^$]*traces[^$]*\$\)", "..."),
+    (("]",), r"\](?=[⸢⌈]?x)", "] "),
+    (("[",), r"(x[⸣⌉]?)\[", "$1 ["),
+    (("...]",), r"(\.\.\.\])(?=[⸢⌈])", "$1 "),
+    (("[...",), r"([⸣⌉])(?=\[\.\.\.)", "$1 "),
+    (("traces",), r"\(\$[^$]*traces[^$]*\$\)", "..."),
 )
+_SUBSCRIPT = tuple(_SUBSCRIPTS)
 BRACKETS = (
-    (r"\(\$[^)]*\)", r"(\$___\$)"),
+    (("($",), r"\(\$[^)]*\)", r"(\$___\$)"),
     # an index behind a bracket goes back to its sign, which is damaged unless the bracket holds that sign alone
-    (r"\[([A-Za-z]{1,2})([A-Za-z])\]([₀-₉])", "[$1]$2$3"),
-    (r"\[([^\]]*[^\]\s])\s+([^\]\s])\]([₀-₉])", "[$1] $2$3#"),
-    (r"\[([^\]]*[^\]\s])([^\]\s])\]([₀-₉])", "[$1]$2$3#"),
-    (r"\[\s*([^\]\s])\]([₀-₉])", "$1$2# []"),
-    (r"([A-Za-z]+)([A-Za-z])\[\s*([₀-₉])\s*([^\]]*?)\s*\]", "$1[$2$3 $4]"),
-    (r"(?<![A-Za-z])([A-Za-z])\[\s*([₀-₉])\s*([^\]]*?)\s*\]", "$1$2# [$3]"),
+    (_SUBSCRIPT, r"\[([A-Za-z]{1,2})([A-Za-z])\]([₀-₉])", "[$1]$2$3"),
+    (_SUBSCRIPT, r"\[([^\]]*[^\]\s])\s+([^\]\s])\]([₀-₉])", "[$1] $2$3#"),
+    (_SUBSCRIPT, r"\[([^\]]*[^\]\s])([^\]\s])\]([₀-₉])", "[$1]$2$3#"),
+    (_SUBSCRIPT, r"\[\s*([^\]\s])\]([₀-₉])", "$1$2# []"),
+    (_SUBSCRIPT, r"([A-Za-z]+)([A-Za-z])\[\s*([₀-₉])\s*([^\]]*?)\s*\]", "$1[$2$3 $4]"),
+    (_SUBSCRIPT, r"(?<![A-Za-z])([A-Za-z])\[\s*([₀-₉])\s*([^\]]*?)\s*\]", "$1$2# [$3]"),
     # marks of doubt go within, joiners without
-    (r"([\]⸣⌉])([?!]+)", "$2$1"),
-    (r"\(([^)]*)\)([?!]+)", "$2($1)"),
-    (r"(?<![.\-])\s?([.\-])([\]⸣⌉])", "$2$1"),
-    (r"([\[⸢⌈]) ?\.(?![.\-])", ".$1"),
-    (rf"\$(?=[{atf.LOGOGRAM_LETTERS}])", ""),
-    (r"(?<![^\s\[\]().⸢⌈<\-])\*", STROKE_SIGN),
-    (r"([\[(<⸢⌈])([:;/])([\])>⸣⌉])", "$1 $2 $3"),
-    (r"~(?=[a-zš0-9])", "@"),
+    (("?", "!"), r"([\]⸣⌉])([?!]+)", "$2$1"),
+    ((")?", ")!"), r"\(([^)]*)\)([?!]+)", "$2($1)"),
+    ((".", "-"), r"(?<![.\-])\s?([.\-])([\]⸣⌉])", "$2$1"),
+    ((".",), r"([\[⸢⌈]) ?\.(?![.\-])", ".$1"),
+    (("$",), rf"\$(?=[{atf.LOGOGRAM_LETTERS}])", ""),
+    (("*",), r"(?<![^\s\[\]().⸢⌈<\-])\*", STROKE_SIGN),
+    ((":", ";", "/"), r"([\[(<⸢⌈])([:;/])([\])>⸣⌉])", "$1 $2 $3"),
+    (("~",), r"~(?=[a-zš0-9])", "@"),
 )
 
 
-def _rules(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
-    for pattern, by in rules:
-        text = F.regexp_replace(text, pattern, by)
+def _rules(text: Column, rules: tuple[tuple[Sequence[str], str, str], ...]) -> Column:
+    for held, pattern, by in rules:
+        text = replaced(text, held, pattern, by)
     return text
 
 
@@ -72,8 +76,14 @@ def lower_in_braces(text: Column) -> Column:
 
 def indexed(text: Column) -> Column:
     """Accents and digits behind a sign's letters as its index."""
-    pieces = F.regexp_extract_all(text, F.lit(rf"(%\w+|{_NAME}+[0-9]*|[^%{_NAME[1:-1]}]+|.)"), F.lit(1))
-    marked = "".join(a for a, _, _ in ACCENTS)
+    name, marked = _NAME[1:-1], "".join(a for a, _, _ in ACCENTS)
+    bare_letter = f"[{''.join(c for c in name if c not in marked)}]"
+    # what stays as it is makes one piece up to the next shift or sign with an accent or digits; ASCII first, since a class tries its other letters one by one
+    near = "".join(c for c in name if c < "\x7f")
+    between = "".join(rf"\x{i:02x}" for i in range(128) if chr(i) not in near + "%")
+    kept = rf"[{between}]++|[{near}]++(?=[\x00-\x2f\x3a-\x7f]|\z)|[^%{name}]++|{bare_letter}++(?![{marked}0-9])"
+    pieces = F.regexp_extract_all(text, F.lit(rf"(%\w+|(?:{kept})++|{_NAME}+[0-9]*|.)"), F.lit(1))
+    changes = f"^(?:{bare_letter}*+[{marked}]{_NAME}*+[0-9]*+|{bare_letter}++[0-9]++)$"
 
     def plain(p: Column) -> Column:
         bare = p
@@ -83,7 +93,7 @@ def indexed(text: Column) -> Column:
         digits = F.translate(F.regexp_extract(p, "([0-9]*)$", 1), _DIGITS, _SUBSCRIPTS)
         return F.concat(F.regexp_extract(bare, "^([^0-9]*)", 1), F.coalesce(*index, F.lit("")), digits)
 
-    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(rf"^{_NAME}+$") & ~p.rlike(f"[{marked}]"), p).when(p.rlike(f"^{_NAME}"), plain(p)).otherwise(p)), "")
+    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(changes), plain(p)).otherwise(p)), "")
 
 
 def damaged(text: Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ostraka.functions import atf, legacy
-from ostraka.functions.text import once
+from ostraka.functions.text import once, replaced
+from ostraka.operators.tables import written
 
 _BIT = {name: 1 << i for i, (name, _, _) in enumerate(atf.ENCLOSURES)}
 _OPEN = tuple(a for _, a, _ in atf.ENCLOSURES if a)
@@ -31,18 +32,6 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return typed.withColumns(fields).withColumn("numbers", atf.number_parts(F.col("number")))
 
 
-def _where(text: Column, marks: str, pattern: str, by: str) -> Column:
-    """The text with the pattern replaced, if it holds one of the marks: most lines then cost no matching."""
-
-    def one(t: Column) -> Column:
-        held = F.lit(False)
-        for mark in marks:
-            held = held | F.contains(t, F.lit(mark))
-        return F.when(held, F.regexp_replace(t, pattern, by)).otherwise(t)
-
-    return F.get(F.transform(F.array(text), one), F.lit(0))  # the text is worked out once, then read from the array
-
-
 def spaced(text: Column) -> Column:
     """A text line's content with one space between tokens: none around joiners, one around glosses on the document and between dividers and their brackets."""
     letter = rf"\p{{L}}0-9₀-₉ₓ{atf.FLAGS}"
@@ -59,7 +48,7 @@ def spaced(text: Column) -> Column:
         (":;/ø", rf"(?<![^ ])({atf.OPENING}++)(?={divider}{atf.CLOSING}*+(?![^ ]))", "$1 "),
         (":;/ø", rf"(?<![^ ])({divider})({atf.CLOSING}++)(?![^ ])", "$1 $2"),
     ):
-        text = _where(text, marks, pattern, by)
+        text = replaced(text, marks, pattern, by)
     return text
 
 
@@ -168,9 +157,13 @@ def problems(typed: DataFrame, found: DataFrame | None = None) -> DataFrame:
 # The older style
 
 
+def _trimmed(line: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(line, "[\t ]+", " "), r"^[ \r]+|[ \r]+$", "")
+
+
 def rewritten(df: DataFrame, old: str, new: str) -> DataFrame:
     """df with the lines of the older style in `old` rewritten in `new`. Each step's result is fixed before the next reads it, since most steps read it more than once."""
-    rows = df.select("*", once(F.regexp_replace(F.regexp_replace(F.col(old), "[\t ]+", " "), r"^[ \r]+|[ \r]+$", "")).alias("__line"))
+    rows = df.select("*", once(_trimmed(F.col(old))).alias("__line"))
     text = lambda i: F.nullif(F.regexp_extract("__line", legacy.TEXT_LINE, i), F.lit(""))
     rows = rows.withColumns({"__number": legacy.number(text(1)), "__text": text(2)})
     for step in legacy.STEPS:
@@ -184,15 +177,16 @@ def modern(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     Columns without a number are counted, from 1 on each face or object of a text. A null text has no lines; null ids are texts of their own kind: their lines are counted together.
     """
-    cut = _dealt(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.posexplode(F.split(F.col(f"`{text_col}`"), "\n")).alias("line_index", "old")))
-    rows = rewritten(cut, "old", "line")
+    cut = lambda df: df.select(F.col(f"`{id_col}`").alias("doc_id"), F.posexplode(F.split(F.col(f"`{text_col}`"), "\n")).alias("line_index", "old"))
+    rows = rewritten(_dealt(cut(docs)), "old", "line")
+    # no line with a text becomes one that begins so, and those that do stay as they are: they are found without rewriting anything
+    at = _dealt(cut(docs.where(F.contains(F.col(f"`{text_col}`"), F.lit("@"))))).select("doc_id", "line_index", once(_trimmed(F.col("old"))).alias("line"))
     bare = F.col("line") == "@column"
-    kinds = atf.line_type(F.col("line"))
-    marks = rows.where(bare | kinds.isin("SurfaceAtLine", "ObjectAtLine")).select("doc_id", "line_index", bare.alias("bare"))
+    marks = at.where(F.startswith("line", F.lit("@"))).select("doc_id", "line_index", bare.alias("bare"), once(bare | atf.line_type(F.col("line")).isin("SurfaceAtLine", "ObjectAtLine")).alias("counts")).where("counts")
     so_far = Window.partitionBy("doc_id").orderBy("line_index").rowsBetween(Window.unboundedPreceding, 0)
     sides = marks.withColumn("side", F.sum(F.when(F.col("bare"), 0).otherwise(1)).over(so_far))
     counted = sides.where("bare").withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "side").orderBy("line_index"))).select(F.col("doc_id").alias("__d"), F.col("line_index").alias("__i"), "n")
-    found = rows.join(counted, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("line_index") == F.col("__i")), "left")
+    found = rows.join(written(counted), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("line_index") == F.col("__i")), "left")
     return found.select("doc_id", "line_index", "old", F.when(F.col("n").isNotNull(), F.concat(F.lit("@column "), F.col("n").cast("string"))).otherwise(F.col("line")).alias("line"))
 
 

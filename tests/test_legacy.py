@@ -1,6 +1,8 @@
 """The older style of transliterations: worked lines, folders of files."""
 
+from ostraka.functions import legacy
 from ostraka.operators import transliterations as tr
+from pyspark.sql import functions as F
 
 #: Lines of the older style and of the present one.
 LINES = [
@@ -52,3 +54,17 @@ def test_odd_texts(spark):
     found = {(r.doc_id, r.line_index): r.line for r in tr.modern(df).collect()}
     assert found == {(None, 0): "@column 1", (None, 1): "@column 2", (2, 0): "", (3, 0): "1. A b-š_ {a(B)š} ku#"}
     assert tr.modern(df.limit(0)).count() == 0
+
+
+def test_columns_are_counted_without_rewriting_a_second_time(spark):
+    df = spark.createDataFrame([(1, "@tablet\n@column\n1. _ku2_ [ba?]\n @column\n@reverse\n@column"), (2, "1. ku")], "doc_id int, text string")
+    found = tr.modern(df)
+    assert [r.line for r in found.where("doc_id = 1").orderBy("line_index").collect()] == ["@tablet", "@column 1", "1. KU₂ [ba?]", "@column 2", "@reverse", "@column 1"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("traces") > 0 and plan.count("RepartitionByExpression") + plan.count("Repartition 4") == 1
+
+
+def test_pieces_that_stay(spark):
+    texts = ["ku2 ba á-ti3 Lú", "%sux2 šá₂ x4 12 1a2", "a2b3 ì% %", "", "ʾ2ā"]
+    found = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(legacy.indexed(F.col("t"))).collect()]
+    assert found == ["ku₂ ba a₂-ti₃ Lu₂", "%sux2 ša₂₂ x₄ 12 1a₂", "a₂b₃ i₃% %", "", "ʾ₂ā"]
