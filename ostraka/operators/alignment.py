@@ -203,10 +203,11 @@ def preserved(a: Sequence[str], b: Sequence[str], pairs: Sequence[tuple[int, int
     return share(sum(x == y for x, y in met)), share(sum(pair_score(x, y) > 0 for x, y in met))
 
 
-def align(fragments: DataFrame, manuscripts: DataFrame, fragment: str, manuscript: Sequence[str], signs: str = "signs", max_lines: int = 10, min_score: int = 100, traced: bool = False, also: Sequence[str] = (), block: int = 50_000, part: int = 20_000) -> DataFrame:
-    """(fragment, `also`, manuscript columns, score) of every fragment of at most max_lines lines and every manuscript that score min_score or more.
+def align(fragments: DataFrame, manuscripts: DataFrame, fragment: str, manuscript: Sequence[str], signs: str = "signs", max_lines: int | None = 10, min_score: int = 100, traced: bool = False, also: Sequence[str] = (), block: int = 50_000, part: int = 20_000) -> DataFrame:
+    """(fragment, `also`, manuscript columns, score) of every fragment of at most max_lines lines (None: of any number) and every manuscript that score min_score or more.
 
-    traced: also identity and similarity (percent, see preserved) and alignment, an array of (fragment_sign, manuscript_sign) with null for a gap. also: columns of fragments that come
+    traced: also identity and similarity (percent, see preserved), begins and ends (places of the first and last sign of the fragment's sequence that the alignment covers, from 0), and
+    alignment, an array of (fragment_sign, manuscript_sign) with null for a gap. also: columns of fragments that come
     along. The fragments are the query set. Both sides are dealt into blocks of about `block` and `part` signs by their place in the scan, and each block of fragments meets
     each part of manuscripts once, in a task that holds both: neither table is gathered, and tasks do not follow the input's partitions. Within a task all fragments go through a
     manuscript together; only pairs that reach min_score are traced.
@@ -214,7 +215,7 @@ def align(fragments: DataFrame, manuscripts: DataFrame, fragment: str, manuscrip
     Texts that are null, empty or without a clear sign take no part; rows that repeat give repeated results; other columns are ignored.
     """
     clear = has_clear_signs(F.col(signs))
-    asked = fragments.where(clear & (F.size(F.split(signs, "\n")) <= max_lines)).select(F.col(fragment).alias("fragment"), *also, sequence(F.col(signs)).alias("__s"))
+    asked = fragments.where(clear & (F.lit(True) if max_lines is None else F.size(F.split(signs, "\n")) <= max_lines)).select(F.col(fragment).alias("fragment"), *also, sequence(F.col(signs)).alias("__s"))
     sought = manuscripts.where(clear).select(*manuscript, sequence(F.col(signs)).alias("__s"))
     total = lambda df: df.agg(F.coalesce(F.sum(F.size("__s")), F.lit(0))).first()[0]
     blocks, parts = (max(1, -(-total(df) // most)) for df, most in ((asked, block), (sought, part)))
@@ -228,7 +229,7 @@ def align(fragments: DataFrame, manuscripts: DataFrame, fragment: str, manuscrip
         schema = schema.add(manuscripts.schema[name])
     schema = schema.add("score", "long")
     if traced:
-        schema = schema.add("identity", "double").add("similarity", "double").add("alignment", T.ArrayType(T.StructType().add("fragment_sign", "string").add("manuscript_sign", "string")))
+        schema = schema.add("identity", "double").add("similarity", "double").add("begins", "long").add("ends", "long").add("alignment", T.ArrayType(T.StructType().add("fragment_sign", "string").add("manuscript_sign", "string")))
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         queries = [list(x) for x in a["__s"]]
@@ -239,7 +240,8 @@ def align(fragments: DataFrame, manuscripts: DataFrame, fragment: str, manuscrip
                 row = [a["fragment"].iloc[k], *[a[n].iloc[k] for n in also], *[b[n].iloc[i] for n in manuscript], int(scores[k])]
                 if traced:
                     pairs = trace(queries[k], text)[1]
-                    row += [*preserved(queries[k], text, pairs), [{"fragment_sign": queries[k][x] if x >= 0 else None, "manuscript_sign": text[y] if y >= 0 else None} for x, y in pairs]]
+                    covered = [x for x, _ in pairs if x >= 0]
+                    row += [*preserved(queries[k], text, pairs), *((covered[0], covered[-1]) if covered else (None, None)), [{"fragment_sign": queries[k][x] if x >= 0 else None, "manuscript_sign": text[y] if y >= 0 else None} for x, y in pairs]]
                 found.append(row)
         return pd.DataFrame(found, columns=schema.names)
 

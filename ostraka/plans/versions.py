@@ -11,17 +11,17 @@ from .base import query, read
 
 @query(None)
 def align_scores(spark, sf_dir):
-    """Benchmark passages as fragments, turns of conversations as manuscripts."""
+    """Benchmark passages of any length as fragments, turns of conversations as manuscripts."""
     signs = F.lower("text").alias("signs")
-    return alignment.align(read(spark, sf_dir, "benchmark").select("item_id", signs), read(spark, sf_dir, "conversations").select("conv_id", "turn", signs), "item_id", ["conv_id", "turn"], min_score=30)
+    return alignment.align(read(spark, sf_dir, "benchmark").select("item_id", signs), read(spark, sf_dir, "conversations").select("conv_id", "turn", signs), "item_id", ["conv_id", "turn"], max_lines=None, min_score=30)
 
 
 @query(None)
 def align_report(spark, sf_dir):
     """The same pairs traced: score, percentages, and where in the passage the alignment begins and ends."""
     signs = F.lower("text").alias("signs")
-    found = alignment.align(read(spark, sf_dir, "benchmark").select("item_id", signs), read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", signs), "item_id", ["conv_id", "turn", "role"], min_score=30, traced=True)
-    return found.select("fragment", "conv_id", "turn", "role", "score", "identity", "similarity", F.size("alignment").alias("columns"))
+    found = alignment.align(read(spark, sf_dir, "benchmark").select("item_id", signs), read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", signs), "item_id", ["conv_id", "turn", "role"], max_lines=None, min_score=30, traced=True)
+    return found.select("fragment", "conv_id", "turn", "role", "score", "identity", "similarity", "begins", "ends", F.size("alignment").alias("columns"))
 
 
 def _versions(spark, sf_dir):

@@ -151,3 +151,15 @@ def test_fragments_that_cannot_reach_the_least_score_are_left_out():
     whole = alignment.align_all(prepared, other).tolist()
     assert whole[0] == 48 and alignment.align_all(prepared, other, 40).tolist() == [48, 0, 0, 0]
     assert all(b >= s for b, s in zip(prepared.bounds(prepared.table(other)).tolist(), whole))
+
+
+def test_report_tells_where_alignments_begin_and_end_and_leaves_no_passage_out(spark, tmp_path):
+    from ostraka.plans import versions
+
+    long = "\n".join(["a b"] * 12 + ["kur ra ši"])
+    spark.createDataFrame([(1, "x y kur ra ši z"), (2, long)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(7, 0, "user", "kur ra ši")], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = {r.fragment: r for r in versions.align_report(spark, str(tmp_path)).collect()}
+    assert {k: (r.score, r.begins, r.ends, r.columns) for k, r in found.items()} == {1: (48, 2, 4, 3), 2: (48, 36, 38, 3)}
+    assert sorted((r.fragment, r.score) for r in versions.align_scores(spark, str(tmp_path)).collect()) == [(1, 48), (2, 48)]
+    assert al.align(spark.createDataFrame([(2, long)], "i int, signs string"), spark.createDataFrame([(1, "kur ra ši")], "m int, signs string"), "i", ["m"], min_score=16).count() == 0
