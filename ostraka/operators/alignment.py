@@ -25,7 +25,7 @@ SIMILAR_SIGNS = (
 
 _SIMILAR = {frozenset(pair) for pair in SIMILAR_SIGNS}
 _SIMILAR_ANY = frozenset().union(*_SIMILAR)
-_NEVER = -(10**9)
+_NEVER, _NEVER_SHORT = -(10**9), -(2**14)
 
 
 @lru_cache(1 << 16)
@@ -108,23 +108,37 @@ def align_all(fragments: Fragments, other: Sequence[str], least: int = 0) -> np.
     able = np.flatnonzero(fragments.bounds(table) >= least)
     if not len(able):
         return scores
+    # the longest first: the first `left` rows are those of fragments that have an i-th sign
+    able = able[np.argsort(-fragments.lengths[able], kind="stable")]
     lengths, codes, gaps, best = fragments.lengths[able], fragments.codes[able], fragments.gaps[able], scores[able]
     most = int(lengths.max())
-    across = np.concatenate([[0], np.cumsum(_gap_costs(other))]).astype(np.int32)  # cost of extending over the first j signs
+    # nothing passes MATCH for each pair, nor goes below the gaps over all signs of both: short sequences go in 16 bits, at half the memory
+    short = MATCH * min(n, most) - GAP_EXTENSION_BREAK * (n + most) - GAP_START < -_NEVER_SHORT
+    kind, never = (np.int16, _NEVER_SHORT) if short else (np.int32, _NEVER)
+    table, gaps = table.astype(kind), gaps.astype(kind)
+    across = np.concatenate([[0], np.cumsum(_gap_costs(other))]).astype(kind)  # cost of extending over the first j signs
     shape = (len(best), n + 1)
-    vertical, open_to_down, top = np.full(shape, _NEVER, np.int32), np.zeros(shape, np.int32), np.zeros(shape, np.int32)
+    whole = (np.full(shape, never, kind), np.zeros(shape, kind), np.zeros(shape, kind), np.zeros(shape, kind), np.full(shape, never, kind), np.empty(shape, kind))
+    start, reopened = kind(GAP_START), across[1:] + kind(GAP_START)
+    left = np.searchsorted(-lengths, -np.arange(most + 1), side="left")
     for i in range(most):
-        vertical = np.maximum(open_to_down + GAP_START, vertical + gaps[:, i : i + 1])
-        vertical[:, 0] = _NEVER
-        paired = np.zeros(shape, np.int32)  # the first column is a gap at the start, which costs nothing
-        paired[:, 1:] = top[:, :-1] + table[codes[:, i]]
-        opens = np.maximum(paired, vertical)
+        vertical, open_to_down, top, paired, horizontal, opens = (x[: left[i]] for x in whole)
+        vertical += gaps[: left[i], i : i + 1]
+        open_to_down += start
+        np.maximum(vertical, open_to_down, out=vertical)
+        vertical[:, 0] = never
+        # the first column is a gap at the start, which costs nothing, and stays 0
+        np.add(top[:, :-1], table[codes[: left[i], i]], out=paired[:, 1:])
+        np.maximum(paired, vertical, out=opens)
         # a gap over signs k+1 to j: its first sign costs GAP_START, the others their extension
-        horizontal = np.full(shape, _NEVER, np.int32)
-        horizontal[:, 1:] = np.maximum.accumulate(opens[:, :-1] - across[1:], axis=1) + across[1:] + GAP_START
-        top, open_to_down = np.maximum(opens, horizontal), np.maximum(paired, horizontal)
-        best = np.where(i < lengths, np.maximum(best, top[:, -1]), best)
-        best = np.where(i == lengths - 1, np.maximum(best, top.max(axis=1)), best)
+        np.subtract(opens[:, :-1], across[1:], out=horizontal[:, 1:])
+        np.maximum.accumulate(horizontal[:, 1:], axis=1, out=horizontal[:, 1:])
+        horizontal[:, 1:] += reopened
+        np.maximum(opens, horizontal, out=top)
+        np.maximum(paired, horizontal, out=open_to_down)
+        best[: left[i]] = np.maximum(best[: left[i]], top[:, -1])
+        last = slice(left[i + 1], left[i])
+        best[last] = np.maximum(best[last], top[last].max(axis=1, initial=0))
     scores[able] = best
     return scores
 

@@ -163,3 +163,16 @@ def test_report_tells_where_alignments_begin_and_end_and_leaves_no_passage_out(s
     assert {k: (r.score, r.begins, r.ends, r.columns) for k, r in found.items()} == {1: (48, 2, 4, 3), 2: (48, 36, 38, 3)}
     assert sorted((r.fragment, r.score) for r in versions.align_scores(spark, str(tmp_path)).collect()) == [(1, 48), (2, 48)]
     assert al.align(spark.createDataFrame([(2, long)], "i int, signs string"), spark.createDataFrame([(1, "kur ra ši")], "m int, signs string"), "i", ["m"], min_score=16).count() == 0
+
+
+def test_short_and_long_sequences_score_the_same(monkeypatch):
+    rng = random.Random(9)
+    signs = ["KU", "BA", "#", "X", "ABZ545", "ABZ354", "KU/BA", "ŠU"]
+    make = lambda n: [rng.choice(signs) for _ in range(n)]
+    cases = [([make(rng.randint(0, 40)) for _ in range(6)], make(rng.randint(1, 60))) for _ in range(80)]
+    cases += [([["KU"] * n, make(n), ["#"] * n], ["KU"] * m) for n, m in ((300, 700), (380, 380), (400, 900), (700, 640))]
+    cases += [([["#"] * 600, make(500)], ["#"] * 1000)]
+    short = [al.align_all(al.Fragments(f), o).tolist() for f, o in cases]
+    monkeypatch.setattr(al, "_NEVER_SHORT", 0)  # all in 32 bits
+    assert short == [al.align_all(al.Fragments(f), o).tolist() for f, o in cases]
+    assert short[-5][0] == 300 * 16
